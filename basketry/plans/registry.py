@@ -1,11 +1,11 @@
 """All registered queries and the SQL that must agree with them."""
 
-from basketry.plans import line_sql, lines
+from basketry.plans import line_sql, lines, segment_sql, segments
 
 
 def queries():
-    return {**lines.QUERIES}
+    return {**lines.QUERIES, **segments.QUERIES}
 
 
 def oracle_sql():
-    return {**line_sql.SQL}
+    return {**line_sql.SQL, **segment_sql.SQL}
