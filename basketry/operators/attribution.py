@@ -56,7 +56,7 @@ def read_trees(model: PipelineModel, spark) -> TreeSum:
     assembler, trees = model.stages
     path = fresh_path(spark, "trees")
     trees.save(path)
-    weights = {row.treeID: row.weights for row in spark.read.parquet(f"{path}/treesMetadata").collect()}
+    weights = trees.treeWeights
     by_tree = {}
     for row in spark.read.parquet(f"{path}/data").collect():
         by_tree.setdefault(row.treeID, {})[row.nodeData.id] = row.nodeData

@@ -130,8 +130,11 @@ def grid_search(train: DataFrame, features: Sequence[str] = ALL_FEATURES,
         ready.unpersist()
     rows = [(params[learner.maxIter], params[learner.maxDepth], float(params[learner.stepSize]), float(auc))
             for params, auc in zip(combinations, fitted.avgMetrics)]
-    table = train.sparkSession.createDataFrame(rows, "trees int, depth int, rate double, mean_auc double")
-    trees, depth, rate, _ = max(rows, key=lambda row: row[3])
+    best = max(rows, key=lambda row: row[3])
+    table = train.sparkSession.createDataFrame(
+        [(*row, row is best) for row in rows],
+        "trees int, depth int, rate double, mean_auc double, selected boolean")
+    trees, depth, rate, _ = best
     return GridResult(Variant(tuple(features), trees, depth, rate),
                       PipelineModel([assembler, fitted.bestModel]), table)
 

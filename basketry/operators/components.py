@@ -3,13 +3,13 @@
 Alternates the large-star and small-star steps of Kiveris et al., "Connected Components in
 MapReduce and Beyond" (2014): every round rewires links towards the smallest known neighbour until
 all links point at the smallest node of their component. Minima are combined before they are
-shuffled, and each round ends in a written table.
+shuffled, each round ends in a written table, and the links of a hub are split among tasks by
+adaptive execution once they make a partition uneven.
 """
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.functions.lookups import lookup
 from basketry.session import staged
 
 
@@ -20,7 +20,7 @@ def _fingerprint(links: DataFrame):
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("least"))
-    rewired = lookup(both, least, ["u"], "inner").where(F.col("v") > F.col("u"))
+    rewired = both.join(least, "u").where(F.col("v") > F.col("u"))
     return rewired.where(F.col("v") != F.col("least")).select(
         F.col("v").alias("u"), F.col("least").alias("v")).distinct()
 
@@ -28,7 +28,7 @@ def _large_star(links: DataFrame) -> DataFrame:
 def _small_star(links: DataFrame) -> DataFrame:
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("least"))
-    rewired = lookup(down, least, ["u"], "inner").where(F.col("v") != F.col("least"))
+    rewired = down.join(least, "u").where(F.col("v") != F.col("least"))
     moved = rewired.select(F.col("v").alias("u"), F.col("least").alias("v"))
     return moved.unionByName(least.select("u", F.col("least").alias("v"))).distinct()
 
@@ -39,7 +39,7 @@ def connected(nodes: DataFrame, links: DataFrame, node: str = "id") -> DataFrame
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     before = _fingerprint(current)
     while True:
-        current = staged(_small_star(staged(_large_star(current), "links")), "links")
+        current = staged(_small_star(_large_star(current)), "links")
         after = _fingerprint(current)
         if after == before:
             break

@@ -15,6 +15,7 @@ Two large cells whose boxes do not decide are split into smaller boxes until the
 """
 
 from collections.abc import Sequence
+from functools import cached_property
 from itertools import product
 from math import ceil, sqrt
 
@@ -29,7 +30,7 @@ from basketry.session import staged
 
 PAIR_BUDGET = 1_000  # two boxes with at most this many pairs of rows are compared directly
 SALT_ROWS = 50_000  # rows of one cell per task when a cell has to be looked at row by row
-FINER = 4  # how much finer the boxes of the next level are, per feature
+FINER = 2  # how much finer the boxes of the next level are, per feature
 NOISE = -1
 
 
@@ -124,28 +125,42 @@ def core_points(points: DataFrame, features: Sequence[str], eps: float = fixed.E
 
 
 class _Parts:
-    """Staged tables that the steps of the clustering share."""
+    """Tables that the steps of the clustering share; each is written when first asked for."""
 
     def __init__(self, points, features, eps, min_samples, key):
-        self.space = Space(features, eps)
-        space = self.space
-        placed = points.select(F.col(key).alias("key"), *[F.col(c).cast("double").alias(c) for c in space.features])
-        placed = placed.withColumn("cell", space.cell())
-        boxes = staged(placed.groupBy("cell").agg(*space.box()).withColumn("cell_rows", F.col("n")), "boxes")
-        sized = lookup(placed, boxes.select("cell", "cell_rows"), ["cell"])
-        self.rows = staged(sized, "rows")
-        self.adjacent = staged(_adjacent(boxes, space), "adjacent")
-        dense = F.col("cell_rows") >= min_samples
-        sparse = self.rows.where(~dense)
-        found = _reached(sparse, self.rows, boxes, self.adjacent, space)
-        counted = found.groupBy("key").agg(F.least(F.sum("hits"), F.lit(min_samples)).alias("neighbours"))
-        counts = self.rows.where(dense).select("key", F.lit(min_samples).cast("long").alias("neighbours")).unionByName(counted)
-        self.counts = counts
-        core_keys = counted.where(F.col("neighbours") >= min_samples).select("key")
-        # rows of sparse cells are few, those of dense cells need no lookup
-        sparse_core = sparse.join(core_keys, "key", "left_semi")
-        self.core = staged(self.rows.where(dense).unionByName(sparse_core), "core")
-        self.rest = staged(sparse.join(self.core.where(~dense).select("key"), "key", "left_anti"), "rest")
+        self.space, self.min_samples = Space(features, eps), min_samples
+        placed = points.select(F.col(key).alias("key"), *[F.col(c).cast("double").alias(c) for c in self.space.features])
+        placed = placed.withColumn("cell", self.space.cell())
+        self.boxes = staged(placed.groupBy("cell").agg(*self.space.box()).withColumn("cell_rows", F.col("n")), "boxes")
+        self.rows = lookup(placed, self.boxes.select("cell", "cell_rows"), ["cell"])
+        self.is_dense = F.col("cell_rows") >= min_samples
+
+    @cached_property
+    def adjacent(self) -> DataFrame:
+        return staged(_adjacent(self.boxes, self.space), "adjacent")
+
+    @cached_property
+    def sparse(self) -> DataFrame:
+        """Rows of sparse cells with their neighbours, counted up to `min_samples`."""
+        rows = self.rows.where(~self.is_dense)
+        found = _reached(rows, self.rows, self.boxes, self.adjacent, self.space)
+        counts = found.groupBy("key").agg(F.least(F.sum("hits"), F.lit(self.min_samples)).alias("neighbours"))
+        return staged(rows.join(counts, "key"), "sparse")
+
+    @property
+    def counts(self) -> DataFrame:
+        full = F.lit(self.min_samples).cast("long").alias("neighbours")
+        return self.rows.where(self.is_dense).select("key", full).unionByName(self.sparse.select("key", "neighbours"))
+
+    @property
+    def core(self) -> DataFrame:
+        """Core rows: all of dense cells, and those of sparse cells with enough neighbours."""
+        few = self.sparse.where(F.col("neighbours") >= self.min_samples).drop("neighbours")
+        return self.rows.where(self.is_dense).unionByName(few)
+
+    @property
+    def rest(self) -> DataFrame:
+        return self.sparse.where(F.col("neighbours") < self.min_samples).drop("neighbours")
 
 
 def _links(core: DataFrame, boxes: DataFrame, adjacent: DataFrame, space: Space, pair_budget: int) -> DataFrame:
