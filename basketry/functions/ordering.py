@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from basketry.session import staged
 
 BUCKETS = 512
+ONE_BUCKET_ROWS = 50_000  # a table this small is ordered as one bucket
 
 
 def running_total(df: DataFrame, bucket: str, order: Sequence, amount: str,
@@ -47,11 +48,15 @@ def numbered(df: DataFrame, bucket: str, order: Sequence, by: Sequence[str] = ()
     return counted.withColumnsRenamed({"upto": "row", "total": "rows"}).drop("_one")
 
 
-def value_buckets(df: DataFrame, column: str, buckets: int = BUCKETS) -> DataFrame:
+def value_buckets(df: DataFrame, column: str, buckets: int = BUCKETS,
+                  one_bucket_rows: int = ONE_BUCKET_ROWS) -> DataFrame:
     """Adds `_bucket`, non-decreasing in the numeric `column`, with about equal numbers of rows.
 
     The cut points are at most `buckets` numbers; how good they are affects balance, not results.
+    Small tables (counted) are left in one bucket.
     """
+    if df.count() <= one_bucket_rows:
+        return df.withColumn("_bucket", F.lit(0.0))
     shares = [i / buckets for i in range(1, buckets)]
     cuts = sorted(set(df.approxQuantile(column, shares, 0.5 / buckets)))
     as_double = df.withColumn("_value", F.col(column).cast("double"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from basketry import schemas
 from basketry.operators import cleaning, features, series
-from basketry.session import fresh_path
+from basketry.session import fresh_path, staged
 from basketry.sources import retail
 from basketry.sources.star import raw_lines, retail_lines
 
@@ -95,22 +95,28 @@ def clean_retail(spark, folder):
 
 # --- customers -----------------------------------------------------------------
 
+def _reference(spark, folder):
+    """The reference date from the order dates of lines alone, without prices or products."""
+    return features.reference_date(retail_lines(spark, folder, "invoicedate"))
+
+
 def customer_summary(spark, folder):
     lines = retail_lines(spark, folder, "invoice", "customer_id", "total_amount")
     return rounded(features.customer_summary(lines), 2, "Monetary")
 
 
 def rfm_reference_date(spark, folder):
-    return rounded(features.rfm(retail_lines(spark, folder, *SPENDING)), 2, "Monetary")
+    return rounded(rfm_table(spark, folder), 2, "Monetary")
 
 
 def rfm_labelled(spark, folder):
-    return rounded(features.rfm_labelled(retail_lines(spark, folder, *SPENDING)), 2, "Monetary")
+    labelled = features.rfm_labelled(retail_lines(spark, folder, *SPENDING), reference=_reference(spark, folder))
+    return rounded(labelled, 2, "Monetary")
 
 
 def labelled_lines(spark, folder):
     lines = retail_lines(spark, folder, "invoice", "stockcode", "invoicedate", "customer_id")
-    return _dated(features.label_lines(lines))
+    return _dated(features.label_lines(lines, reference=_reference(spark, folder)))
 
 
 def churn_label(spark, folder):
@@ -132,8 +138,8 @@ def purchase_span(spark, folder):
 
 
 def churn_table(spark, folder):
-    """All churn features, unrounded."""
-    return features.customer_features(retail_lines(spark, folder, "stockcode", *SPENDING))
+    """All churn features, unrounded. They need several passes, so the joined lines are written once."""
+    return features.customer_features(staged(retail_lines(spark, folder, "stockcode", *SPENDING), "lines"))
 
 
 def customer_features(spark, folder):
@@ -141,18 +147,19 @@ def customer_features(spark, folder):
 
 
 def customer_features_before(spark, folder):
-    lines = retail_lines(spark, folder, "stockcode", *SPENDING)
+    lines = staged(retail_lines(spark, folder, "stockcode", *SPENDING), "lines")
     cutoff = features.reference_date(lines) - F.expr("INTERVAL 91 DAY")
     table = features.customer_features_before(lines, cutoff)
     return rounded(table, 6, "Monetary", "AvgOrderValue", "AvgDaysBetweenPurchases")
 
 
 def rfm_table(spark, folder):
-    return features.rfm(retail_lines(spark, folder, *SPENDING))
+    return features.rfm(retail_lines(spark, folder, *SPENDING), _reference(spark, folder))
 
 
 def rfm_log_scaled(spark, folder):
-    return rounded(features.standardised(rfm_table(spark, folder), features.RFM), 6, *features.RFM)
+    customers = staged(rfm_table(spark, folder), "rfm")
+    return rounded(features.standardised(customers, features.RFM), 6, *features.RFM)
 
 
 # --- daily series ----------------------------------------------------------------

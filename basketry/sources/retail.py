@@ -1,7 +1,6 @@
 """Transaction-line files in and out."""
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from basketry import schemas
@@ -31,15 +30,15 @@ def tidy_headers(df: DataFrame) -> DataFrame:
 def write_lines(df: DataFrame, path: str, format: str = "parquet") -> None:
     """Writes lines ordered by invoice date within files; Parquet is partitioned by year and month.
 
-    Every month is spread over several tasks by a hash of its lines, so one large month does not become one task.
+    Lines are rebalanced by month: adaptive execution splits a large month over as many tasks as its
+    size needs and puts small months together.
     """
     if format == "csv":
         (df.sortWithinPartitions("invoicedate").write.mode("overwrite")
          .options(header=True, timestampNTZFormat=TIMESTAMP_FORMAT).csv(path))
         return
-    spread = df.withColumn("_part", F.pmod(F.xxhash64("invoice", "stockcode"), F.lit(16)))
-    (spread.repartition("year", "month", "_part").sortWithinPartitions("year", "month", "invoicedate")
-     .drop("_part").write.mode("overwrite").partitionBy("year", "month").format(format).save(path))
+    (df.hint("rebalance", "year", "month").sortWithinPartitions("year", "month", "invoicedate")
+     .write.mode("overwrite").partitionBy("year", "month").format(format).save(path))
 
 
 def write_table(df: DataFrame, path: str, format: str = "parquet") -> None:

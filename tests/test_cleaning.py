@@ -108,9 +108,18 @@ def test_quantiles_with_one_value_holding_most_rows(spark):
     assert tuple(row) == pytest.approx(tuple(plain))
 
 
+def test_quantiles_over_many_buckets(spark, monkeypatch):
+    whole = ordering.value_buckets
+    monkeypatch.setattr(ordering, "value_buckets", lambda df, column: whole(df, column, 8, one_bucket_rows=0))
+    df = spark.range(1001).select((F.col("id") * 37 % 1001 / 10).alias("v"), (F.col("id") % 3).alias("g"))
+    found = {r.g: r.q for r in ordering.quantiles(df, "v", {"q": 0.3}, ["g"]).collect()}
+    plain = {r.g: r.q for r in df.groupBy("g").agg(F.percentile("v", F.lit(0.3)).alias("q")).collect()}
+    assert found == pytest.approx(plain)
+
+
 def test_running_totals_across_buckets(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("v"), (F.col("id") % 2).alias("g"))
-    placed = ordering.numbered(ordering.value_buckets(df, "v", 16), "_bucket", ["v"], ["g"]).collect()
+    placed = ordering.numbered(ordering.value_buckets(df, "v", 16, one_bucket_rows=0), "_bucket", ["v"], ["g"]).collect()
     for g in (0, 1):
         rows = sorted((r for r in placed if r.g == g), key=lambda r: r.v)
         assert [r.row for r in rows] == list(range(1, 501)) and {r.rows for r in rows} == {500}
