@@ -132,7 +132,7 @@ class _Parts:
         placed = points.select(F.col(key).alias("key"), *[F.col(c).cast("double").alias(c) for c in self.space.features])
         placed = placed.withColumn("cell", self.space.cell())
         self.boxes = staged(placed.groupBy("cell").agg(*self.space.box()).withColumn("cell_rows", F.col("n")), "boxes")
-        self.rows = lookup(placed, self.boxes.select("cell", "cell_rows"), ["cell"])
+        self.rows = staged(lookup(placed, self.boxes.select("cell", "cell_rows"), ["cell"]), "rows")
         self.is_dense = F.col("cell_rows") >= min_samples
 
     @cached_property

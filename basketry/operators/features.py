@@ -86,7 +86,7 @@ def purchase_span(lines: DataFrame) -> DataFrame:
 
 def customer_features(lines: DataFrame, inactive_days: int = fixed.INACTIVE_DAYS,
                       reference: Column | None = None) -> DataFrame:
-    """All churn features and the label, one row per customer."""
+    """All churn features and the label, one row per customer; ratios are null without any invoice."""
     reference = reference_date(lines) if reference is None else reference
     lines = _known(lines)
     spending = lines.groupBy("customer_id").agg(
@@ -100,10 +100,10 @@ def customer_features(lines: DataFrame, inactive_days: int = fixed.INACTIVE_DAYS
     tenure = whole_days("first_purchase", "last_purchase")
     return _labelled(joined, reference, inactive_days).select(
         "customer_id", "Recency", "Frequency", "Monetary", "Churn",
-        (F.col("Monetary") / F.col("Frequency")).alias("AvgOrderValue"),
+        F.try_divide("Monetary", "Frequency").alias("AvgOrderValue"),
         "TotalQuantity", "UniqueProducts",
         tenure.alias("Tenure"),
-        (tenure / F.col("Frequency")).alias("AvgDaysBetweenPurchases"))
+        F.try_divide(tenure.cast("double"), F.col("Frequency")).alias("AvgDaysBetweenPurchases"))
 
 
 def customer_features_before(lines: DataFrame, cutoff: Column,

@@ -16,6 +16,7 @@ from basketry import fixed_values as fixed
 from basketry.functions.columns import at_least_zero, day_text, half_even
 from basketry.functions.lookups import lookup
 from basketry.operators import metrics, series
+from basketry.session import staged
 
 FORECAST_SCHEMA = "stockcode string, date date, quantity double, forecast double"
 SEASONAL, AUTOREGRESSIVE, ENSEMBLE = "seasonal", "autoregressive", "ensemble"
@@ -183,7 +184,7 @@ def select_models(dense: DataFrame, test_days: int = fixed.HOLDOUT_DAYS, thresho
     The challenger is fitted only for products whose seasonal error is above the threshold.
     """
     ready = long_enough(dense)
-    seasonal = seasonal_forecast(ready, test_days)
+    seasonal = staged(seasonal_forecast(ready, test_days), "seasonal")
     weak = metrics.mape(seasonal).where(F.col("mape") > threshold).select("stockcode")
     challenger = autoregressive_forecast(ready.join(weak, "stockcode", "left_semi"), test_days, mode=mode)
     return compare_models(seasonal, challenger, threshold)
