@@ -10,6 +10,7 @@ adaptive execution once they make a partition uneven.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketry.functions.lookups import lookup
 from basketry.session import staged
 
 
@@ -46,3 +47,21 @@ def connected(nodes: DataFrame, links: DataFrame, node: str = "id") -> DataFrame
         before = after
     roots = current.groupBy(F.col("u").alias(node)).agg(F.min("v").alias("root"))
     return nodes.select(node).join(roots, node, "left").select(node, F.coalesce("root", node).alias("root"))
+
+
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows (id, root) after `links` (rows u, v of ids) join further components to each other.
+
+    Only links between different components are followed, as links of their roots.
+    """
+    between = staged(
+        links.join(roots.select(F.col("id").alias("u"), F.col("root").alias("from")), "u")
+        .join(roots.select(F.col("id").alias("v"), F.col("root").alias("to")), "v")
+        .where(F.col("from") != F.col("to"))
+        .select(F.col("from").alias("u"), F.col("to").alias("v")).distinct(), "links")
+    if between.isEmpty():
+        return roots
+    touched = between.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    moved = connected(touched, between).select(F.col("id").alias("root"), F.col("root").alias("_moved"))
+    return staged(lookup(roots, moved, ["root"]).select(
+        "id", F.coalesce("_moved", "root").alias("root")), "roots")

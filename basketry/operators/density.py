@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from basketry import fixed_values as fixed
 from basketry.functions.lookups import lookup
 from basketry.functions.ordering import numbered, value_buckets
-from basketry.operators.components import connected
+from basketry.operators.components import merged
 from basketry.session import staged
 
 PAIR_BUDGET = 1_000  # two boxes with at most this many pairs of rows are compared directly
@@ -59,18 +59,19 @@ class Space:
 
     def near(self, low_a, high_a, low_b, high_b) -> Column:
         """Least squared distance between two boxes."""
-        gap = F.zip_with(F.zip_with(low_a, high_b, lambda x, y: x - y), F.zip_with(low_b, high_a, lambda x, y: x - y),
-                         lambda x, y: F.greatest(x, y, F.lit(0.0)))
-        return self.squares(gap)
+        return self._squares(lambda d: F.greatest(low_a[d] - high_b[d], low_b[d] - high_a[d], F.lit(0.0)))
 
     def far(self, low_a, high_a, low_b, high_b) -> Column:
         """Largest squared distance between two boxes."""
-        gap = F.zip_with(F.zip_with(high_a, low_b, lambda x, y: x - y), F.zip_with(high_b, low_a, lambda x, y: x - y),
-                         lambda x, y: F.greatest(x, y))
-        return self.squares(gap)
+        return self._squares(lambda d: F.greatest(high_a[d] - low_b[d], high_b[d] - low_a[d]))
 
-    def squares(self, gaps) -> Column:
-        return sum((gaps[d] * gaps[d] for d in range(1, len(self.features))), gaps[0] * gaps[0])
+    def between(self, x, y) -> Column:
+        """Squared distance between two rows."""
+        return self._squares(lambda d: x[d] - y[d])
+
+    def _squares(self, gap) -> Column:
+        gaps = [gap(d) for d in range(len(self.features))]
+        return sum((g * g for g in gaps[1:]), gaps[0] * gaps[0])
 
     def within(self, squared) -> Column:
         return F.sqrt(squared) <= F.lit(self.eps)
@@ -101,8 +102,7 @@ def _reached(asking: DataFrame, rows: DataFrame, boxes: DataFrame, adjacent: Dat
         "key", "x", "other", F.explode(F.sequence(F.lit(0).cast("long"), last_salt)).alias("salt"))
     salted_rows = rows.select(F.col("cell").alias("other"), space.at().alias("y"),
                               F.pmod(F.xxhash64("key"), last_salt + 1).alias("salt"))
-    gap = F.zip_with("x", "y", lambda a, b: a - b)
-    by_row = (salted_open.join(salted_rows, ["other", "salt"]).where(space.within(space.squares(gap)))
+    by_row = (salted_open.join(salted_rows, ["other", "salt"]).where(space.within(space.between(F.col("x"), F.col("y"))))
               .groupBy("key", "other").agg(F.count(F.lit(1)).alias("hits")))
     return by_box.unionByName(by_row)
 
@@ -163,13 +163,14 @@ class _Parts:
         return self.sparse.where(F.col("neighbours") < self.min_samples).drop("neighbours")
 
 
-def _links(core: DataFrame, boxes: DataFrame, adjacent: DataFrame, space: Space, pair_budget: int) -> DataFrame:
-    """Rows (u, v): first keys of cells that have core rows within `eps` of each other.
+def _components(core: DataFrame, boxes: DataFrame, adjacent: DataFrame, space: Space, pair_budget: int) -> DataFrame:
+    """Rows (id, root): cells with core rows, by their first keys, and the smallest id of the cluster.
 
     Level by level, boxes that lie within `eps` altogether link their cells, boxes out of reach are
     dropped, boxes with few pairs of rows are compared row by row, and the rest is split into finer
-    boxes. A pair of cells leaves as soon as anything links it. Boxes shrink to single points in the
-    end, whose distance decides, so the result is exact for any number of rows per cell.
+    boxes. Cells that are already in one cluster are not looked at again, so the certain links of
+    dense regions spare nearly all comparisons. Boxes shrink to single points in the end, whose
+    distance decides, so the result is exact for any number of rows per cell.
     """
     depth = 1
     rows = core.select("key", *space.features, "cell", "cell_rows", _path(space, depth).alias("path"))
@@ -178,15 +179,15 @@ def _links(core: DataFrame, boxes: DataFrame, adjacent: DataFrame, space: Space,
     pairs = (adjacent.join(ends, "cell").join(ends.select(F.col("cell").alias("other"), F.col("u").alias("v")), "other")
              .where(F.col("u") < F.col("v"))
              .select("u", "v", F.array("cell").alias("path_u"), F.array("other").alias("path_v")))
-    linked = None
+    roots = staged(boxes.select(F.col("first_key").alias("id"), F.col("first_key").alias("root")), "roots")
     while True:
         pairs = _judged(pairs, level, space, pair_budget)
-        small = _compared(pairs.where("verdict = 'few'"), rows, space)
-        found = staged(pairs.where("verdict = 'linked'").select("u", "v").unionByName(small).distinct(), "links")
-        linked = found if linked is None else linked.unionByName(found)
-        left = staged(pairs.where("verdict = 'open'").join(found, ["u", "v"], "left_anti"), "open-pairs")
+        roots = merged(roots, pairs.where("verdict = 'linked'").select("u", "v").distinct())
+        unsure = staged(_apart(pairs.where("verdict <> 'linked'"), roots), "unsure")
+        roots = merged(roots, _compared(unsure.where("verdict = 'few'"), rows, space))
+        left = staged(_apart(unsure.where("verdict = 'open'"), roots), "open-pairs")
         if left.isEmpty():
-            return linked
+            return roots
         depth += 1
         open_cells = left.select(F.col("path_u")[0].alias("cell")).unionByName(left.select(F.col("path_v")[0].alias("cell")))
         rows = staged(lookup(rows, open_cells.distinct(), ["cell"], "inner").withColumn("path", _path(space, depth)), "open-rows")
@@ -194,6 +195,13 @@ def _links(core: DataFrame, boxes: DataFrame, adjacent: DataFrame, space: Space,
         pairs = _children(left, level)
 
 
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs whose cells are not in the same component."""
+    of_u = roots.select(F.col("id").alias("u"), F.col("root").alias("root_u"))
+    of_v = roots.select(F.col("id").alias("v"), F.col("root").alias("root_v"))
+    return pairs.join(of_u, "u").join(of_v, "v").where("root_u <> root_v").drop("root_u", "root_v")
+
+
 def _path(space: Space, depth: int) -> Column:
     """The boxes of a row from the coarsest level to the one at `depth`."""
     return F.array(*[space.cell(FINER ** step) for step in range(depth)])
@@ -225,8 +233,7 @@ def _compared(few: DataFrame, rows: DataFrame, space: Space) -> DataFrame:
     held = lookup(rows.select("path", space.at().alias("at")), wanted, ["path"], "inner")
     left = held.select(F.col("path").alias("path_u"), F.col("at").alias("x"))
     right = held.select(F.col("path").alias("path_v"), F.col("at").alias("y"))
-    gap = F.zip_with("x", "y", lambda a, b: a - b)
-    return (few.join(left, "path_u").join(right, "path_v").where(space.within(space.squares(gap)))
+    return (few.join(left, "path_u").join(right, "path_v").where(space.within(space.between(F.col("x"), F.col("y"))))
             .select("u", "v").distinct())
 
 
@@ -240,8 +247,7 @@ def dbscan(points: DataFrame, features: Sequence[str], eps: float = fixed.EPS, m
     space, core = parts.space, parts.core
     boxes = staged(core.groupBy("cell").agg(
         *space.box(), F.min("key").alias("first_key"), F.max("cell_rows").alias("cell_rows")), "core-boxes")
-    heads = boxes.select(F.col("first_key").alias("id"))
-    roots = staged(connected(heads, _links(core, boxes, parts.adjacent, space, pair_budget)), "roots")
+    roots = _components(core, boxes, parts.adjacent, space, pair_budget)
     clusters = staged(roots.select("root").distinct(), "clusters")
     numbers = numbered(value_buckets(clusters, "root"), "_bucket", ["root"]).select(
         "root", (F.col("row") - 1).cast("int").alias("Cluster_DBSCAN"))

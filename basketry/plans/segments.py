@@ -7,9 +7,10 @@ from basketry import fixed_values as fixed
 from basketry.operators import cluster_metrics, density, segments
 from basketry.operators.features import RFM, standardised
 from basketry.plans.fitted import once
-from basketry.plans.lines import churn_table, retail_lines, rfm_table, rounded
+from basketry.plans.lines import churn_table, rfm_table, rounded
 from basketry.session import staged
 from basketry.sources.retail import crm_export as export_columns
+from basketry.sources.star import retail_lines
 
 
 def _customers(spark, folder) -> DataFrame:

@@ -15,7 +15,7 @@ FOLDER = "/root/testdata/sf0.001"
 def spark():
     session = build_session(
         "tests", "local[8]",
-        **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g", "spark.ui.enabled": "false",
+        **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "12g", "spark.ui.enabled": "false",
            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="run-")})
     session.sparkContext.setLogLevel("ERROR")
     yield session

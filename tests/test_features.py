@@ -1,8 +1,10 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from basketry.operators import features
+from basketry.sources import retail
 
 DAY = dt.datetime(2020, 6, 30, 12)
 
@@ -41,6 +43,20 @@ def test_labelled_lines_give_the_same_customers(spark):
     assert sorted(map(tuple, features.rfm_from_labelled_lines(labelled).collect())) == sorted(map(tuple, direct.collect()))
 
 
+@pytest.mark.parametrize("format", ["csv", "parquet"])
+def test_features_survive_writing(spark, tmp_path, format):
+    table = features.customer_features(sample(spark))
+    retail.write_table(table, str(tmp_path / "features"), format)
+    reader = spark.read.schema(table.schema).option("header", format == "csv")
+    back = reader.format(format).load(str(tmp_path / "features"))
+    assert sorted(map(str, back.collect())) == sorted(map(str, table.collect()))
+
+
+def test_a_customer_without_invoices_has_no_ratios(spark):
+    row = features.customer_features(lines(spark, (1, None, "x", 1, 2.0, before(1)))).first()
+    assert row.Frequency == 0 and row.AvgOrderValue is None and row.AvgDaysBetweenPurchases is None
+
+
 def test_rfm_leaves_out_customers_without_spending(spark):
     assert sorted(r.customer_id for r in features.rfm(sample(spark)).collect()) == [1, 2]
 
