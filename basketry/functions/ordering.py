@@ -21,7 +21,8 @@ def running_total(df: DataFrame, bucket: str, order: Sequence, amount: str,
                   by: Sequence[str] = ()) -> DataFrame:
     """Adds `upto` (total of `amount` up to and with the row) and `total` (of the whole group).
 
-    `bucket` must never decrease along `order`. Bucket totals are at most buckets x groups rows.
+    `bucket` must never decrease along `order`, and the columns `by` hold no nulls. Bucket totals
+    are at most buckets x groups rows.
     """
     by = list(by)
     sums = df.groupBy(*by, bucket).agg(F.sum(amount).alias("_held"))

@@ -24,6 +24,7 @@ def _sums(points: DataFrame, features: Sequence[str], label: str) -> DataFrame:
 
 
 def _gathered(table: DataFrame) -> Column:
+    """All rows of a table of clusters as one array."""
     return table.agg(F.collect_list(F.struct(*table.columns)).alias("all")).scalar()
 
 

@@ -1,5 +1,7 @@
 """Stratified split and folds. Rows are ordered by a hash of their key, exactly and repeatably."""
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ def stratified_split(df: DataFrame, key: str = "customer_id", label: str = "Chur
     labelled = df.where(F.col(label).isNotNull())
     classes = labelled.groupBy(label).agg(F.count(F.lit(1)).alias("_rows"))
     everything = Window.partitionBy()  # one row per class
-    wanted = F.ceil(F.round(F.sum("_rows").over(everything) * F.lit(test_fraction), 6))
+    wanted = F.ceil(F.sum("_rows").over(everything) * F.lit(Decimal(str(test_fraction)))).cast("long")
     ideal = F.col("_rows") * wanted / F.sum("_rows").over(everything)
     quotas = (classes.withColumns({"_base": F.floor(ideal), "_part": ideal - F.floor(ideal), "_wanted": wanted})
               .withColumn("_place", F.row_number().over(everything.orderBy(F.desc(F.round("_part", 9)), label)))

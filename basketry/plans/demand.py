@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from basketry.operators import forecast, metrics, series
 from basketry.plans.fitted import once
-from basketry.plans.lines import brand_series, rounded, type_series
+from basketry.plans.lines import brand_series, rounded, top_product_series, type_series
 from basketry.session import staged
 
 
@@ -58,6 +58,11 @@ def ensemble_select(spark, folder):
     return _selected(spark, folder)
 
 
+def top_product_models(spark, folder):
+    """The same choice for the five parts with the largest quantity, picked before gaps are filled."""
+    return forecast.select_models(staged(top_product_series(spark, folder), "series"))
+
+
 def run_metrics(spark, folder):
     return forecast.run_metrics(_selected(spark, folder))
 
@@ -78,6 +83,7 @@ QUERIES = {
     "mape_by_product": mape_by_product,
     "model_choice": model_choice,
     "ensemble_select": ensemble_select,
+    "top_product_models": top_product_models,
     "run_metrics": run_metrics,
     "demand_horizon": demand_horizon,
 }
