@@ -12,8 +12,24 @@ def tidy_name(header: str) -> str:
 
 
 def whole_days(start, end) -> Column:
-    """Whole elapsed days (not calendar days) from `start` to `end`."""
-    return F.timestamp_diff("DAY", start, end).cast("int")
+    """Whole elapsed days (not calendar days) from `start` to `end`, rounded down.
+
+    Taken from dates and times of day, so the session's time zone plays no part.
+    """
+    start, end = _column(start), _column(end)
+    return F.datediff(end, start) - (_clock(end) < _clock(start)).cast("int")
+
+
+def _column(value) -> Column:
+    return F.col(value) if isinstance(value, str) else value
+
+
+def _seconds(timestamp: Column) -> Column:
+    return F.date_part(F.lit("SECOND"), timestamp)
+
+
+def _clock(timestamp: Column) -> Column:
+    return F.hour(timestamp) * 3600 + F.minute(timestamp) * 60 + _seconds(timestamp)
 
 
 def half_even(value, digits: int) -> Column:
@@ -42,8 +58,9 @@ def share_error(actual, forecast) -> Column:
 
 
 def second_of(timestamp) -> Column:
-    """The timestamp without its fraction of a second."""
-    return F.date_trunc("second", timestamp).cast("timestamp_ntz")
+    """The timestamp without its fraction of a second, in any time zone."""
+    timestamp = _column(timestamp)
+    return timestamp - F.make_dt_interval(secs=_seconds(timestamp) % 1)
 
 
 def day_text(date) -> Column:

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "basketry", master: str | None = None, **settings: str) -> SparkSession:
-    """A session with adaptive execution and skew splitting on, and UTC as its time zone."""
+    """A session with adaptive execution, skew splitting and checked arithmetic, in UTC."""
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.ansi.enabled", "true")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")

@@ -69,6 +69,18 @@ def test_calendar_and_seconds(spark):
     assert row.invoicedate == dt.datetime(2020, 2, 29, 23, 59, 59)
 
 
+def test_time_zone_of_the_session_plays_no_part(spark):
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        moment = dt.datetime(2020, 3, 29, 2, 30, 0, 5)  # an hour that does not exist in that zone
+        row = cleaning.add_calendar(lines(spark, line(when=moment))).withColumn(
+            "days", whole_days("invoicedate", F.expr("TIMESTAMP_NTZ'2020-03-30 02:29:59'"))).withColumn(
+            "back", whole_days(F.expr("TIMESTAMP_NTZ'2020-03-30 02:29:59'"), "invoicedate")).first()
+        assert row.invoicedate == moment.replace(microsecond=0) and (row.days, row.back) == (0, -1)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_null_profile_and_stage_counts(spark):
     df = lines(spark, line(), line(), line(invoice="2", who=None), line(invoice="3", quantity=-1), line(invoice="4"))
     assert {r.column: r.nulls for r in cleaning.null_profile(df).collect()}["customer_id"] == 1
