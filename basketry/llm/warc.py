@@ -173,7 +173,7 @@ def write(pages: DataFrame, folder: str | None = None, id: str = "page_id", url:
                     path = f"{folder}/{uuid.uuid4().hex}.warc.zst"
                     system, inner = _opened(folder)
                     system.create_dir(inner, recursive=True)
-                    writer = BundleWriter(system.open_output_stream(f"{inner}/{path.rsplit('/', 1)[1]}"))
+                    writer = BundleWriter(system.open_output_stream(f"{inner}/{path.rsplit('/', 1)[1]}", compression=None))
                 record, where, data, refers = (c[k].as_py() for c in batch.columns)
                 writer.add(record, record_bytes(record, where, data, refers))
                 if writer.at >= BUNDLE_BYTES:
