@@ -31,6 +31,7 @@ SHINGLE = 5
 #: The least similarity as a ratio of whole numbers.
 THRESHOLD = (75, 100)
 KEY_BITS = 48
+SCAN_COST = 3
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -91,7 +92,7 @@ def set_sizes(docs: DataFrame, id: str, text: str) -> DataFrame:
 
     kind = docs.schema[id].dataType.simpleString()
     named = docs.where(F.col(id).isNotNull()).select(F.col(id).alias("doc"), F.col(text).alias("text"))
-    return map_rows(named, ["doc", "text"], f"doc {kind}, size long, digest long", work)
+    return map_rows(named, ["doc", "text"], f"doc {kind}, size long, digest long", work, 1_000_000)
 
 
 def postings(docs: DataFrame, id: str, text: str) -> DataFrame:
@@ -104,7 +105,7 @@ def postings(docs: DataFrame, id: str, text: str) -> DataFrame:
 
     kind = docs.schema[id].dataType.simpleString()
     named = docs.where(F.col(id).isNotNull()).select(F.col(id).alias("doc"), F.col(text).alias("text"))
-    return map_rows(named, ["doc", "text"], f"shingle long, doc {kind}", work, raw=True)
+    return map_rows(named, ["doc", "text"], f"shingle long, doc {kind}", work, 1_000_000, raw=True)
 
 
 def _least_overlap(size: Column, threshold: tuple[int, int]) -> Column:
@@ -115,18 +116,26 @@ def _least_overlap(size: Column, threshold: tuple[int, int]) -> Column:
 def shared_sets(docs: DataFrame, sizes: DataFrame, id: str, text: str, threshold: tuple[int, int]) -> DataFrame:
     """Rows (doc, size, keys) of the documents with enough shared shingles to have a partner.
 
-    A key is a shingle with its document frequency above it, so sorted keys are sorted by frequency.
+    `sizes` are rows (doc, size, copies) of one document per set. A key is a shingle with its document
+    frequency above it, so sorted keys are sorted by frequency; a shingle found as often as
+    its set has copies is in no other set.
     """
     counted = postings(docs, id, text).withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("shingle")))
-    packed = F.shiftleft(F.least("df", F.lit((1 << 63 - KEY_BITS) - 1)), KEY_BITS).bitwiseOR(F.col("shingle"))
+    most = (1 << 63 - KEY_BITS) - 1
+    packed = F.shiftleft(F.least("df", F.lit(most)), KEY_BITS).bitwiseOR(F.col("shingle"))
     found = counted.where(F.col("df") > 1).groupBy("doc").agg(F.sort_array(F.collect_set(packed)).alias("keys"))
-    return staged(found.join(sizes.select("doc", "size"), "doc").where(
-        F.size("keys") >= _least_overlap(F.col("size"), threshold)), "shared-sets")
+    met = found.join(sizes, "doc").withColumn("keys", F.filter(
+        "keys", lambda k: (F.shiftright(k, KEY_BITS) != F.col("copies")) | (F.col("copies") >= most)))
+    return staged(met.where(F.size("keys") >= _least_overlap(F.col("size"), threshold)).select("doc", "size", "keys"), "shared-sets")
 
 
 def light_limit(sets: DataFrame) -> int:
-    """The size below which subsets cost less rows than scanned lists: sets are summed per power of two."""
-    scan = F.aggregate("prefix", F.lit(0).cast("long"), lambda a, k: a + F.shiftright(k, KEY_BITS))
+    """The size below which subsets cost less rows than lists, summed per power of two of the size.
+
+    A list's row is dealt and compared, and read again until its bucket is one component (SCAN_COST rows
+    in all); a pair of rare shingles is seldom shared by unlinked sets, and costs one row.
+    """
+    scan = SCAN_COST * F.size("prefix")
     subsets = F.size("longer") * (F.size("longer") - 1) / 2
     steps = sets.groupBy(F.floor(F.log2("size")).alias("step")).agg(
         F.sum(scan).alias("scan"), F.sum(subsets).alias("subsets")).orderBy("step").collect()  # at most 64 rows
@@ -139,25 +148,29 @@ def light_limit(sets: DataFrame) -> int:
 
 
 def buckets(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Rows (bucket, doc, size, place): members of buckets of two or more, the most shared sets first."""
-    size = F.col("size")
-    spare = size - _least_overlap(size, threshold) + 1 - (size - F.size("keys"))
+    """Rows (bucket, doc, size, most, place, members): buckets of two or more, the most shared sets first.
+
+    `most` bounds the overlap with a set whose first common shingles (in the order by frequency) are the bucket's.
+    """
+    size, own = F.col("size"), F.col("size") - F.size("keys")
+    spare = size - _least_overlap(size, threshold) + 1 - own
     cut = sets.withColumns({"prefix": F.slice("keys", F.lit(1), F.greatest(spare, F.lit(0)).cast("int")),
                             "longer": F.slice("keys", F.lit(1), F.greatest(spare + 1, F.lit(0)).cast("int"))})
     limit = light_limit(cut)
-    named = cut.select("doc", "size", (size - F.size("keys")).alias("own"), "prefix", "longer", (size >= limit).alias("heavy"))
-    lists = named.select("doc", "size", "own", "heavy", F.explode("prefix").alias("bucket"))
-    scanned = Window.partitionBy("bucket")
-    lists = lists.withColumn("any", F.max("heavy").over(scanned)).where("any").drop("any", "heavy")
+    named = cut.select("doc", "size", own.alias("own"), "prefix", "longer", (size >= limit).alias("heavy"))
+    lists = named.select("doc", "size", "own", "heavy", F.posexplode("prefix").alias("at", "bucket")).withColumn(
+        "most", F.col("size") - F.col("own") - F.col("at"))
+    lists = lists.withColumn("any", F.max("heavy").over(Window.partitionBy("bucket"))).where("any").drop("any", "heavy", "at")
     pairs = F.flatten(F.transform("longer", lambda x, i: F.transform(
-        F.slice("longer", i + 2, F.size("longer")), lambda y: F.xxhash64(x, y))))
-    light = named.where(~F.col("heavy")).select("doc", "size", "own", F.explode(pairs).alias("bucket"))
+        F.slice("longer", i + 2, F.size("longer")),
+        lambda y, j: F.struct(F.xxhash64(x, y).alias("bucket"), (F.col("size") - F.col("own") - i - j).alias("most")))))
+    light = named.where(~F.col("heavy")).select("doc", "size", "own", F.explode(pairs).alias("x")).select("doc", "size", "own", "x.*")
     members = lists.unionByName(light)
     group = Window.partitionBy("bucket")
     placed = members.withColumns({
         "members": F.count(F.lit(1)).over(group),
         "place": F.row_number().over(group.orderBy(F.col("own") / F.col("size"), "doc")) - 1}).where("members > 1")
-    return staged(placed.select("bucket", "doc", "size", "place", "members"), "buckets")
+    return staged(placed.select("bucket", "doc", "size", "most", "place", "members"), "buckets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -173,29 +186,28 @@ def linked_sets(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     open_buckets = buckets(sets, threshold)
     links = roots = None
     first, pivots = 0, 1
+    group = Window.partitionBy("bucket")
     while not open_buckets.isEmpty():
-        chosen = (F.col("place") >= first) & (F.col("place") < first + pivots)
         root = F.col("root") if roots is not None else F.col("doc")
-        pivot = open_buckets.where(chosen).select(
-            "bucket", F.col("doc").alias("u"), F.col("size").alias("u_size"), F.col("place").alias("u_place"), root.alias("u_root"))
+        pivot = F.struct(F.col("doc").alias("u"), F.col("size").alias("u_size"), F.col("most").alias("u_most"),
+                         F.col("place").alias("u_place"), root.alias("u_root"))
+        chosen = (F.col("place") >= first) & (F.col("place") < first + pivots)
+        able = ((F.col("place") > F.col("u_place")) & (root != F.col("u_root"))
+                & ((threshold[0] + threshold[1]) * F.least("most", "u_most") >= threshold[0] * (F.col("size") + F.col("u_size"))))
         if pivots == 1:
-            held = F.max(F.when(chosen, F.struct(F.col("doc").alias("u"), F.col("size").alias("u_size"),
-                                                 F.col("place").alias("u_place"), root.alias("u_root")))).over(Window.partitionBy("bucket"))
-            met = open_buckets.withColumn("_pivot", held).select("*", "_pivot.*")
+            met = open_buckets.withColumn("_pivot", F.max(F.when(chosen, pivot)).over(group)).select("*", "_pivot.*").where(able)
         else:
-            met = open_buckets.join(pivot, "bucket")
-        pairs = met.where(
-            (F.col("place") > F.col("u_place")) & (root != F.col("u_root"))
-            & (threshold[1] * F.least("size", "u_size") >= threshold[0] * F.greatest("size", "u_size"))
-        ).select(F.least("u", "doc").alias("u"), F.greatest("u", "doc").alias("v")).distinct()
-        new = staged(_verified(staged(pairs, "pairs"), sets, threshold), "links")
-        links = new if links is None else staged(links.unionByName(new).distinct(), "links")
-        roots = components(links)
-        first, pivots = first + pivots, 4 * pivots
-        labels = roots.select(F.col("node").alias("doc"), F.col("root").alias("_root"))
-        now = open_buckets.where(F.col("members") > first + 1).drop("root").join(labels, "doc", "left").withColumn(
-            "root", F.coalesce("_root", "doc")).drop("_root")
-        group = Window.partitionBy("bucket")
+            met = open_buckets.join(open_buckets.where(chosen).select(F.col("bucket").alias("_bucket"), pivot.alias("_pivot")).select(
+                "_bucket", "_pivot.*"), (F.col("bucket") == F.col("_bucket")) & able)
+        pairs = staged(met.select(F.least("u", "doc").alias("u"), F.greatest("u", "doc").alias("v")).distinct(), "pairs")
+        new = staged(_verified(pairs, sets, threshold), "links")
+        first, pivots = first + pivots, 16 * pivots
+        now = open_buckets.where(F.col("members") > first + 1)
+        if roots is None or not new.isEmpty():
+            links = new if links is None else staged(links.unionByName(new), "links")
+            roots = components(links)
+            now = now.drop("root").join(roots.select(F.col("node").alias("doc"), F.col("root").alias("_root")), "doc", "left").withColumn(
+                "root", F.coalesce("_root", "doc")).drop("_root")
         now = now.withColumns({"_lo": F.min("root").over(group), "_hi": F.max("root").over(group)})
         open_buckets = staged(now.where("_lo != _hi").drop("_lo", "_hi"), "buckets")
     return roots
@@ -215,10 +227,10 @@ def similar_documents(docs: DataFrame, id: str = "doc_id", text: str = "text",
     sizes = staged(set_sizes(docs, id, text).groupBy("doc").agg(F.max(F.struct("size", "digest")).alias("x")).select(
         "doc", "x.size", "x.digest"), "sizes")
     groups = staged(sizes.where("size > 0").groupBy("size", "digest").agg(
-        F.min("doc").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies"), "copies")
-    copies = staged(sizes.join(groups, ["size", "digest"]).where(F.col("doc") != F.col("first")).select("doc", "first"), "copies")
-    shared = shared_sets(docs, sizes, id, text, threshold)
-    sets = staged(shared.join(copies, "doc", "left_anti"), "sets")
+        F.min("doc").alias("first"), F.count(F.lit(1)).alias("copies")), "sets")
+    copies = staged(sizes.join(groups.where("copies > 1"), ["size", "digest"]).where(F.col("doc") != F.col("first")).select(
+        "doc", "first"), "copies")
+    sets = shared_sets(docs, groups.select(F.col("first").alias("doc"), "size", "copies"), id, text, threshold)
     roots = linked_sets(sets, threshold)
     named = sizes.join(copies, "doc", "left").withColumn("first", F.coalesce("first", "doc"))
     if roots is not None:
