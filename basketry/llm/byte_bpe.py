@@ -17,7 +17,7 @@ from basketry.llm.common import map_rows, per_worker
 
 NONE = np.int32(2**31 - 1)
 #: Pieces kept between slices: at most so many, and none longer than LONG bytes.
-KNOWN_PIECES, LONG = 1_000_000, 256
+KNOWN_PIECES, LONG = 400_000, 256
 
 
 class PairTable:
@@ -204,7 +204,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id: str = "doc_id", text:
 
     kind = docs.schema[id].dataType.simpleString()
     named = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
-    return map_rows(named, ["doc_id", "text"], f"doc_id {kind}, ids array<int>", work, 2_000_000, raw=True)
+    return map_rows(named, ["doc_id", "text"], f"doc_id {kind}, ids array<int>", work, 1_000_000, raw=True)
 
 
 def decode(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
@@ -213,4 +213,4 @@ def decode(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
         return [*columns, bpe(ranks, pattern).decode(columns[1])]
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return map_rows(encoded, ["doc_id", "ids"], f"doc_id {kind}, ids array<int>, decoded binary", work, 2_000_000, raw=True)
+    return map_rows(encoded, ["doc_id", "ids"], f"doc_id {kind}, ids array<int>, decoded binary", work, 1_000_000, raw=True)
