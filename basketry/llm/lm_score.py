@@ -25,7 +25,7 @@ from basketry.session import staged
 
 DEPTH, FULL, CLASS_BITS, DEEP = 5, 3, 5, 1 << 15
 END = 3  # the byte that ends a text
-FREQUENT = 1 << 16
+FREQUENT = 1 << 15
 
 
 def _classes() -> np.ndarray:
@@ -110,7 +110,7 @@ def tree_counts(counts: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
         table = rows.select("code", "n").toArrow()
         code, n = (np.asarray(table.column(c)) for c in ("code", "n"))
         nodes, row = np.unique(code >> 8, return_inverse=True) if len(code) or depth else (np.zeros(1, np.int64), code)
-        dense = np.zeros((len(nodes), 256), np.float32 if n.sum() < 1 << 24 else np.float64)
+        dense = np.zeros((len(nodes), 256), np.uint32 if n.sum() < 1 << 32 else np.float64)
         dense[row, code & 255] = n
         out.append((nodes, dense))
     return out
@@ -125,7 +125,8 @@ class Tree:
         parents = [None] + [np.searchsorted(levels[d - 1][0], levels[d][0] & ((1 << CLASS_BITS * (d - 1)) - 1))
                             for d in range(1, len(levels))]
         for bit in range(8):
-            self._decide(levels, parents, firsts, bit)
+            for low in range(0, 1 << bit, 16):  # decisions do not depend on each other
+                self._decide(levels, parents, firsts, bit, slice(low, min(low + 16, 1 << bit)))
         top = 1 << CLASS_BITS * (DEPTH - 1)
         self.short = np.zeros(top, np.int32)  # deepest node of each context of DEPTH - 1 bytes
         for d in range(DEPTH):
@@ -137,12 +138,12 @@ class Tree:
         self.next = np.full((len(levels[DEPTH - 1][0]) + 1, 1 << CLASS_BITS), -1, np.int32)
         self.next[parents[DEPTH], levels[DEPTH][0] >> CLASS_BITS * (DEPTH - 1)] = firsts[DEPTH] + np.arange(len(levels[DEPTH][0]))
 
-    def _decide(self, levels, parents, firsts, bit: int) -> None:
-        """Adds the log-probabilities of one of the eight decisions to every node's row."""
+    def _decide(self, levels, parents, firsts, bit: int, some: slice) -> None:
+        """Adds the log-probabilities of some of the decisions at a bit to every node's row."""
         shape = (-1, 1 << bit, 2, 1 << (7 - bit))
-        splits = [dense.reshape(shape).sum(axis=-1, dtype=np.float64) for _, dense in levels]
+        splits = [dense.reshape(shape)[:, some].sum(axis=-1, dtype=np.float64) for _, dense in levels]
         stops, estimates, rests = [None] * len(levels), [None] * len(levels), [None] * len(levels)
-        below = inner = None
+        below = None
         for d in range(len(levels) - 1, -1, -1):
             zeros, ones = splits[d][..., 0], splits[d][..., 1]
             log_kt = _log_kt(zeros, ones)
@@ -169,7 +170,7 @@ class Tree:
             reach = reach * (1 - stop) if stops[d] is not None else np.zeros_like(one)
             final = np.clip(one + (reach * rests[d] if rests[d] is not None else 0), 1e-12, 1 - 1e-12)
             bits = np.stack([np.log10(1 - final), np.log10(final)], axis=-1).astype(np.float32)
-            self.table[firsts[d]:firsts[d + 1]].reshape(shape)[...] += bits[..., None]
+            self.table[firsts[d]:firsts[d + 1]].reshape(shape)[:, some] += bits[..., None]
 
     def parts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
         return self.table, self.short, self.next, self.base
@@ -216,7 +217,8 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     learnt = named.where("trained")
     counts = staged(word_counts(learnt), "word-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    frequent = {r["word"]: r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()}
+    top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).toArrow()
+    frequent = dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist()))
     shared = spark.sparkContext.broadcast((frequent, Tree(tree_counts(context_counts(learnt))).parts()))  # bounded, see above
     scale = float(np.log10(total + 0.1 * (distinct + 1)))
     unknown = float(np.log10(0.1))

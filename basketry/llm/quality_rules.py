@@ -120,24 +120,25 @@ def adaptive_verdicts(features: DataFrame, reach: float = 3.0, least_documents:
     values = passed.select("lang", "source", F.explode(F.array(*[
         F.struct(F.lit(k).alias("feature"), _ratio(k).cast("double").alias("value")) for k in RATIOS])).alias("x")
     ).select("lang", "source", "x.*")
-    sketches = staged(quantile_sketches(values, ["lang", "source"], accuracy), "sketches")
+    sketches = staged(quantile_sketches(values, ["lang", "source"], accuracy).withColumn("_one", F.lit(1)), "sketches")
     shares = {"q1": 0.25, "q3": 0.75}
     margin = F.coalesce(*[F.when(F.col("feature") == k, m) for k, m in RATIOS.items()])
     fence = (F.col("q3") + F.greatest(reach * (F.col("q3") - F.col("q1")), margin)).alias("fence")
 
     def wide(by: list[str], name: str) -> DataFrame:
+        by = [*by, "_one"]
         rows = sketch_quantiles(sketches, by, shares, accuracy).select(*by, "feature", "total", fence)
         return rows.groupBy(*by).agg(F.max("total").alias(f"{name}_total"), *[
             F.max(F.when(F.col("feature") == k, F.col("fence"))).alias(f"{name}_{k}") for k in RATIOS])
 
-    groups = sketches.select("lang", "source").distinct()
+    groups = sketches.select("lang", "source", "_one").distinct()
     fences = groups
     for name, by in (("own", ["lang", "source"]), ("lang", ["lang"]), ("all", [])):
-        other = wide(by, name).withColumnsRenamed({c: f"_{name}_{c}" for c in by})
-        match = F.lit(True)
+        other = wide(by, name).withColumnsRenamed({c: f"_{name}_{c}" for c in [*by, "_one"]})
+        match = F.col("_one") == F.col(f"_{name}__one")
         for c in by:
             match = match & F.col(c).eqNullSafe(F.col(f"_{name}_{c}"))
-        fences = fences.join(other, match, "left").drop(*[f"_{name}_{c}" for c in by])
+        fences = fences.join(other, match, "left").drop(*[f"_{name}_{c}" for c in [*by, "_one"]])
 
     def chosen(k: str) -> Column:
         return (F.when(F.col("own_total") >= least_documents, F.col(f"own_{k}"))
