@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from basketry.session import fresh_path, staged
 
 FRAME_MAGIC, FOOTER_MAGIC = 0x184D2A5E, 0x8F92EAB1
-FRAME_BYTES, BUNDLE_BYTES = 1 << 20, 256 << 20
+FRAME_BYTES, BUNDLE_BYTES, READ_BYTES = 1 << 20, 256 << 20, 16 << 20
 DATE = "1970-01-01T00:00:00Z"
 INDEX = "record string, bundle string, frame int, frame_at long, frame_size long, record_at long, record_size long"
 RECORD = ("record string, url string, record_type string, refers_to string, payload_digest string, "
@@ -188,6 +188,8 @@ def write(pages: DataFrame, folder: str | None = None, id: str = "page_id", url:
 def read(index: DataFrame) -> DataFrame:
     """The records of every frame that `index` names, read back through the bundles' seek tables."""
     frames = index.select("bundle", "frame", "frame_at", "frame_size").distinct()
+    # by what is read, not by the few bytes of the index
+    tasks = 1 + (frames.agg(F.coalesce(F.sum("frame_size"), F.lit(0))).first()[0] // READ_BYTES)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -208,7 +210,7 @@ def read(index: DataFrame) -> DataFrame:
                     data = zstandard.ZstdDecompressor().decompress(source.read(size))
                 yield pa.RecordBatch.from_pylist(list(parsed(data)), schema=schema)
 
-    return frames.repartition("bundle", "frame").mapInArrow(work, RECORD)
+    return frames.repartition(int(tasks), "bundle", "frame").mapInArrow(work, RECORD)
 
 
 def fetch(spark: SparkSession, index: DataFrame, records: DataFrame) -> DataFrame:
