@@ -9,6 +9,7 @@ are read from the sketches per (language, source) and joined to the documents.
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -154,11 +155,18 @@ def adaptive_verdicts(features: DataFrame, reach: float = 3.0, least_documents:
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` (doc_id, text, lang, source and others) whose document the rules keep.
+    """The rows of `docs` (doc_id, text, lang, source and others) that the rules keep.
 
-    Rows that repeat an id are judged one by one and all stay if any of them is kept; rows without an
-    id are judged by no rule that could single them out and go.
+    Every row is judged by its own text, repeated ids too; rows without an id go. Rows are written once
+    beside their features and meet only the few fences, so texts are never shuffled. A column of any
+    name may come along.
     """
-    kept = staged(adaptive_verdicts(staged(quality_features(docs), "features"), **options)
-                  .where("kept").select("doc_id").distinct(), "kept")
-    return docs.join(kept, "doc_id", "left_semi")
+    @F.pandas_udf(FEATURES)
+    def measured(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(list(map(features_of, texts)), columns=names)
+
+    names = [part.split()[0] for part in FEATURES.split(", ")]
+    carried = docs.where(F.col("doc_id").isNotNull()).select(
+        "lang", "source", measured("text").alias("_features"), F.struct("*").alias("_row")).select(
+        "lang", "source", "_features.*", "_row")
+    return adaptive_verdicts(staged(carried, "features"), **options).where("kept").select("_row.*")

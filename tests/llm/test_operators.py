@@ -310,6 +310,13 @@ def test_quality_verdicts(make_docs, odd_docs, spark):
     bad = [(1000, " ".join(f"w{k}###" for k in range(60))), (1001, "too short"), (1002, "same five words right here " * 20)]
     kept = {r["doc_id"] for r in quality_rules.keep_good(make_docs(good + bad)).collect()}
     assert kept == {k for k, _ in good}
+    again = make_docs(good + bad + [(0, "too short"), good[5], (None, good[7][1])]).selectExpr("*", "'x' as n_words", "1 as fence")
+    rows = quality_rules.keep_good(again)
+    assert rows.columns == again.columns
+    assert Counter(r["doc_id"] for r in rows.collect()) == Counter([k for k, _ in good] + [good[5][0]])
+    odd = quality_rules.keep_good(odd_docs)
+    assert odd.columns == odd_docs.columns and odd.count() <= odd_docs.count()
+    assert quality_rules.keep_good(odd_docs.where("false")).count() == 0
     features = quality_rules.quality_features(odd_docs)
     assert quality_rules.adaptive_verdicts(features).count() == odd_docs.count()
     assert quality_rules.adaptive_verdicts(features.where("false")).count() == 0
