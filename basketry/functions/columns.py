@@ -8,7 +8,7 @@ from basketry import fixed_values as fixed
 
 def tidy_name(header: str) -> str:
     """Header text as a column name: trimmed, lower case, blanks as underscores."""
-    return "_".join(header.strip().lower().split(" "))
+    return header.strip().lower().replace(" ", "_")
 
 
 def whole_days(start, end) -> Column:
@@ -41,15 +41,14 @@ def at_least_zero(value) -> Column:
     return F.greatest(F.lit(0.0), value)
 
 
-def exact_sum(value, digits: int = 4) -> Column:
-    """Sum of a decimal quantity held as double, independent of the order of addition.
+def exact_sum(value, digits: int = 12) -> Column:
+    """Sum of a quantity held as double, independent of the order of addition.
 
-    Values are added as whole multiples of 10^-digits, so a retried or re-split task cannot change
-    the last bits; an overflow of the 64-bit total raises an error instead of wrapping. Nulls are
-    skipped and a group of nulls only sums to zero.
+    Values are added as decimals of `digits` fractional digits, which hold money and fractional units
+    whole, so a retried or re-split task cannot change the last bits. Nulls are skipped and a group of
+    nulls only sums to zero.
     """
-    unit = 10.0 ** digits
-    return F.coalesce(F.sum(F.rint(value * unit).cast("long")), F.lit(0)) / F.lit(unit)
+    return F.coalesce(F.sum(value.cast(f"decimal(38,{digits})")).cast("double"), F.lit(0.0))
 
 
 def share_error(actual, forecast) -> Column:

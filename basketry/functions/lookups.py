@@ -1,28 +1,16 @@
-"""Joining a large table to a smaller one whose size is checked first."""
+"""Joining a large table to a smaller one."""
 
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from basketry.session import staged
 
-BROADCAST_ROWS = 200_000
-SALTS = 32
 
-
-def lookup(facts: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left",
-           broadcast_rows: int = BROADCAST_ROWS, salts: int = SALTS) -> DataFrame:
+def lookup(facts: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
     """Joins `table` (one row per key) to `facts`.
 
-    The table is written once and counted. Up to `broadcast_rows` it is broadcast; beyond that both
-    sides are shuffled on the key plus a salt, so that a key with a third of all facts is spread
-    over `salts` tasks. The salt is a hash of the row, hence the same when a task is run again.
+    The table is written first, so Catalyst knows its bytes and broadcasts it only under the session's
+    threshold. Beyond that adaptive execution splits the facts of a hot key over several tasks.
     """
-    on = list(on)
-    table = staged(table, "lookup")
-    if table.count() <= broadcast_rows:
-        return facts.join(F.broadcast(table), on, how)
-    salted_table = table.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    salted_facts = facts.withColumn("_salt", F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int"))
-    return salted_facts.join(salted_table, [*on, "_salt"], how).drop("_salt")
+    return facts.join(staged(table, "lookup"), list(on), how)

@@ -7,15 +7,12 @@ table of bucket totals tells where every bucket starts.
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 from basketry.session import staged
 
-BUCKETS = 512
-ONE_BUCKET_ROWS = 50_000  # a table this small is ordered as one bucket
-
 
 def running_total(df: DataFrame, bucket: str, order: Sequence, amount: str,
                   by: Sequence[str] = ()) -> DataFrame:
@@ -49,28 +46,23 @@ def numbered(df: DataFrame, bucket: str, order: Sequence, by: Sequence[str] = ()
     return counted.withColumnsRenamed({"upto": "row", "total": "rows"}).drop("_one")
 
 
-def value_buckets(df: DataFrame, column: str, buckets: int = BUCKETS,
-                  one_bucket_rows: int = ONE_BUCKET_ROWS) -> DataFrame:
-    """Adds `_bucket`, non-decreasing in the numeric `column`, with about equal numbers of rows.
+def value_buckets(df: DataFrame, column: str) -> DataFrame:
+    """Adds `_bucket`, non-decreasing in `column` (of any orderable type; nulls first, NaN last).
 
-    The cut points are at most `buckets` numbers; how good they are affects balance, not results.
-    Small tables (counted) are left in one bucket.
+    Buckets are the ranges that Spark deals out by value, as many as the bytes need; they are written
+    once, so that every later read sees the same ones.
     """
-    if df.count() <= one_bucket_rows:
-        return df.withColumn("_bucket", F.lit(0.0))
-    shares = [i / buckets for i in range(1, buckets)]
-    cuts = sorted(set(df.approxQuantile(column, shares, 0.5 / buckets)))
-    as_double = df.withColumn("_value", F.col(column).cast("double"))
-    if not cuts:
-        return as_double.withColumn("_bucket", F.lit(0.0)).drop("_value")
-    splits = [float("-inf"), *cuts, float("inf")]
-    return Bucketizer(splits=splits, inputCol="_value", outputCol="_bucket").transform(as_double).drop("_value")
+    ranged = df.repartitionByRange(F.col(column))
+    return staged(ranged.withColumn("_bucket", F.spark_partition_id()), "value-buckets")
 
 
 def histogram(df: DataFrame, column: str, by: Sequence[str] = (), **measures) -> DataFrame:
-    """One staged row per distinct value (and group); copies collapse before the shuffle."""
+    """One staged row per distinct value (and group), without nulls and NaN; copies collapse before the shuffle."""
     measures = measures or {"n": F.count(F.lit(1))}
-    counted = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(
+    known = F.col(column).isNotNull()
+    if isinstance(df.schema[column].dataType, (DoubleType, FloatType)):
+        known = known & ~F.isnan(column)
+    counted = df.where(known).groupBy(*by, column).agg(
         *[measure.alias(name) for name, measure in measures.items()])
     return staged(counted, "histogram")
 

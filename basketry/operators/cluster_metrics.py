@@ -11,7 +11,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-EXACT_ROWS = 20_000  # up to here all distances are computed
 BLOCK_ROWS = 2_000  # rows per block of the exact silhouette
 
 
@@ -63,18 +62,15 @@ def silhouette_squared(points: DataFrame, features: Sequence[str], label: str) -
 
 
 def silhouette_exact(points: DataFrame, features: Sequence[str], label: str, key: str,
-                     exact_rows: int = EXACT_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+                     block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row: mean silhouette with Euclidean distances between all rows.
 
-    This needs every distance, so it takes at most `exact_rows` rows (checked). Rows are hashed into
-    blocks; each pair of blocks is one group, which returns only the summed distance of a row to
+    This needs every distance, so its work grows with the square of the rows, whatever their number;
+    `silhouette_squared` is the measure in one pass. Rows are hashed into blocks; each pair of blocks is one group, which returns only the summed distance of a row to
     every cluster. Neither a row per pair nor the whole table in one task exists at any time.
     """
     features = list(features)
-    n = points.count()
-    if n > exact_rows:
-        raise ValueError(f"{n} rows are more than {exact_rows}: use silhouette_squared")
-    blocks = max(1, -(-n // block_rows))
+    blocks = max(1, -(-points.count() // block_rows))
     every = F.array(*[F.lit(i) for i in range(blocks)])
     slim = points.select(F.col(key).alias("key"), F.col(label).cast("long").alias("cluster"),
                          *[F.col(c).cast("double").alias(c) for c in features],
@@ -111,19 +107,6 @@ def silhouette_exact(points: DataFrame, features: Sequence[str], label: str, key
                        F.lit("euclidean").alias("measure"), F.count(F.lit(1)).alias("n"))
 
 
-def silhouette(points: DataFrame, features: Sequence[str], label: str, key: str,
-               exact_rows: int = EXACT_ROWS) -> DataFrame:
-    """Euclidean silhouette up to `exact_rows` rows, the one-pass squared form beyond; `measure` tells which.
-
-    Both use all rows. Euclidean distances to all rows have no shorter form than computing them, so
-    the number of rows decides which of the two measures is affordable.
-    """
-    few = points.select(key).limit(exact_rows + 1).count() <= exact_rows
-    if few:
-        return silhouette_exact(points, features, label, key, exact_rows)
-    return silhouette_squared(points, features, label)
-
-
 def davies_bouldin(points: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     """One row: Davies-Bouldin index from centroids and mean distances to the own centroid."""
     features = list(features)

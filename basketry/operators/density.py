@@ -29,6 +29,7 @@ from basketry.operators.components import merged
 from basketry.session import staged
 
 PAIR_BUDGET = 1_000  # two boxes with at most this many pairs of rows are compared directly
+ROW_BUDGET = 64  # a box on the rim with at most this many spots is compared spot by spot
 SALT_ROWS = 50_000  # rows of one cell per task when a cell has to be looked at row by row
 FINER = 2  # how much finer the boxes of the next level are, per feature
 NOISE = -1
@@ -108,20 +109,48 @@ def _reached(asking: DataFrame, rows: DataFrame, boxes: DataFrame, adjacent: Dat
 
 
 def neighbour_counts(points: DataFrame, features: Sequence[str], eps: float = fixed.EPS,
-                     min_samples: int = fixed.MIN_SAMPLES, key: str = "customer_id") -> DataFrame:
-    """Rows (key, neighbours): rows within `eps`, the row itself included, counted up to `min_samples`.
+                     key: str = "customer_id", pair_budget: int = ROW_BUDGET) -> DataFrame:
+    """Rows (key, neighbours): all rows within `eps`, the row itself included.
 
-    Beyond `min_samples` the exact number is of no use to the clustering and would need all pairs.
+    Rows at one spot are counted once. A spot takes boxes within its reach as a whole and drops those out
+    of it; the few on the rim are split finer, level by level, until they hold at most `pair_budget`
+    spots, which are compared one by one. Work follows the boxes on the rim, not the pairs of rows.
     """
-    parts = _Parts(points, features, eps, min_samples, key)
-    return parts.counts.select(F.col("key").alias(key), "neighbours")
+    space = Space(features, eps)
+    placed = points.select(F.col(key).alias("key"), *[F.col(c).cast("double").alias(c) for c in space.features])
+    spots = staged(placed.groupBy(*space.features).agg(F.count(F.lit(1)).alias("rows")).withColumn("cell", space.cell()), "spots")
+    box = [*space.box()[:2], F.sum("rows").alias("n"), F.count(F.lit(1)).alias("spots")]
+    adjacent = _adjacent(spots.select("cell").distinct(), space)
+    asking = spots.select(space.at().alias("x"), "cell").join(adjacent, "cell").select("x", F.array("other").alias("path"))
+    found, depth = None, 1
+    while True:
+        rows = spots.withColumn("path", _path(space, depth))
+        level = staged(rows.groupBy("path").agg(*box), f"boxes-{depth}")
+        met = asking.join(level, "path")
+        x = F.col("x")
+        met = met.where(space.within(space.near(x, x, F.col("low"), F.col("high")))).withColumn(
+            "whole", space.within(space.far(x, x, F.col("low"), F.col("high"))))
+        met = staged(met.select("x", "path", "n", "spots", "whole"), "asked")
+        compared = (met.where(~F.col("whole") & (F.col("spots") <= pair_budget)).select("x", "path")
+                    .join(rows.select("path", space.at().alias("y"), "rows"), "path")
+                    .where(space.within(space.between(x, F.col("y")))).select("x", F.col("rows").alias("n")))
+        hits = staged(met.where("whole").select("x", "n").unionByName(compared).groupBy("x").agg(F.sum("n").alias("n")), "hits")
+        found = hits if found is None else found.unionByName(hits)
+        left = met.where(~F.col("whole") & (F.col("spots") > pair_budget))
+        if left.isEmpty():
+            break
+        depth += 1
+        children = spots.select(_path(space, depth).alias("child")).distinct().withColumn("path", F.slice("child", 1, depth - 1))
+        asking = left.select("x", "path").join(children, "path").select("x", F.col("child").alias("path"))
+    counts = found.groupBy("x").agg(F.sum("n").alias("neighbours"))
+    return lookup(placed.select("key", space.at().alias("x")), counts, ["x"]).select(F.col("key").alias(key), "neighbours")
 
 
 def core_points(points: DataFrame, features: Sequence[str], eps: float = fixed.EPS,
                 min_samples: int = fixed.MIN_SAMPLES, key: str = "customer_id") -> DataFrame:
-    """Rows (key, is_core)."""
-    counts = neighbour_counts(points, features, eps, min_samples, key)
-    return counts.select(key, (F.col("neighbours") >= min_samples).alias("is_core"))
+    """Rows (key, is_core). Counting stops where `min_samples` are found."""
+    counts = _Parts(points, features, eps, min_samples, key).counts
+    return counts.select(F.col("key").alias(key), (F.col("neighbours") >= min_samples).alias("is_core"))
 
 
 class _Parts:

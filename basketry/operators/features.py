@@ -92,7 +92,7 @@ def customer_features(lines: DataFrame, inactive_days: int = fixed.INACTIVE_DAYS
     spending = lines.groupBy("customer_id").agg(
         F.count_distinct("invoice").alias("Frequency"),
         exact_sum(F.col("total_amount")).alias("Monetary"),
-        exact_sum(F.col("quantity"), 1).alias("TotalQuantity"),
+        exact_sum(F.col("quantity")).alias("TotalQuantity"),
         F.min("invoicedate").alias("first_purchase"),
         F.max("invoicedate").alias("last_purchase"))
     variety = lines.groupBy("customer_id").agg(F.count_distinct("stockcode").alias("UniqueProducts"))

@@ -206,27 +206,27 @@ def run_metrics(selected: DataFrame) -> DataFrame:
 # --- the days ahead ----------------------------------------------------------------------
 
 def predict_demand(requests: DataFrame, dense: DataFrame, selected: DataFrame, as_of: Column) -> DataFrame:
-    """Rows (product_id, date, forecasted_quantity, status) for `days` days after `as_of`.
+    """Rows (product_id, days, date, forecasted_quantity, status) for `days` days after `as_of`.
 
-    `requests` has product_id and days (30 where null). The chosen model is fitted again on the
-    whole history. Quantities are not negative and have 2 digits. A product without a chosen model
-    gives one row with status no_model.
+    `requests` has product_id and days (30 where null); each (product_id, days) is answered by itself,
+    requests for no day by no row. The chosen model is fitted again on the history up to `as_of`.
+    Quantities are not negative and have 2 digits. A product without a chosen model gives one row with
+    status no_model, one with too little history by then a row with status no_history.
     """
-    asked = requests.groupBy("product_id").agg(
-        F.max(F.coalesce("days", F.lit(fixed.HORIZON_DAYS))).cast("int").alias("days"))
+    asked = requests.select("product_id", F.coalesce("days", F.lit(fixed.HORIZON_DAYS)).cast("int").alias("days"))
     chosen = selected.select(F.col("stockcode").alias("product_id"), "model_type")
-    plan = asked.join(chosen, "product_id", "left").withColumn("as_of", as_of)
-    usable = plan.where(F.col("model_type").isNotNull()).withColumnRenamed("product_id", "stockcode")
-    history = lookup(dense.select("stockcode", "date", "quantity"), usable, ["stockcode"], "inner")
+    plan = staged(asked.where("days > 0").distinct().join(chosen, "product_id", "left").withColumn("as_of", as_of), "plan")
+    longest = plan.where(F.col("model_type").isNotNull()).groupBy(F.col("product_id").alias("stockcode")).agg(
+        F.max("days").alias("days"), F.first("model_type").alias("model_type"), F.first("as_of").alias("as_of"))
+    history = lookup(dense.select("stockcode", "date", "quantity"), longest, ["stockcode"], "inner").where("date <= as_of")
     ahead = history.groupBy("stockcode").applyInPandas(
-        _ahead, "product_id string, date date, forecasted_quantity double")
-    known = ahead.select("product_id", day_text("date").alias("date"),
-                         half_even(at_least_zero(F.col("forecasted_quantity")), 2).alias("forecasted_quantity"),
-                         F.lit("ok").alias("status"))
-    missing = plan.where(F.col("model_type").isNull()).select(
-        "product_id", F.lit(None).cast("string").alias("date"),
-        F.lit(None).cast("double").alias("forecasted_quantity"), F.lit("no_model").alias("status"))
-    return known.unionByName(missing)
+        _ahead, "product_id string, step int, date date, forecasted_quantity double")
+    answered = plan.join(ahead.withColumnRenamed("product_id", "_product"),
+                         (F.col("product_id") == F.col("_product")) & (F.col("step") <= F.col("days")), "left")
+    status = F.when(F.col("model_type").isNull(), "no_model").when(F.col("date").isNull(), "no_history").otherwise("ok")
+    return answered.select("product_id", "days", day_text("date").alias("date"),
+                           half_even(F.when(F.col("date").isNotNull(), at_least_zero(F.col("forecasted_quantity"))), 2)
+                           .alias("forecasted_quantity"), status.alias("status"))
 
 
 def _ahead(group: pd.DataFrame) -> pd.DataFrame:
@@ -234,14 +234,16 @@ def _ahead(group: pd.DataFrame) -> pd.DataFrame:
     code, model = group["stockcode"].iloc[0], group["model_type"].iloc[0]
     days, y = _day_numbers(group["date"]), group["quantity"].to_numpy(float)
     today = _day_numbers(group["as_of"].iloc[:1])[0]
-    wanted = today + np.arange(1, int(group["days"].iloc[0]) + 1)
+    steps = np.arange(1, int(group["days"].iloc[0]) + 1)
+    if len(y) <= (fixed.LAGS if model != SEASONAL else 0):
+        steps = steps[:0]
+    wanted = today + steps
     parts = []
     if model in (SEASONAL, ENSEMBLE):
         parts.append(seasonal_model(days, y)(wanted))
-    if model in (AUTOREGRESSIVE, ENSEMBLE):
+    if model in (AUTOREGRESSIVE, ENSEMBLE) and len(steps):
         _, recursive = autoregressive_model(y)
-        steps = int(wanted[-1] - days[-1])
-        parts.append(recursive(y, steps)[-len(wanted):])
+        parts.append(recursive(y, int(wanted[-1] - days[-1]))[-len(wanted):])
     return pd.DataFrame({
-        "product_id": code, "date": wanted.astype("int64").astype("datetime64[D]").astype(object),
-        "forecasted_quantity": np.mean(parts, axis=0)})
+        "product_id": code, "step": steps, "date": wanted.astype("int64").astype("datetime64[D]").astype(object),
+        "forecasted_quantity": np.mean(parts, axis=0) if len(steps) else []})

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from basketry import fixed_values as fixed
 from basketry.functions.columns import half_even, persona, segment_description, segment_name
 from basketry.functions.lookups import lookup
-from basketry.operators.cluster_metrics import EXACT_ROWS, davies_bouldin, silhouette
+from basketry.operators.cluster_metrics import davies_bouldin, silhouette_squared
 from basketry.operators.features import RFM
 
 SCALED = "_scaled"
@@ -65,8 +65,12 @@ class Segmentation:
 
 def segment(customers: DataFrame, features: Sequence[str] = RFM, log: bool = True,
             ks: Sequence[int] = fixed.K_RANGE, restarts: int = fixed.RESTARTS, seed: int = fixed.SPLIT_SEED,
-            exact_rows: int = EXACT_ROWS, key: str = "customer_id") -> Segmentation:
-    """Tries every k and keeps the one with the strictly largest silhouette, the first of equal ones."""
+            key: str = "customer_id") -> Segmentation:
+    """Tries every k and keeps the one with the strictly largest silhouette, the first of equal ones.
+
+    The squared Euclidean silhouette serves at every size. A fit that found one cluster only has none,
+    which counts as the lowest.
+    """
     scaling = scaler(customers, features, log)
     scaled = scaling.transform(customers).select(key, "scaled", *scaled_names(features)).persist()
     rows, best, best_score = [], None, None
@@ -74,11 +78,12 @@ def segment(customers: DataFrame, features: Sequence[str] = RFM, log: bool = Tru
         for k in ks:
             model = fit_kmeans(scaled, k, restarts, seed)
             labelled = model.transform(scaled)
-            quality = silhouette(labelled, scaled_names(features), "cluster", key, exact_rows).first()
+            quality = silhouette_squared(labelled, scaled_names(features), "cluster").first()
             index = davies_bouldin(labelled, scaled_names(features), "cluster").first()
             rows.append((k, quality.silhouette, quality.measure, index.davies_bouldin))
-            if best is None or quality.silhouette > best_score:
-                best, best_score = model, quality.silhouette
+            score = float("-inf") if quality.silhouette is None else quality.silhouette
+            if best is None or score > best_score:
+                best, best_score = model, score
     finally:
         scaled.unpersist()
     k = best.getK()

@@ -10,9 +10,6 @@ from basketry.plans.fitted import once
 from basketry.plans.lines import churn_label, churn_table, rounded
 from basketry.session import staged
 
-# Query models have fewer trees than the operators' defaults, to keep a check of all queries short;
-# they still learn from all customers.
-QUERY_TREES = 20
 FINAL = churn.VARIANTS["final"]
 
 
@@ -32,10 +29,6 @@ def _test(spark, folder):
     return _split(spark, folder).where(F.col("split") == "test")
 
 
-def _short(variant: churn.Variant) -> churn.Variant:
-    return churn.Variant(variant.features, QUERY_TREES, variant.depth, variant.rate)
-
-
 def _final(spark, folder):
     return once(spark, folder, "churn-final", lambda: churn.fit_churn(_train(spark, folder), FINAL))
 
@@ -84,11 +77,21 @@ def churn_predictions(spark, folder):
     return scored.select("customer_id", "Churn", "prediction", "score")
 
 
+def _scored(spark, folder, name: str) -> DataFrame:
+    model = once(spark, folder, f"churn-{name}", lambda: churn.fit_churn(_train(spark, folder), churn.VARIANTS[name]))
+    return churn.predict(model, _test(spark, folder)).select("customer_id", "Churn", "prediction", "score")
+
+
 def churn_challenger(spark, folder):
-    model = once(spark, folder, "churn-challenger",
-                 lambda: churn.fit_churn(_train(spark, folder), _short(churn.VARIANTS["challenger"])))
-    scored = churn.predict(model, _test(spark, folder))
-    return scored.select("customer_id", "Churn", "prediction", "score")
+    return _scored(spark, folder, "challenger")
+
+
+def churn_behaviour(spark, folder):
+    return _scored(spark, folder, "behaviour")
+
+
+def churn_all_features(spark, folder):
+    return _scored(spark, folder, "all_features")
 
 
 def churn_quality(spark, folder):
@@ -124,7 +127,7 @@ def churn_scoring(spark, folder):
 
 
 def leakage_check(spark, folder):
-    variants = {name: _short(churn.VARIANTS[name]) for name in ("with_recency", "without_recency")}
+    variants = {name: churn.VARIANTS[name] for name in ("with_recency", "without_recency")}
     return once(spark, folder, "leakage", lambda: staged(churn.leakage_check(
         _train(spark, folder), _test(spark, folder), variants), "leakage"))
 
@@ -139,6 +142,8 @@ QUERIES = {
     "risk_bands": risk_bands,
     "churn_predictions": churn_predictions,
     "churn_challenger": churn_challenger,
+    "churn_behaviour": churn_behaviour,
+    "churn_all_features": churn_all_features,
     "churn_quality": churn_quality,
     "churn_grid": churn_grid,
     "feature_importance": feature_importance,

@@ -70,7 +70,7 @@ SELECT round(avg(worst), 6) AS davies_bouldin FROM (SELECT max(ratio) AS worst F
 SELECT *, {PERSONA} AS "Persona" FROM profile""",
     "persona_rules": f"""WITH {RFM} SELECT *, {PERSONA} AS "Persona" FROM rfm WHERE "Monetary" > 0""",
     "eps_neighbours": f"""WITH {DENSITY}
-SELECT u AS customer_id, least(count(*), 10) AS neighbours FROM near GROUP BY u""",
+SELECT u AS customer_id, count(*) AS neighbours FROM near GROUP BY u""",
     "dbscan_core_points": f"""WITH {DENSITY}
 SELECT u AS customer_id, count(*) >= 10 AS is_core FROM near GROUP BY u""",
     "dbscan_segments": f"""WITH RECURSIVE {CLUSTERED}

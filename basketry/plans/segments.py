@@ -23,7 +23,7 @@ def _points(spark, folder) -> DataFrame:
 
 
 def _fixed_labels(spark, folder) -> DataFrame:
-    """Points with a label that is no model's: 4 bands of spending by 2 of frequency."""
+    """Points with a label that is no model's: 2 bands of spending by 2 of frequency."""
     label = (F.col("Monetary") > 0).cast("int") * 2 + (F.col("Frequency") > 0).cast("int")
     return _points(spark, folder).withColumn("label", label)
 
@@ -37,7 +37,8 @@ def _segmented(spark, folder) -> DataFrame:
 
 
 def silhouette(spark, folder):
-    score = cluster_metrics.silhouette(_fixed_labels(spark, folder), RFM, "label", "customer_id")
+    """The Euclidean form, from all distances at any size."""
+    score = cluster_metrics.silhouette_exact(_fixed_labels(spark, folder), RFM, "label", "customer_id")
     return rounded(score, 6, "silhouette")
 
 

@@ -1,21 +1,67 @@
 """Transaction-line files in and out."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from basketry import schemas
 from basketry.functions.columns import tidy_name
 
-TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
+TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
+CSV = {"header": True, "escape": '"'}  # quotes inside a field are doubled
 
 
 def read_lines(spark: SparkSession, path: str | list[str], format: str = "csv",
-               schema: T.StructType = schemas.RAW_LINES) -> DataFrame:
-    """Lines from all files under `path` with a declared schema; CSV files carry a header row."""
-    reader = spark.read.schema(schema)
-    if format == "csv":
-        reader = reader.options(header=True, timestampNTZFormat=TIMESTAMP_FORMAT, multiLine=False)
-    return reader.format(format).load(path)
+               schema: T.StructType = schemas.RAW_LINES, bad_fields: str = "fail") -> DataFrame:
+    """Lines from all files under `path` with a declared schema.
+
+    CSV files carry a header row, the same in all files (checked by Spark). Its names are tidied and
+    columns taken by name, in any order. Whole numbers may be written as 13085.0. A field that does not
+    fit its type fails the read, or becomes null with `bad_fields="null"`; see `count_bad_fields`.
+    """
+    if bad_fields not in ("fail", "null"):
+        raise ValueError("bad_fields is fail or null")
+    if format != "csv":
+        return spark.read.schema(schema).format(format).load(path)
+
+    def read(field: T.StructField) -> Column:
+        value = _parsed(field)
+        if bad_fields == "fail" and not isinstance(field.dataType, T.StringType):
+            message = F.concat(F.lit(f"column {field.name} cannot hold "), F.col(field.name))
+            value = F.when(_bad(field), F.raise_error(message).cast(field.dataType)).otherwise(value)
+        return value.alias(field.name)
+
+    return _csv_text(spark, path, schema).select(*[read(f) for f in schema.fields])
+
+
+def count_bad_fields(spark: SparkSession, path: str | list[str], schema: T.StructType = schemas.RAW_LINES) -> DataFrame:
+    """One row with, per column of `schema`, the fields of the CSV files that do not fit their type."""
+    return _csv_text(spark, path, schema).agg(*[F.count_if(_bad(f)).alias(f.name) for f in schema.fields])
+
+
+def _csv_text(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
+    """The columns of `schema` as text."""
+    found = tidy_headers(spark.read.options(**CSV, enforceSchema=False, inferSchema=False).csv(path))
+    missing = [name for name in schema.names if name not in found.columns]
+    if missing:
+        raise ValueError(f"no column {', '.join(missing)} in the header")
+    return found.select(*schema.names)
+
+
+def _parsed(field: T.StructField) -> Column:
+    """The text column as the field's type; null where it does not fit."""
+    text = F.col(field.name)
+    if isinstance(field.dataType, T.StringType):
+        return text
+    if isinstance(field.dataType, T.IntegralType):
+        number = F.trim(text).try_cast("double")
+        whole = F.when(number == F.floor(number), number.try_cast("long"))
+        return F.coalesce(F.trim(text).try_cast("long"), whole).try_cast(field.dataType)
+    return F.trim(text).try_cast(field.dataType)
+
+
+def _bad(field: T.StructField) -> Column:
+    return F.coalesce(F.trim(F.col(field.name)) != "", F.lit(False)) & _parsed(field).isNull()
 
 
 def read_clean_lines(spark: SparkSession, path: str | list[str], format: str = "csv") -> DataFrame:
@@ -35,7 +81,7 @@ def write_lines(df: DataFrame, path: str, format: str = "parquet") -> None:
     """
     if format == "csv":
         (df.sortWithinPartitions("invoicedate").write.mode("overwrite")
-         .options(header=True, timestampNTZFormat=TIMESTAMP_FORMAT).csv(path))
+         .options(**_written("csv")).csv(path))
         return
     (df.hint("rebalance", "year", "month").sortWithinPartitions("year", "month", "invoicedate")
      .write.mode("overwrite").partitionBy("year", "month").format(format).save(path))
@@ -43,7 +89,13 @@ def write_lines(df: DataFrame, path: str, format: str = "parquet") -> None:
 
 def write_table(df: DataFrame, path: str, format: str = "parquet") -> None:
     """Customer features, segments, run metrics and other tables without partition columns."""
-    df.write.mode("overwrite").options(**({"header": True} if format == "csv" else {})).format(format).save(path)
+    df.write.mode("overwrite").options(**_written(format)).format(format).save(path)
+
+
+def _written(format: str) -> dict:
+    if format != "csv":
+        return {}
+    return CSV | {"timestampNTZFormat": TIMESTAMP_FORMAT, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 CRM_COLUMNS = ("customer_id", "Recency", "Frequency", "Monetary", "Persona")

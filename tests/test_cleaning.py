@@ -112,6 +112,19 @@ def test_sums_do_not_depend_on_order(spark):
     assert spark.createDataFrame([(None,)], "v double").agg(exact_sum(F.col("v")).alias("s")).first().s == 0
 
 
+def test_fractions_are_summed_whole(spark):
+    total = spark.sql("SELECT explode(array(0.25D, 0.0833325D, 0.5D)) AS v").agg(exact_sum(F.col("v")).alias("s")).first().s
+    assert total == 0.8333325
+
+
+def test_buckets_of_text_and_nan(spark):
+    text = spark.range(500).selectExpr("concat('k', id) AS v", "1 AS g")
+    placed = ordering.numbered(ordering.value_buckets(text, "v"), "_bucket", ["v"], ["g"]).orderBy("row").collect()
+    assert [r.v for r in placed] == sorted(f"k{i}" for i in range(500))
+    odd = spark.sql("SELECT explode(array(1D, 2D, 3D, double('NaN'), null)) AS v")
+    assert ordering.quantiles(odd, "v", {"q": 0.5}).first().q == 2
+
+
 def test_quantiles_with_one_value_holding_most_rows(spark):
     values = [5] * 700 + list(range(300))
     df = spark.createDataFrame([(v,) for v in values], "v int")
@@ -120,9 +133,7 @@ def test_quantiles_with_one_value_holding_most_rows(spark):
     assert tuple(row) == pytest.approx(tuple(plain))
 
 
-def test_quantiles_over_many_buckets(spark, monkeypatch):
-    whole = ordering.value_buckets
-    monkeypatch.setattr(ordering, "value_buckets", lambda df, column: whole(df, column, 8, one_bucket_rows=0))
+def test_quantiles_over_many_buckets(spark):
     df = spark.range(1001).select((F.col("id") * 37 % 1001 / 10).alias("v"), (F.col("id") % 3).alias("g"))
     found = {r.g: r.q for r in ordering.quantiles(df, "v", {"q": 0.3}, ["g"]).collect()}
     plain = {r.g: r.q for r in df.groupBy("g").agg(F.percentile("v", F.lit(0.3)).alias("q")).collect()}
@@ -131,16 +142,46 @@ def test_quantiles_over_many_buckets(spark, monkeypatch):
 
 def test_running_totals_across_buckets(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("v"), (F.col("id") % 2).alias("g"))
-    placed = ordering.numbered(ordering.value_buckets(df, "v", 16, one_bucket_rows=0), "_bucket", ["v"], ["g"]).collect()
+    placed = ordering.numbered(ordering.value_buckets(df, "v"), "_bucket", ["v"], ["g"]).collect()
     for g in (0, 1):
         rows = sorted((r for r in placed if r.g == g), key=lambda r: r.v)
         assert [r.row for r in rows] == list(range(1, 501)) and {r.rows for r in rows} == {500}
 
 
-def test_lookup_gives_the_same_rows_with_and_without_broadcast(spark):
+def test_lookup_is_a_join(spark):
     facts = spark.range(900).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 50).alias("k"), "id")
     table = spark.range(30).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     for how in ("left", "inner"):
         small = lookup(facts, table, ["k"], how)
-        large = lookup(facts, table, ["k"], how, broadcast_rows=0, salts=4)
+        large = facts.join(table, "k", how)
         assert sorted(map(str, small.collect())) == sorted(map(str, large.select(*small.columns).collect()))
+
+
+def test_ordinary_csv_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("""Country,Customer ID, Price ,InvoiceDate,Quantity,Description,StockCode,Invoice
+France,13085.0,2.5,2010-12-01 08:26:00.25,6,"a ""q"" , b",85123A,536365
+Spain,,1,2010-12-02 09:00:00,-2,plain,22,C1
+""")
+    rows = {r.invoice: r for r in retail.read_lines(spark, str(tmp_path)).collect()}
+    first = rows["536365"]
+    assert (first.customer_id, first.description, first.quantity, first.price) == (13085, 'a "q" , b', 6, 2.5)
+    assert first.country == "France" and first.invoicedate.microsecond == 250_000
+    assert rows["C1"].customer_id is None and rows["C1"].quantity == -2
+
+
+def test_bad_fields_fail_or_are_counted(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("invoice,stockcode,description,quantity,invoicedate,price,customer_id,country\n"
+                                    "1,a,b,six,2010-12-01 08:26:00,1.5,12.5,X\n2,a,b,1,soon,2,7,X\n")
+    with pytest.raises(Exception, match="cannot hold"):
+        retail.read_lines(spark, str(tmp_path)).collect()
+    assert retail.read_lines(spark, str(tmp_path), bad_fields="null").where("quantity IS NULL").count() == 1
+    counts = retail.count_bad_fields(spark, str(tmp_path)).first()
+    assert (counts.quantity, counts.customer_id, counts.invoicedate, counts.price) == (1, 1, 1, 0)
+
+
+def test_files_with_another_header_are_refused(spark, tmp_path):
+    for name, header in (("a", "invoice,stockcode,description,quantity,invoicedate,price,customer_id,country"),
+                         ("b", "stockcode,invoice,description,quantity,invoicedate,price,customer_id,country")):
+        (tmp_path / f"{name}.csv").write_text(f"{header}\n1,2,d,1,2010-12-01 08:26:00,1,7,X\n")
+    with pytest.raises(Exception):
+        retail.read_lines(spark, str(tmp_path)).collect()

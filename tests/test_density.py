@@ -49,8 +49,8 @@ def test_clusters_equal_all_pairs(spark, seed, budget):
     df = frame(spark, points)
     found = {r.customer_id: r.Cluster_DBSCAN for r in density.dbscan(df, FEATURES, pair_budget=budget).collect()}
     assert [found[i] for i in range(len(points))] == labels.tolist()
-    counts = {r.customer_id: r.neighbours for r in density.neighbour_counts(df, FEATURES).collect()}
-    assert [counts[i] for i in range(len(points))] == np.minimum(neighbours, 10).tolist()
+    counts = {r.customer_id: r.neighbours for r in density.neighbour_counts(df, FEATURES, pair_budget=budget // 200 + 1).collect()}
+    assert [counts[i] for i in range(len(points))] == neighbours.tolist()
 
 
 def test_close_points_border_and_far_point(spark):

@@ -23,14 +23,12 @@ def test_area_under_the_curve_counts_ties_half(spark):
     assert metrics.roc_auc(scored(spark, [(1, 1, 0.9), (1, 0, 0.1)])).first().auc is None
 
 
-def test_area_under_the_curve_of_many_distinct_scores(spark, monkeypatch):
+def test_area_under_the_curve_of_many_distinct_scores(spark):
     rng = np.random.default_rng(3)
     labels, scores = rng.integers(0, 2, 3000), rng.normal(size=3000).round(2)
     pos, neg = scores[labels == 1], scores[labels == 0]
     pairs = (pos[:, None] > neg).mean() + (pos[:, None] == neg).mean() / 2
     rows = [(int(y), 0, float(s)) for y, s in zip(labels, scores)]
-    whole = metrics.value_buckets
-    monkeypatch.setattr(metrics, "value_buckets", lambda df, column: whole(df, column, 8, one_bucket_rows=0))
     assert metrics.roc_auc(scored(spark, rows)).first().auc == pytest.approx(pairs, abs=1e-12)
 
 
@@ -219,15 +217,26 @@ def test_cluster_metrics_against_all_pairs(spark):
     gaps = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
     exact = cluster_metrics.silhouette_exact(df, ["a", "b"], "label", "customer_id", block_rows=40).first()
     assert exact.silhouette == pytest.approx(brute(gaps)) and exact.n == 150
-    squared = cluster_metrics.silhouette(df, ["a", "b"], "label", "customer_id", exact_rows=100).first()
+    squared = cluster_metrics.silhouette_squared(df, ["a", "b"], "label").first()
     assert squared.silhouette == pytest.approx(brute(gaps ** 2)) and squared.measure == "squared_euclidean"
-    with pytest.raises(ValueError):
-        cluster_metrics.silhouette_exact(df, ["a", "b"], "label", "customer_id", exact_rows=100)
     centres = np.array([x[label == c].mean(0) for c in range(4)])
     spread = [np.sqrt(((x[label == c] - centres[c]) ** 2).sum(1)).mean() for c in range(4)]
     worst = [max((spread[i] + spread[j]) / np.sqrt(((centres[i] - centres[j]) ** 2).sum()) for j in range(4) if j != i) for i in range(4)]
     assert cluster_metrics.davies_bouldin(df, ["a", "b"], "label").first().davies_bouldin == pytest.approx(np.mean(worst))
 
 
+def test_identical_customers_are_one_cluster(spark):
+    alike = spark.createDataFrame([(i, 1, 2, 3.0) for i in range(30)], "customer_id long, Recency int, Frequency int, Monetary double")
+    found = segments.segment(alike, ks=(2, 3), restarts=1)
+    rows = found.scores.collect()
+    assert [r.silhouette for r in rows] == [None, None] and [r.selected for r in rows].count(True) >= 1
+
+
+def test_one_measure_at_every_size(spark):
+    many = spark.range(21_000).selectExpr("id AS customer_id", "cast(id % 7 AS double) AS a", "cast(id % 2 AS int) AS label")
+    assert cluster_metrics.silhouette_squared(many, ["a"], "label").first().measure == "squared_euclidean"
+    assert cluster_metrics.silhouette_squared(many.limit(100), ["a"], "label").first().measure == "squared_euclidean"
+
+
 def test_request_schema_follows_the_model():
     assert schemas.CHURN_REQUEST.names == list(churn.ALL_FEATURES)

@@ -107,5 +107,12 @@ def test_selection_and_horizon(spark):
     assert sum(r.product_id == "odd" for r in rows) == 30
     assert [(r.status, r.date) for r in rows if r.product_id == "nobody"] == [("no_model", None)]
     assert all(r.forecasted_quantity >= 0 and round(r.forecasted_quantity, 2) == r.forecasted_quantity for r in rows if r.date)
+    early = START + dt.timedelta(days=150)
+    twice = spark.createDataFrame([("good", 2), ("good", 4), ("good", 0), ("odd", -1)], "product_id string, days int")
+    rows = forecast.predict_demand(twice, dense, selected, F.lit(early)).collect()
+    assert sorted((r.product_id, r.days, r.date) for r in rows) == [
+        ("good", n, (early + dt.timedelta(days=i)).isoformat()) for n in (2, 4) for i in range(1, n + 1)]
+    before = forecast.predict_demand(twice, dense, selected, F.lit(START - dt.timedelta(days=1))).collect()
+    assert sorted((r.days, r.status) for r in before) == [(2, "no_history"), (4, "no_history")]
     long = forecast.run_metrics(selected).where("run_name = 'Product_good'").collect()
     assert {r.key for r in long} >= {"product_id", "seasonal_mape", "selected_model", "final_mape"}
