@@ -2,13 +2,14 @@
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,37 +107,55 @@ class GridResult:
     table: DataFrame
 
 
+def first_trees(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    """The model that boosting had after `n` trees; the seed of a tree does not depend on their number."""
+    gateway = SparkContext._active_spark_context._gateway
+    trees = gateway.new_array(gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    weights = gateway.new_array(gateway.jvm.double, n)
+    for k, (tree, weight) in enumerate(zip(model._java_obj.trees()[:n], model.treeWeights)):
+        trees[k], weights[k] = tree, weight
+    shorter = GBTClassificationModel(gateway.jvm.org.apache.spark.ml.classification.GBTClassificationModel(
+        f"{model.uid}_{n}", trees, weights))
+    return shorter.setFeaturesCol(model.getFeaturesCol())
+
+
 def grid_search(train: DataFrame, features: Sequence[str] = ALL_FEATURES,
                 grid: Mapping[str, Sequence] = GRID, folds: int = fixed.FOLDS,
                 positive_weight: float = fixed.POSITIVE_WEIGHT, seed: int = fixed.SPLIT_SEED,
-                parallelism: int = 4) -> GridResult:
+                parallelism: int = 8) -> GridResult:
     """Every combination on stratified folds by area under the ROC curve; the best is fitted on all rows.
 
-    `table` has one row per combination.
+    Fewer trees are the first ones of more trees, so a fold is fitted once per depth and rate.
+    `table` has one row per combination; the first of equal ones is selected.
     """
     assembler = _assembler(features)
     folded = with_folds(weighted(train, positive_weight), folds=folds, seed=seed)
     ready = assembler.transform(folded).select("features", "label", "weight", "fold").persist()
-    learner = _learner(train.sparkSession, 1, 1, 0.1, seed)
-    combinations = (ParamGridBuilder().addGrid(learner.maxIter, list(grid["trees"]))
-                    .addGrid(learner.maxDepth, list(grid["depth"]))
-                    .addGrid(learner.stepSize, list(grid["rate"])).build())
-    search = CrossValidator(estimator=learner, estimatorParamMaps=combinations, numFolds=folds, foldCol="fold",
-                            evaluator=BinaryClassificationEvaluator(metricName="areaUnderROC"),
-                            parallelism=parallelism, seed=seed)
+    evaluator = BinaryClassificationEvaluator(metricName="areaUnderROC")
+    most = max(grid["trees"])
+
+    def areas(task: tuple[int, int, float]) -> list[float]:
+        fold, depth, rate = task
+        model = _learner(train.sparkSession, most, depth, rate, seed).fit(ready.where(F.col("fold") != fold))
+        held = ready.where(F.col("fold") == fold)
+        return [evaluator.evaluate(first_trees(model, n).transform(held)) for n in grid["trees"]]
+
+    fits = [(fold, depth, rate) for depth in grid["depth"] for rate in grid["rate"] for fold in range(folds)]
     try:
-        fitted = search.fit(ready)
+        ready.count()
+        with ThreadPool(min(parallelism, len(fits))) as pool:
+            found = dict(zip(fits, pool.map(inheritable_thread_target(train.sparkSession)(areas), fits, chunksize=1)))
+        rows = [(trees, depth, float(rate), sum(found[fold, depth, rate][k] for fold in range(folds)) / folds)
+                for k, trees in enumerate(grid["trees"]) for depth in grid["depth"] for rate in grid["rate"]]
+        best = max(rows, key=lambda row: row[3])
+        trees, depth, rate, _ = best
+        model = _learner(train.sparkSession, trees, depth, rate, seed).fit(ready.drop("fold"))
     finally:
         ready.unpersist()
-    rows = [(params[learner.maxIter], params[learner.maxDepth], float(params[learner.stepSize]), float(auc))
-            for params, auc in zip(combinations, fitted.avgMetrics)]
-    best = max(rows, key=lambda row: row[3])
     table = train.sparkSession.createDataFrame(
         [(*row, row is best) for row in rows],
         "trees int, depth int, rate double, mean_auc double, selected boolean")
-    trees, depth, rate, _ = best
-    return GridResult(Variant(tuple(features), trees, depth, rate),
-                      PipelineModel([assembler, fitted.bestModel]), table)
+    return GridResult(Variant(tuple(features), trees, depth, rate), PipelineModel([assembler, model]), table)
 
 
 def leakage_check(train: DataFrame, test: DataFrame, variants: Mapping[str, Variant]) -> DataFrame:

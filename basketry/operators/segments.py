@@ -142,6 +142,14 @@ def borderline_customers(mixture: DataFrame, n: int = 5) -> DataFrame:
     return mixture.orderBy("GMM_Confidence", "customer_id").limit(n)
 
 
+def given_centres(features: Sequence[str], centres: Sequence[Sequence[float]]) -> PipelineModel:
+    """A saveable pipeline to the nearest of `centres` in plain units; the first of equally near ones."""
+    apart = ", ".join(" + ".join(f"pow({c} - {float(x)!r}D, 2)" for c, x in zip(features, centre)) for centre in centres)
+    return PipelineModel([
+        SQLTransformer(statement=f"SELECT *, array({apart}) AS _apart FROM __THIS__"),
+        SQLTransformer(statement="SELECT *, CAST(array_position(_apart, array_min(_apart)) - 1 AS INT) AS cluster FROM __THIS__")])
+
+
 def score_segments(pipeline: PipelineModel, requests: DataFrame, segments=fixed.SEGMENTS) -> DataFrame:
     """Scoring response per request row: segment id, name and description. Serves streams as well.
 

@@ -103,7 +103,8 @@ def churn_quality(spark, folder):
 
 
 def churn_grid(spark, folder):
-    grid = {"trees": (5, 10), "depth": (3,), "rate": (0.1,)}
+    """The search over the number of trees, at the final model's depth and rate."""
+    grid = {**churn.GRID, "depth": (FINAL.depth,), "rate": (FINAL.rate,)}
     return once(spark, folder, "churn-grid", lambda: churn.grid_search(_train(spark, folder), grid=grid)).table
 
 

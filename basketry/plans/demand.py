@@ -67,6 +67,11 @@ def run_metrics(spark, folder):
     return forecast.run_metrics(_selected(spark, folder))
 
 
+def run_metrics_of_choice(spark, folder):
+    """The same rows for the choice that SQL can follow."""
+    return forecast.run_metrics(model_choice(spark, folder))
+
+
 def demand_horizon(spark, folder):
     """Thirty days ahead of the last day on record, for every product type."""
     dense = _series(spark, folder)
@@ -85,5 +90,6 @@ QUERIES = {
     "ensemble_select": ensemble_select,
     "top_product_models": top_product_models,
     "run_metrics": run_metrics,
+    "run_metrics_of_choice": run_metrics_of_choice,
     "demand_horizon": demand_horizon,
 }

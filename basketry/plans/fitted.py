@@ -13,3 +13,8 @@ def once(spark: SparkSession, folder: str, name: str, build: Callable[[], object
     if slot not in _built:
         _built[slot] = build()
     return _built[slot]
+
+
+def forget() -> None:
+    """Drops all results, as before their staged tables are removed or once the input tables are written anew."""
+    _built.clear()

@@ -36,6 +36,21 @@ SELECT round(avg(coalesce((nearest - inside) / greatest(nearest, inside), 0)), 6
        '{measure}' AS measure, count(*) AS n FROM means"""
 
 
+BANDED = RFM + f""",
+banded AS (
+  SELECT *, least("Recency" // 60, 4) * 10 + least("Frequency" // 3, 3) AS band FROM rfm WHERE "Monetary" > 0), profile AS (
+  SELECT band AS "Cluster_KMeans", round_even(avg("Recency"), 2) AS "Recency", round_even(avg("Frequency"), 2) AS "Frequency",
+         round_even(avg("Monetary"), 2) AS "Monetary", count(*) AS "Count" FROM banded GROUP BY band), personas AS (
+  SELECT *, {PERSONA} AS "Persona" FROM profile), named AS (
+  SELECT customer_id, b."Recency", b."Frequency", round(b."Monetary", 2) AS "Monetary", band AS "Cluster_KMeans", "Persona"
+  FROM banded b JOIN personas ON band = "Cluster_KMeans")"""
+
+# --- fixed values: the wording of segments ---
+SEGMENT_NAME = """CASE segment_id WHEN 0 THEN 'Loyal Customers' WHEN 1 THEN 'VIP Customers' WHEN 2 THEN 'At Risk Customers'
+    WHEN 3 THEN 'High Value Customers' ELSE 'Unknown' END AS segment_name,
+  CASE segment_id WHEN 0 THEN 'Regular buyers with long history' WHEN 1 THEN 'Highest spend and frequency'
+    WHEN 2 THEN 'Low activity, needs attention' WHEN 3 THEN 'High spend, frequent buyers' ELSE '' END AS description"""
+
 DENSITY = POINTS + f""",
 near AS MATERIALIZED (SELECT a.customer_id AS u, b.customer_id AS v FROM points a, points b WHERE {APART} <= 0.5),
 core AS MATERIALIZED (SELECT u AS id FROM near GROUP BY u HAVING count(*) >= 10),
@@ -63,11 +78,16 @@ SQL = {
   SELECT a.label, (sa.s + sb.s) / {APART} AS ratio FROM centres a JOIN centres b ON a.label <> b.label
   JOIN spread sa ON sa.label = a.label JOIN spread sb ON sb.label = b.label)
 SELECT round(avg(worst), 6) AS davies_bouldin FROM (SELECT max(ratio) AS worst FROM pairs GROUP BY label)""",
-    "banded_profile": f"""WITH {RFM}, banded AS (
-  SELECT *, least("Recency" // 60, 4) * 10 + least("Frequency" // 3, 3) AS band FROM rfm WHERE "Monetary" > 0), profile AS (
-  SELECT band AS "Cluster_KMeans", round_even(avg("Recency"), 2) AS "Recency", round_even(avg("Frequency"), 2) AS "Frequency",
-         round_even(avg("Monetary"), 2) AS "Monetary", count(*) AS "Count" FROM banded GROUP BY band)
-SELECT *, {PERSONA} AS "Persona" FROM profile""",
+    "banded_profile": f"WITH {BANDED} SELECT * FROM personas",
+    "banded_personas": f"WITH {BANDED} SELECT * FROM named",
+    "banded_export": f"""WITH {BANDED} SELECT customer_id, "Recency", "Frequency", "Monetary", "Persona" FROM named""",
+    "borderline_rule": f"""WITH {RFM}
+SELECT customer_id, round(customer_id * 37 % 101 / 101.0, 8) AS "GMM_Confidence" FROM rfm WHERE "Monetary" > 0
+ORDER BY customer_id * 37 % 101, customer_id LIMIT 5""",
+    "fixed_scoring": f"""WITH {RFM}, near AS (
+  SELECT customer_id, "Recency", "Frequency", CASE WHEN "Recency" < 105.25 THEN 0 ELSE 2 END
+         + CASE WHEN "Frequency" > 5.5 THEN 0 ELSE 1 END AS segment_id FROM rfm WHERE "Monetary" > 0)
+SELECT *, {SEGMENT_NAME} FROM near""",
     "persona_rules": f"""WITH {RFM} SELECT *, {PERSONA} AS "Persona" FROM rfm WHERE "Monetary" > 0""",
     "eps_neighbours": f"""WITH {DENSITY}
 SELECT u AS customer_id, count(*) AS neighbours FROM near GROUP BY u""",
@@ -79,9 +99,6 @@ SELECT customer_id, cluster AS "Cluster_DBSCAN" FROM clustered""",
 SELECT rfm.*, cluster AS "Cluster_DBSCAN" FROM rfm JOIN clustered USING (customer_id) WHERE cluster = -1
 ORDER BY "Monetary" DESC, customer_id LIMIT 5""",
     "segment_names": f"""WITH {RETAIL}, ids AS (SELECT DISTINCT customer_id, CAST(customer_id % 6 AS INTEGER) AS segment_id FROM retail)
-SELECT *, CASE segment_id WHEN 0 THEN 'Loyal Customers' WHEN 1 THEN 'VIP Customers' WHEN 2 THEN 'At Risk Customers'
-    WHEN 3 THEN 'High Value Customers' ELSE 'Unknown' END AS segment_name,
-  CASE segment_id WHEN 0 THEN 'Regular buyers with long history' WHEN 1 THEN 'Highest spend and frequency'
-    WHEN 2 THEN 'Low activity, needs attention' WHEN 3 THEN 'High spend, frequent buyers' ELSE '' END AS description
+SELECT *, {SEGMENT_NAME}
 FROM ids""",
 }

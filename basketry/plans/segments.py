@@ -63,11 +63,22 @@ def cluster_profile(spark, folder):
     return segments.with_persona(segments.cluster_profile(_segmented(spark, folder)))
 
 
-def banded_profile(spark, folder):
-    """Profiles and personas of clusters that no model made: bands of recency and frequency."""
+def _banded(spark, folder) -> DataFrame:
+    """Customers in clusters that no model made: bands of recency and frequency."""
     band = F.least(F.floor(F.col("Recency") / 60), F.lit(4)) * 10 + F.least(F.floor(F.col("Frequency") / 3), F.lit(3))
-    banded = _customers(spark, folder).withColumn("Cluster_KMeans", band)
-    return segments.with_persona(segments.cluster_profile(banded))
+    return _customers(spark, folder).withColumn("Cluster_KMeans", band)
+
+
+def banded_profile(spark, folder):
+    return segments.with_persona(segments.cluster_profile(_banded(spark, folder)))
+
+
+def banded_personas(spark, folder):
+    return rounded(segments.customer_personas(_banded(spark, folder)), 2, "Monetary")
+
+
+def banded_export(spark, folder):
+    return rounded(export_columns(segments.customer_personas(_banded(spark, folder))), 2, "Monetary")
 
 
 def persona_rules(spark, folder):
@@ -120,6 +131,20 @@ def borderline_customers(spark, folder):
     return segments.borderline_customers(_mixture(spark, folder))
 
 
+def borderline_rule(spark, folder):
+    """The least confident customers under a confidence that no model made, with many ties."""
+    confidence = (F.col("customer_id") * 37 % 101) / 101.0
+    return rounded(segments.borderline_customers(_customers(spark, folder).withColumn("GMM_Confidence", confidence)),
+                   8, "GMM_Confidence").select("customer_id", "GMM_Confidence")
+
+
+def fixed_scoring(spark, folder):
+    """Segment names of all customers by the nearest of four given centres, which no fit has moved."""
+    customers = _customers(spark, folder).select("customer_id", "Recency", "Frequency")
+    return segments.score_segments(segments.given_centres(
+        ("Recency", "Frequency"), [(10.0, 9.0), (10.0, 2.0), (200.5, 9.0), (200.5, 2.0)]), customers)
+
+
 SERVICE_FEATURES = ("Frequency", "Monetary", "Tenure")
 
 
@@ -148,6 +173,10 @@ QUERIES = {
     "kmeans_segments": kmeans_segments,
     "cluster_profile": cluster_profile,
     "banded_profile": banded_profile,
+    "banded_personas": banded_personas,
+    "banded_export": banded_export,
+    "borderline_rule": borderline_rule,
+    "fixed_scoring": fixed_scoring,
     "persona_rules": persona_rules,
     "customer_personas": customer_personas,
     "crm_export": crm_export,

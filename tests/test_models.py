@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from basketry import fixed_values as fixed
@@ -109,6 +110,15 @@ def test_grid_reports_every_combination_and_refits_the_best(fitted):
     assert churn.predict(result.model, test).count() == test.count()
 
 
+def test_first_trees_are_the_model_of_so_many_trees(fitted):
+    _, train, test = fitted
+    more, less = (churn.fit_churn(train, churn.Variant(churn.ALL_FEATURES, n, 2, 0.3)) for n in (4, 2))
+    shorter = PipelineModel([more.stages[0], churn.first_trees(more.stages[1], 2)])
+    def scores(model):
+        return {r.customer_id: r.score for r in churn.predict(model, test).collect()}
+    assert scores(shorter) == scores(less) != scores(more)
+
+
 def test_model_with_the_leaking_feature_is_better(spark):
     df = customers(spark, 200).withColumn("Recency", F.when(F.col("Churn") == 1, 200).otherwise(5))
     split = stratified_split(df).persist()
