@@ -290,6 +290,28 @@ def test_tree_is_a_distribution():
     assert np.allclose((10.0 ** rows.astype(float)).sum(axis=1), 1, atol=1e-4)
 
 
+def test_whole_byte_contexts_over_ranges(make_docs, monkeypatch):
+    rng = random.Random(12)
+    texts = {k: "".join(rng.choice(["дом ", "éa", "èb", "1x", "2y", "the ", "日本"]) for _ in range(rng.randint(0, 60))) for k in range(80)}
+    trained = [zlib.crc32(str(k).encode()) % 10 != 0 for k in texts]
+    lower = [lm_score._lower(t) for t in texts.values()]
+    found, n = np.unique(lm_score._codes([t for t, x in zip(lower, trained) if x])[0], return_counts=True)
+    levels = []
+    for d in range(lm_score.DEPTH + 1):
+        nodes, row = np.unique((found & ((1 << 8 * d + 8) - 1)) >> 8, return_inverse=True)
+        dense = np.zeros((len(nodes), 256))
+        np.add.at(dense, (row, found & 255), n)
+        levels.append((nodes, dense))
+    tree = lm_score.Tree(levels).parts()
+    want = {k: float(lm_score.log10_of(lm_score._codes([t])[0], *tree).astype(float).sum()) for k, t in zip(texts, lower)}
+    assert len(levels[-1][0]) > 100 and "é".encode()[1] != "è".encode()[1]
+    for part, cached in ((lm_score.PART, lm_score.CACHED), (150, 40), (400, 0)):
+        monkeypatch.setattr(lm_score, "PART", part)
+        monkeypatch.setattr(lm_score, "CACHED", cached)
+        got = {r["doc_id"]: r["score"] for r in lm_score.score(make_docs(texts.items())).collect()}
+        assert all(abs(got[k] - want[k]) < 1e-4 * max(1, abs(want[k])) for k in want), (part, cached)
+
+
 # quality -----------------------------------------------------------------------------------------
 
 def test_quality_features_against_plain_counts():
