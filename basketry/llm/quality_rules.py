@@ -108,13 +108,14 @@ def sketch_quantiles(sketches: DataFrame, by: list[str], shares: dict[str, float
         *[F.min(F.when(F.col("_run") >= F.ceil(F.col("_all") * s), value)).alias(k) for k, s in shares.items()])
 
 
-def adaptive_verdicts(features: DataFrame, reach: float = 3.0, least_documents: int = 200,
+def adaptive_verdicts(features: DataFrame, reach: float = 3.0, prior: float = 10.0,
                       accuracy: float = 0.01) -> DataFrame:
     """`features` with base_failed, n_above (fences passed) and kept.
 
     The upper fence of a ratio is q3 + max(reach * (q3 - q1), the ratio's least margin), with the
-    quartiles of the documents of the same language and source that pass the base rule. Groups with
-    fewer than `least_documents` such documents use the fences of their language, or of all documents.
+    quartiles of the documents of the same language and source that pass the base rule, at every size. As few
+    documents tell little, quartiles of n of them count n / (n + prior), those of the language the rest, which
+    are mixed with those of all documents likewise. Where the two differ, the spread is wider by a share of it.
     Null languages and sources are groups of their own; an empty table stays empty.
     """
     passed = features.where(~base_failed())
@@ -123,14 +124,11 @@ def adaptive_verdicts(features: DataFrame, reach: float = 3.0, least_documents:
     ).select("lang", "source", "x.*")
     sketches = staged(quantile_sketches(values, ["lang", "source"], accuracy).withColumn("_one", F.lit(1)), "sketches")
     shares = {"q1": 0.25, "q3": 0.75}
-    margin = F.coalesce(*[F.when(F.col("feature") == k, m) for k, m in RATIOS.items()])
-    fence = (F.col("q3") + F.greatest(reach * (F.col("q3") - F.col("q1")), margin)).alias("fence")
-
     def wide(by: list[str], name: str) -> DataFrame:
         by = [*by, "_one"]
-        rows = sketch_quantiles(sketches, by, shares, accuracy).select(*by, "feature", "total", fence)
+        rows = sketch_quantiles(sketches, by, shares, accuracy)
         return rows.groupBy(*by).agg(F.max("total").alias(f"{name}_total"), *[
-            F.max(F.when(F.col("feature") == k, F.col("fence"))).alias(f"{name}_{k}") for k in RATIOS])
+            F.max(F.when(F.col("feature") == k, F.col(q))).alias(f"{name}_{q}_{k}") for k in RATIOS for q in shares])
 
     groups = sketches.select("lang", "source", "_one").distinct()
     fences = groups
@@ -141,12 +139,18 @@ def adaptive_verdicts(features: DataFrame, reach: float = 3.0, least_documents:
             match = match & F.col(c).eqNullSafe(F.col(f"_{name}_{c}"))
         fences = fences.join(other, match, "left").drop(*[f"_{name}_{c}" for c in [*by, "_one"]])
 
-    def chosen(k: str) -> Column:
-        return (F.when(F.col("own_total") >= least_documents, F.col(f"own_{k}"))
-                .when(F.col("lang_total") >= least_documents, F.col(f"lang_{k}")).otherwise(F.col(f"all_{k}")))
+    def fence(k: str) -> Column:
+        top, spread = F.col(f"all_q3_{k}"), F.col(f"all_q3_{k}") - F.col(f"all_q1_{k}")
+        for name in ("lang", "own"):
+            own, n = F.col(f"{name}_q3_{k}"), F.col(f"{name}_total")
+            weight = n / (n + F.lit(prior))
+            spread = (weight * (own - F.col(f"{name}_q1_{k}")) + (1 - weight) * spread
+                      + weight * (1 - weight) * F.abs(own - top))
+            top = weight * own + (1 - weight) * top
+        return top + F.greatest(reach * spread, F.lit(RATIOS[k]))
 
     fences = staged(fences.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"),
-                                  *[chosen(k).alias(f"fence_{k}") for k in RATIOS]), "fences")
+                                  *[fence(k).alias(f"fence_{k}") for k in RATIOS]), "fences")
     judged = features.join(fences, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")),
                            "left").drop("_lang", "_source")
     above = sum((F.coalesce(_ratio(k) > F.col(f"fence_{k}"), F.lit(False)).cast("int") for k in RATIOS), F.lit(0))

@@ -344,6 +344,18 @@ def test_quality_verdicts(make_docs, odd_docs, spark):
     assert quality_rules.adaptive_verdicts(features.where("false")).count() == 0
 
 
+def test_every_group_has_its_own_fence(spark):
+    def rows(lang, source, n, chars):
+        return [(k, lang, source, 100, 100 * (chars + k % 3), 0, 0, 1, 0) for k in range(n)]
+
+    few = rows("en", "s", 400, 5) + rows("th", "t", 40, 40) + rows("ja", "s", 6, 30) + [(99, "th", "t", 100, 20_000, 0, 0, 1, 0)]
+    names = "doc_id long, lang string, source string, " + quality_rules.FEATURES
+    for times in (1, 8):
+        table = spark.createDataFrame(few * times, names)
+        dropped = quality_rules.adaptive_verdicts(table).where("not kept").collect()
+        assert [r["doc_id"] for r in dropped] == [99] * times
+
+
 def test_sketches_merge_and_are_near(spark):
     values = spark.range(1, 2001).selectExpr("'en' as lang", "'f' as feature", "cast(id as double) as value")
     halves = [quality_rules.quantile_sketches(values.where(f"value % 2 = {k}"), ["lang"]) for k in (0, 1)]
