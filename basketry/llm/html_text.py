@@ -1,11 +1,11 @@
 """Main text of web pages by the distribution of text over line blocks.
 
 A page becomes a list of lines: one per block element, with its text stripped of markup. Sums of the
-lines' text lengths over a sliding window rise sharply where the article starts (surge) and fall to
-nothing where it ends (dive); text between a surge and the next dive is kept. Text in parts that
-the markup names as menus, headers, footers, sidebars, notices, adverts, forms or comments counts as
-length zero, as does text outside the page's article where it has one, so that short articles
-need no minimum length.
+lines' text lengths outside links over a sliding window rise sharply where the article starts (surge) and fall to
+nothing where it ends (dive); text between a surge and the next dive is kept, with single links and short lines in
+it and short lines directly before it. Lines in parts that the markup names as menus, headers, footers,
+sidebars, notices, adverts, forms or comments are left out first. Markup of an article is a weight: lines in it count MARKED times, and lines outside
+are left out unless they have more than MARKED times its text.
 """
 
 import html
@@ -36,7 +36,7 @@ WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adse
          "comment", "comments", "disqus", "reply", "replies", "pagination", "pager", "login", "copyright", "legal",
          "disclaimer", "toolbar", "alert"}
 ARTICLE = {"article", "main"}
-WINDOW, SURGE = 3, 86
+WINDOW, SURGE, MARKED = 3, 86, 4
 
 
 def _named_boilerplate(name: str, rest: str) -> bool:
@@ -144,18 +144,24 @@ def dense_spans(lengths: list[int], window: int = WINDOW, surge: int = 1) -> lis
 
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
-    """The lines with text between surges and dives. Without a marked article, links weigh nothing, and a surge
-    needs `surge` characters in a window, or a quarter of the densest window if that is less."""
-    blocks = line_blocks(page or "")
-    marked = any(a and not b for _, b, a, _ in blocks)
-    if marked:
-        weights = [len(t) if a and not b else 0 for t, b, a, _ in blocks]
-        spans = dense_spans(weights, window)
-    else:
-        weights = [0 if b else free for _, b, _, free in blocks]
-        densest = max((sum(weights[k:k + window]) for k in range(len(weights))), default=0)
-        spans = dense_spans(weights, window, max(1, min(surge, densest // 4)))
-    return " ".join(blocks[k][0] for start, end in spans for k in range(start, end) if weights[k])
+    """The lines between surges and dives, and lines with text directly before. Links weigh nothing; a surge needs
+    `surge` characters in a window, or a quarter of the densest window if that is less."""
+    blocks = [(t, a, free) for t, b, a, free in line_blocks(page or "") if not b]
+    inside = sum(free for _, a, free in blocks if a)
+    if any(a for _, a, _ in blocks) and (1 + MARKED) * inside >= sum(free for _, _, free in blocks):
+        blocks = [(t, a, free) for t, a, free in blocks if a]
+    if not any(free for _, _, free in blocks) and any(a for _, a, _ in blocks):
+        blocks = [(t, a, len(t)) for t, a, _ in blocks if a]  # an article of links alone
+    sizes = [free for _, _, free in blocks]
+    weights = [free * (MARKED if a else 1) for _, a, free in blocks]
+    densest = max((sum(sizes[k:k + window]) for k in range(len(sizes))), default=0)
+    kept, last = [], 0
+    for start, end in dense_spans(weights, window, max(1, min(surge, densest // 4))):
+        while start > last and weights[start - 1]:
+            start -= 1
+        kept += [t for t, _, _ in blocks[start:end]]
+        last = end
+    return " ".join(kept)
 
 
 def extract(pages: DataFrame, id: str = "page_id", url: str = "url", page: str = "html", window: int = WINDOW) -> DataFrame:

@@ -141,6 +141,17 @@ def test_main_text():
     assert html_text.dense_spans([0, 0, 5, 0, 0, 9, 0, 0, 0, 4], 3) == [(2, 6), (9, 10)]
 
 
+def test_links_and_short_lines_by_where_they_stand():
+    long = "Long text of the page. " * 9
+    links = "".join(f"<p><a href=/{k}>Some other page {k}</a></p>" for k in range(5))
+    assert html_text.main_text(f"<article><h1>A headline of some length</h1><p>{long}</p><p><a>One link</a></p><p>{long}</p>{links}</article>") == \
+        f"A headline of some length {long.strip()} One link {long.strip()}"
+    menu = "<div><a>Home</a></div><div><a>News</a></div><div><a>About</a></div>"
+    first = "".join(f"<p>Short {k}.</p>" for k in range(4))
+    assert html_text.main_text(f"{menu}{first}<p>{long}</p><p><a>One link</a></p><p>{long}</p>") == \
+        f"Short 0. Short 1. Short 2. Short 3. {long.strip()} One link {long.strip()}"
+
+
 def test_extract_odd_rows(spark):
     pages = spark.createDataFrame([(1, None, None, "x"), (None, "u", "<p>a", "x"), (2, "u", "", "x"), (2, "u", "", "x")], "page_id long, url string, html string, text string")
     assert sorted(r["n_chars"] for r in html_text.extract(pages).collect()) == [0, 0, 0, 1]
