@@ -4,7 +4,8 @@ A page becomes a list of lines: one per block element, with its text stripped of
 lines' text lengths outside links over a sliding window rise sharply where the article starts (surge) and fall to
 nothing where it ends (dive); text between a surge and the next dive is kept, with single links and short lines in
 it and short lines directly before it. Lines in parts that the markup names as menus, headers, footers,
-sidebars, notices, adverts, forms or comments are left out first. Markup of an article is a weight: lines in it count MARKED times, and lines outside
+sidebars, notices, adverts, forms or comments are left out first, unless a class word names what holds the bulk of
+the page. Markup of an article is a weight: lines in it count MARKED times, and lines outside
 are left out unless they have more than MARKED times its text.
 """
 
@@ -37,38 +38,71 @@ WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adse
          "disclaimer", "toolbar", "alert"}
 ARTICLE = {"article", "main"}
 WINDOW, SURGE, MARKED = 3, 86, 4
+#: Elements that are closed implicitly as often as not.
+LOOSE = ("p", "li", "dt", "dd", "tr", "td", "th", "option")
+#: Content of RAW elements in which tags are plain characters.
+PLAIN = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 
 
-def _named_boilerplate(name: str, rest: str) -> bool:
+def _named_boilerplate(name: str, rest: str) -> int:
+    """2 for parts whose element, role or style says so, 1 for class words, else 0."""
+    named = 0
     if name in BOILERPLATE:
-        return True
+        return 2
     if name in ARTICLE or name in ("html", "body") or not rest:
-        return False
+        return 0
     for key, value in ATTRIBUTE.findall(rest):
         key, value = key.lower(), html.unescape(value.strip("\"'")).lower()
         if key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
+            return 2
         if key in ("class", "id") and WORDS & set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value))):
-            return True
+            named = 1
         if key == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return False
+            return 2
+    return named
+
+
+def _raw_end(page: str, at: int, name: str, parent: str | None) -> int:
+    """Where the content of a RAW element ends: after its closing tag, or where its parent ends if that comes first."""
+    close = re.compile(rf"</{re.escape(name)}\s*(?:[^>]*)>", re.I).search(page, at)
+    if close and (name in PLAIN or parent is None):
+        return close.end()
+    depth = 0
+    if parent:
+        for m in re.compile(rf"<(/?){re.escape(parent)}(?=[\s/>])", re.I).finditer(page, at, close.start() if close else len(page)):
+            depth += -1 if m[1] else 1
+            if depth < 0 or parent in LOOSE:
+                return m.start()
+    return close.end() if close else len(page)
+
+
+def _settled(found: list[tuple[str, bool, tuple, bool, int]]) -> list[tuple[str, bool, bool, int]]:
+    """Blocks with class words believed, but for parts with more than half of the text and no article beside them."""
+    sizes, articles = {}, {}
+    total = sum(n for _, b, _, _, n in found if not b)
+    in_article = sum(a and not b for _, b, _, a, _ in found)
+    for _, b, parts, a, n in found:
+        for part in parts:
+            sizes[part] = sizes.get(part, 0) + (0 if b else n)
+            articles[part] = articles.get(part, 0) + (a and not b)
+    believed = {k for k, n in sizes.items() if 2 * n <= total or articles[k] < in_article}
+    return [(text, b or not believed.isdisjoint(parts), a, n) for text, b, parts, a, n in found]
 
 
 def line_blocks(page: str) -> list[tuple[str, bool, bool, int]]:
     """(text, in boilerplate, in article, characters outside links) of every block of text, in page order."""
-    out: list[tuple[str, bool, bool, int]] = []
+    out: list[tuple[str, bool, tuple, bool, int]] = []
     held: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements that matter: name, boilerplate, article
-    boiler = article = at = linked = 0
-    in_link = False
+    stack: list[tuple[str, bool, bool, int]] = []  # open elements that matter: name, boilerplate, article, part by class words
+    boiler = article = at = linked = parts = 0
+    in_link, loose = False, None
 
     def end_block():
         nonlocal linked
         text = " ".join(html.unescape("".join(held)).split())
         held.clear()
         if text:
-            out.append((text, boiler > 0, article > 0, max(0, len(text) - linked)))
+            out.append((text, boiler > 0, tuple(x[3] for x in stack if x[3]), article > 0, max(0, len(text) - linked)))
         linked = 0
 
     while at < len(page):
@@ -88,22 +122,24 @@ def line_blocks(page: str) -> list[tuple[str, bool, bool, int]]:
         if name == "a":
             in_link = not m["close"]
         if m["close"]:
+            loose = None if name not in INLINE else loose
             if name not in INLINE or any(x[0] == name for x in stack):
                 end_block() if name not in INLINE else None
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == name:
-                        for _, b, a in stack[k:]:
+                        for _, b, a, _ in stack[k:]:
                             boiler, article = boiler - b, article - a
                         del stack[k:]
                         break
             continue
         if name in RAW:
-            close = re.compile(rf"</{re.escape(name)}\s*(?:[^>]*)>", re.I).search(page, at)
+            if name in ("svg", "math") and m["rest"].endswith("/"):
+                continue
             if name not in ("button", "svg", "math", "select", "textarea", "title"):
                 end_block()
-            if name == "head" and close is None:
+            if name == "head" and not re.compile(r"</head\s*[^>]*>", re.I).search(page, at):
                 continue
-            at = close.end() if close else len(page)
+            at = _raw_end(page, at, name, loose or (stack[-1][0] if stack else None))
             continue
         if name not in INLINE:
             end_block()
@@ -113,14 +149,17 @@ def line_blocks(page: str) -> list[tuple[str, bool, bool, int]]:
         a = name in ARTICLE or not b and bool(re.search(r"""role\s*=\s*["']?(?:main|article)\b|itemprop\s*=\s*["']?articleBody""", m["rest"], re.I))
         if name in INLINE and not b:
             continue
-        if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and not b and not a:
-            continue  # closed implicitly as often as not, and of no consequence
+        if name in LOOSE and not b and not a:
+            loose = name
+            continue  # of no consequence
+        loose = None
         if b and name in INLINE:
             end_block()
-        stack.append((name, b, a))
-        boiler, article = boiler + b, article + a
+        parts += b == 1
+        stack.append((name, b == 2, a, parts if b == 1 else 0))
+        boiler, article = boiler + (b == 2), article + a
     end_block()
-    return out
+    return _settled(out)
 
 
 def dense_spans(lengths: list[int], window: int = WINDOW, surge: int = 1) -> list[tuple[int, int]]:

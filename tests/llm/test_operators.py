@@ -152,6 +152,16 @@ def test_links_and_short_lines_by_where_they_stand():
         f"Short 0. Short 1. Short 2. Short 3. {long.strip()} One link {long.strip()}"
 
 
+def test_no_article_is_lost_by_names_or_open_elements():
+    long = ("Long text of the page. " * 9).strip()
+    for page in (f"<div class='layout with-sidebar'><article><p>{long}</p></article><div class=comments><p>{long * 3}</p></div></div>",
+                 f"<div id=content class=no-ads><p>{long}</p></div><div class=ad>Buy</div>",
+                 f"<article><svg width=1 /><p>{long}</p><svg><text>x</text></svg></article>",
+                 f"<article><div><svg><text>x</text></div><p>{long}</p></article>",
+                 f"<article><p><button>Go</p><p>{long}</p></article>"):
+        assert html_text.main_text(page) == long, page
+
+
 def test_extract_odd_rows(spark):
     pages = spark.createDataFrame([(1, None, None, "x"), (None, "u", "<p>a", "x"), (2, "u", "", "x"), (2, "u", "", "x")], "page_id long, url string, html string, text string")
     assert sorted(r["n_chars"] for r in html_text.extract(pages).collect()) == [0, 0, 0, 1]
