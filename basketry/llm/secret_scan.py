@@ -17,10 +17,13 @@ from basketry.llm.common import map_rows
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # runs of 24 and more: what is left of [0-9a-f]+ once shorter ones are dropped
-WEAK_SECRET = re.compile(r"[A-Za-z0-9/+_-]{32,128}={0,2}")
+WEAK_SECRET = re.compile(r"[A-Za-z0-9/+_-]{32,}={0,2}")
 ENDPOINT = re.compile(r"""[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]{4,}""")
+NAMED = re.compile(r"""(?:(?:client|app|application|account|tenant|user|access_?key)[_-]?(?:id|name)?|login)["']?\x20*[:=]"""
+                   r"""\x20*["']?[A-Za-z0-9._@+-]{3,}""", re.I | re.A)
+TEMPORARY = re.compile(r"(?:ASIA|AIDA|AROA)[A-Z0-9]{16,}")
 SCOPE_END = re.compile(r"\n[ \t\r]*\n")
-KINDS = ("assign", "access", "hex", "secret", "endpoint")
+KINDS = ("assign", "access", "hex", "secret", "endpoint", "identifier")
 MARK = "[REDACTED]"
 REACH = 400
 
@@ -53,19 +56,31 @@ def _mixed(value: str) -> bool:
 def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
     """Weak candidates beside the parts that complete them.
 
-    A mixed-class string needs an access identifier in reach; an address needs an access identifier
-    and a secret (assigned, hexadecimal, or a reported weak one). Scopes are paragraphs.
+    A mixed-class string needs an identifier in reach (of an access key, client, account or user), an identifier
+    that is no access key needs a secret (assigned, hexadecimal or a mixed-class string), an address needs a
+    secret or identifier that is reported and not a part of the address. Scopes are paragraphs.
     """
+    names = [("identifier", m.start(), m.end()) for m in TEMPORARY.finditer(text)]
+    if ":" in text or "=" in text:
+        names = sorted(names + [("identifier", m.start(), m.end()) for m in NAMED.finditer(text)
+                                if not _near([names], ("", m.start() + 1, m.end() - 1), [], 0)], key=lambda s: s[1])
+    if not base and not names:
+        return []  # every rule needs one of them
     assigned, access, hexes = ([s for s in base if s[0] == k] for k in KINDS[:3])
-    if not access:
-        return []
+    names = [s for s in names if not _near([assigned, access, hexes], ("", s[1] + 1, s[2] - 1), [], 0)]
     scopes = [m.start() for m in SCOPE_END.finditer(text)]
     weak = [("secret", m.start(), m.end()) for m in WEAK_SECRET.finditer(text)
-            if _mixed(m[0]) and not _near([assigned, access, hexes], ("", m.start() + 1, m.end() - 1), [], 0)]
-    weak = [s for s in weak if _near([access], s, scopes, reach)]
+            if _mixed(m[0]) and not _near([assigned, access, hexes, names], ("", m.start() + 1, m.end() - 1), [], 0)]
+    weak = [s for s in weak if _near([access, names], s, scopes, reach)]
+    names = [s for s in names if _near([assigned, hexes, weak], s, scopes, reach)]
+    strong = [assigned, access, hexes, weak, names]
+
+    def completed(place: Span) -> bool:
+        around = [[s for s in parts if s[2] <= place[1] or s[1] >= place[2]] for parts in strong]
+        return _near(around, place, scopes, reach)
+
     places = [("endpoint", m.start(), m.end()) for m in ENDPOINT.finditer(text)]
-    return weak + [s for s in places if _near([access], s, scopes, reach)
-                   and _near([assigned, hexes, weak], s, scopes, reach)]
+    return weak + names + [s for s in places if _near(strong, s, scopes, reach) and completed(s)]
 
 
 def ordered(spans: list[Span]) -> list[Span]:
@@ -95,7 +110,7 @@ def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", reach: int = R
         rows = []
         for key, value in zip(*columns):
             base = base_spans(value or "")
-            spans = base + (linked_spans(value, base, reach) if base else [])
+            spans = base + linked_spans(value or "", base, reach)
             counts = [sum(s[0] == k for s in base) for k in KINDS[:3]]
             rows.append((key, *counts, joined(base), joined(spans), redacted(value, spans) if spans else value))
         return list(map(list, zip(*rows)))
@@ -112,7 +127,8 @@ def redact(docs: DataFrame, text: str = "text", reach: int = REACH) -> DataFrame
     def clean(values):
         def one(value):
             base = base_spans(value or "")
-            return redacted(value, base + linked_spans(value, base, reach)) if base else value
+            spans = base + linked_spans(value or "", base, reach)
+            return redacted(value, spans) if spans else value
         return values.map(one, na_action="ignore")
 
     return docs.withColumn(text, clean(text))
