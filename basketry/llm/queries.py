@@ -5,8 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import (byte_bpe, html_text, jaccard_join, line_dedup, lm_score, packing, quality_rules, secret_scan,
-                          vector_join, warc)
+from basketry.llm import (alignment, byte_bpe, hard_negatives, html_text, jaccard_join, license_scan, line_dedup, lm_score, packing,
+                          quality_rules, secret_scan, vector_join, warc)
 from basketry.llm.common import table
 from basketry.llm.sql import ORACLE_SQL
 from basketry.session import staged
@@ -80,6 +80,22 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
                           F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.licensed_documents(table(spark, folder, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    rows, _ = alignment.aligned_documents(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), split_pattern(),
+                                          vocabulary("piece_bpe_32k.model"))
+    return rows
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").withColumn(
+        "label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(vectors)
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -88,7 +104,8 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [op1_secret_scan, op2_best_fit_packing, op3_warc_bundles, op4_html_text, op5_vector_join, op6_jaccard_join,
-             op7_line_dedup, op8_context_tree_score, op9_quality_rules, op10_byte_bpe, pipeline]
+             op7_line_dedup, op8_context_tree_score, op9_quality_rules, op10_byte_bpe, op11_license_scan,
+             op12_token_alignment, op13_hard_negatives, pipeline]
     return {f.__name__: f for f in named}
 
 

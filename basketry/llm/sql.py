@@ -1,5 +1,7 @@
 """DuckDB SQL with the same rows as the queries that SQL can express on whole tables."""
 
+from basketry.llm.license_scan import CONTAINMENT, NOTICES, PHRASES, template_table
+
 _OP3 = """
 WITH digests AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
@@ -72,4 +74,59 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE lost) AS n_dropped,
 FROM judged GROUP BY doc_id
 """
 
-ORACLE_SQL = {"op3_warc_bundles": _OP3, "op5_vector_join": _OP5, "op6_jaccard_join": _OP6, "op7_line_dedup": _OP7}
+
+
+def _listed(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+_TEMPLATES = template_table(NOTICES, PHRASES, CONTAINMENT)
+_OP11 = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS line, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), phrases(label, p) AS (VALUES %s
+), notices(label, t, step, needed) AS (VALUES %s
+), starts AS (SELECT line, w, unnest(range(len(w))) AS spot FROM words
+), places AS (SELECT line, label, spot FROM starts, phrases WHERE w[spot + 1:spot + len(p)] = p
+), blocks AS (
+  SELECT line, w, label, t, step, needed, unnest(range((len(w) + step - 1) // step)) AS b FROM words, notices
+), held AS (
+  SELECT line, label, len(t) AS size, needed, len(list_intersect(list_distinct(w[b * step + 1:(b + 2) * step]), t)) AS n FROM blocks
+), matches AS (
+  SELECT line, 'phrase' AS kind, label, spot, CAST(1 AS DOUBLE) AS score FROM places
+  UNION ALL SELECT line, 'notice', label, NULL, CAST(n AS DOUBLE) / size FROM held WHERE n >= needed
+), found AS (
+  SELECT line, count(*) FILTER (WHERE kind = 'phrase') AS n_base, min(spot) AS first_word, max(spot) AS last_word, max(score) AS score,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE kind = 'phrase') AS base_labels,
+    string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM matches GROUP BY line
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score
+FROM words LEFT JOIN found USING (line)
+""" % (", ".join(f"('{t['label']}', {_listed(t['words'])})" for t in _TEMPLATES if t["kind"] == "phrase"),
+       ", ".join(f"('{t['label']}', {_listed(t['tokens'])}, {len(t['words'])}, {t['needed']})"
+                 for t in _TEMPLATES if t["kind"] == "notice"))
+
+_OP13 = """
+WITH usable AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM usable a JOIN usable b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+), ranked AS (
+  SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS place,
+    other AS negative_id, positive_score, score AS negative_score
+  FROM positives JOIN scored USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+)
+SELECT anchor_id, positive_id, CAST(place AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM ranked WHERE place <= 10
+"""
+
+ORACLE_SQL = {"op3_warc_bundles": _OP3, "op5_vector_join": _OP5, "op6_jaccard_join": _OP6, "op7_line_dedup": _OP7,
+              "op11_license_scan": _OP11, "op13_hard_negatives": _OP13}
