@@ -13,7 +13,11 @@ the cost of both for the data at hand.
 Buckets are never paired out. In rounds, a growing number of pivots per bucket is compared to the members
 that are not yet in the pivot's component; a bucket is done once it is one component or all of its
 members were pivots. So a group of near copies costs one comparison each, and no link between
-different texts is lost that could change a component.
+different texts is lost that could change a component. New links join the roots of the rounds before.
+
+No task holds a hot shingle or bucket: shingles that a slice of texts finds frequent have the highest
+document frequency without being counted, and buckets are counted, elect pivots (one per salt) and end by
+aggregations that combine before they shuffle.
 """
 
 import numpy as np
@@ -32,6 +36,10 @@ SHINGLE = 5
 THRESHOLD = (75, 100)
 KEY_BITS = 48
 SCAN_COST = 3
+#: A shingle is frequent if FREQUENT texts of a slice and one in FREQUENT_SHARE hold it.
+FREQUENT, FREQUENT_SHARE = 16, 64
+#: How many times more pivots per bucket each round elects, and rows for which a small table has a further file.
+GROWTH, FILE_ROWS = 16, 100_000
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -85,14 +93,17 @@ def shingle_sets(texts: list[str | None], width: int = SHINGLE) -> list[np.ndarr
 
 
 def set_sizes(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """Rows (doc, size, digest) per document."""
+    """Rows (doc, size, digest, frequent) per document; `frequent` lists shingles that many texts of a slice hold, once per slice."""
     def work(columns):
         sets = shingle_sets(columns[1])
-        return [columns[0], list(map(len, sets)), [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets]]
+        listed, n = np.unique(np.concatenate(sets) >> np.uint64(64 - KEY_BITS), return_counts=True)
+        frequent = listed[(n >= FREQUENT) & (FREQUENT_SHARE * n >= len(sets))].astype(np.int64)
+        return [columns[0], list(map(len, sets)), [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets],
+                [frequent.tolist() or None] + [None] * (len(sets) - 1)]
 
     kind = docs.schema[id].dataType.simpleString()
     named = docs.where(F.col(id).isNotNull()).select(F.col(id).alias("doc"), F.col(text).alias("text"))
-    return map_rows(named, ["doc", "text"], f"doc {kind}, size long, digest long", work, 1_000_000)
+    return map_rows(named, ["doc", "text"], f"doc {kind}, size long, digest long, frequent array<long>", work, 1_000_000)
 
 
 def postings(docs: DataFrame, id: str, text: str) -> DataFrame:
@@ -113,15 +124,18 @@ def _least_overlap(size: Column, threshold: tuple[int, int]) -> Column:
     return F.ceil(size * threshold[0] / threshold[1]).cast("long")
 
 
-def shared_sets(docs: DataFrame, sizes: DataFrame, id: str, text: str, threshold: tuple[int, int]) -> DataFrame:
+def shared_sets(docs: DataFrame, sizes: DataFrame, frequent: DataFrame, id: str, text: str, threshold: tuple[int, int]) -> DataFrame:
     """Rows (doc, size, keys) of the documents with enough shared shingles to have a partner.
 
     `sizes` are rows (doc, size, copies) of one document per set. A key is a shingle with its document
     frequency above it, so sorted keys are sorted by frequency; a shingle found as often as
-    its set has copies is in no other set.
+    its set has copies is in no other set. `frequent` shingles count as the most frequent.
     """
-    counted = postings(docs, id, text).withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("shingle")))
     most = (1 << 63 - KEY_BITS) - 1
+    flagged = postings(docs, id, text).join(frequent.withColumn("hot", F.lit(True)), "shingle", "left")
+    # a third of all rows may hold one frequent shingle: its rows are dealt by document, and nothing is counted
+    place = Window.partitionBy("shingle", F.when(F.col("hot"), F.xxhash64("doc")))
+    counted = flagged.withColumn("df", F.when(F.col("hot"), F.lit(most)).otherwise(F.count(F.lit(1)).over(place)))
     packed = F.shiftleft(F.least("df", F.lit(most)), KEY_BITS).bitwiseOR(F.col("shingle"))
     found = counted.where(F.col("df") > 1).groupBy("doc").agg(F.sort_array(F.collect_set(packed)).alias("keys"))
     met = found.join(sizes, "doc").withColumn("keys", F.filter(
@@ -148,7 +162,7 @@ def light_limit(sets: DataFrame) -> int:
 
 
 def buckets(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Rows (bucket, doc, size, most, place, members): buckets of two or more, the most shared sets first.
+    """Rows (bucket, doc, size, most, spread): buckets of two or more; members with the least `spread` share most.
 
     `most` bounds the overlap with a set whose first common shingles (in the order by frequency) are the bucket's.
     """
@@ -159,18 +173,16 @@ def buckets(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     limit = light_limit(cut)
     named = cut.select("doc", "size", own.alias("own"), "prefix", "longer", (size >= limit).alias("heavy"))
     lists = named.select("doc", "size", "own", "heavy", F.posexplode("prefix").alias("at", "bucket")).withColumn(
-        "most", F.col("size") - F.col("own") - F.col("at"))
-    lists = lists.withColumn("any", F.max("heavy").over(Window.partitionBy("bucket"))).where("any").drop("any", "heavy", "at")
+        "most", F.col("size") - F.col("own") - F.col("at")).drop("at")
     pairs = F.flatten(F.transform("longer", lambda x, i: F.transform(
         F.slice("longer", i + 2, F.size("longer")),
         lambda y, j: F.struct(F.xxhash64(x, y).alias("bucket"), (F.col("size") - F.col("own") - i - j).alias("most")))))
-    light = named.where(~F.col("heavy")).select("doc", "size", "own", F.explode(pairs).alias("x")).select("doc", "size", "own", "x.*")
+    light = named.where(~F.col("heavy")).select("doc", "size", "own", F.explode(pairs).alias("x")).select(
+        "doc", "size", "own", F.lit(True).alias("heavy"), "x.*")
     members = lists.unionByName(light)
-    group = Window.partitionBy("bucket")
-    placed = members.withColumns({
-        "members": F.count(F.lit(1)).over(group),
-        "place": F.row_number().over(group.orderBy(F.col("own") / F.col("size"), "doc")) - 1}).where("members > 1")
-    return staged(placed.select("bucket", "doc", "size", "most", "place", "members"), "buckets")
+    # lists without a heavy set are left to the pairs
+    met = staged(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("heavy").alias("any")).where("n > 1 AND any").select("bucket"), "met")
+    return staged(members.join(met, "bucket").select("bucket", "doc", "size", "most", (F.col("own") / F.col("size")).alias("spread")), "buckets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -181,35 +193,52 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) ->
     return met.where(threshold[1] * F.col("both") >= threshold[0] * (F.col("u_size") + F.col("v_size") - F.col("both"))).select("u", "v")
 
 
-def linked_sets(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Rows (node, root) of the sets that link to another one."""
-    open_buckets = buckets(sets, threshold)
-    links = roots = None
-    first, pivots = 0, 1
-    group = Window.partitionBy("bucket")
-    while not open_buckets.isEmpty():
-        root = F.col("root") if roots is not None else F.col("doc")
-        pivot = F.struct(F.col("doc").alias("u"), F.col("size").alias("u_size"), F.col("most").alias("u_most"),
-                         F.col("place").alias("u_place"), root.alias("u_root"))
-        chosen = (F.col("place") >= first) & (F.col("place") < first + pivots)
-        able = ((F.col("place") > F.col("u_place")) & (root != F.col("u_root"))
-                & ((threshold[0] + threshold[1]) * F.least("most", "u_most") >= threshold[0] * (F.col("size") + F.col("u_size"))))
-        if pivots == 1:
-            met = open_buckets.withColumn("_pivot", F.max(F.when(chosen, pivot)).over(group)).select("*", "_pivot.*").where(able)
-        else:
-            met = open_buckets.join(open_buckets.where(chosen).select(F.col("bucket").alias("_bucket"), pivot.alias("_pivot")).select(
-                "_bucket", "_pivot.*"), (F.col("bucket") == F.col("_bucket")) & able)
-        pairs = staged(met.select(F.least("u", "doc").alias("u"), F.greatest("u", "doc").alias("v")).distinct(), "pairs")
-        new = staged(_verified(pairs, sets, threshold), "links")
-        first, pivots = first + pivots, 16 * pivots
-        now = open_buckets.where(F.col("members") > first + 1)
-        if roots is None or not new.isEmpty():
-            links = new if links is None else staged(links.unionByName(new), "links")
-            roots = components(links)
-            now = now.drop("root").join(roots.select(F.col("node").alias("doc"), F.col("root").alias("_root")), "doc", "left").withColumn(
+def _files(rows: int) -> int:
+    return rows // FILE_ROWS + 1
+
+
+def joined_roots(roots: DataFrame | None, links: DataFrame, files: int) -> DataFrame:
+    """`roots` (node, root) with new links (u, v) joined in: only roots are linked anew."""
+    if roots is None:
+        return components(links, files)
+    named = links
+    for end in ("u", "v"):
+        named = named.join(roots.select(F.col("node").alias(end), F.col("root").alias("_root")), end, "left").withColumn(
+            end, F.coalesce("_root", end)).drop("_root")
+    moved = components(named.select("u", "v"), files)
+    old = roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("_root")), "root", "left").select(
+        "node", F.coalesce("_root", "root").alias("root"))
+    new = moved.join(roots.select("node"), "node", "left_anti").select("node", "root")
+    return staged(old.unionByName(new).coalesce(files), "roots")
+
+
+def linked_sets(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame | None:
+    """Rows (node, root) of the sets that link to another one; None if there are none."""
+    members = buckets(sets, threshold).withColumns({"root": F.col("doc"), "tried": F.lit(False)})
+    files = _files(members.count())
+    roots, salts = None, 1
+    while not members.isEmpty():
+        elected = members.where("NOT tried").groupBy("bucket", F.pmod(F.xxhash64("doc"), F.lit(salts)).alias("_salt")).agg(
+            F.min(F.struct("spread", "doc", "size", "most", "root")).alias("p"))
+        pivots = staged(elected.select("bucket", F.col("p.doc").alias("p_doc"), F.col("p.size").alias("p_size"), F.col("p.most").alias("p_most"),
+                                       F.col("p.root").alias("p_root")).coalesce(files), "pivots")
+        able = ((F.col("root") != F.col("p_root")) & ((threshold[0] + threshold[1]) * F.least("most", "p_most")
+                                                      >= threshold[0] * (F.col("size") + F.col("p_size"))))
+        met = members.where("NOT tried").join(pivots, "bucket").where(able)
+        pairs = staged(met.select(F.least("doc", "p_doc").alias("u"), F.greatest("doc", "p_doc").alias("v")).distinct().coalesce(files), "pairs")
+        links = staged(_verified(pairs, sets, threshold).coalesce(files), "links")
+        now = members.join(pivots.select("bucket", F.col("p_doc").alias("doc"), F.lit(True).alias("_now")), ["bucket", "doc"], "left").withColumn(
+            "tried", F.col("tried") | F.coalesce("_now", F.lit(False))).drop("_now")
+        if not links.isEmpty():
+            roots = joined_roots(roots, links, files)
+            now = now.join(roots.select(F.col("node").alias("doc"), F.col("root").alias("_root")), "doc", "left").withColumn(
                 "root", F.coalesce("_root", "doc")).drop("_root")
-        now = now.withColumns({"_lo": F.min("root").over(group), "_hi": F.max("root").over(group)})
-        open_buckets = staged(now.where("_lo != _hi").drop("_lo", "_hi"), "buckets")
+        now = staged(now.coalesce(files), "members")
+        # a bucket is done once it is one component or each member was a pivot
+        left = now.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.when(~F.col("tried"), 1)).alias("n"))
+        members = staged(now.join(left.where("lo != hi AND n > 0").select("bucket"), "bucket").coalesce(files), "buckets")
+        salts = min(salts * GROWTH, 1 << 30)
+        files = _files(members.count())
     return roots
 
 
@@ -224,13 +253,14 @@ def similar_documents(docs: DataFrame, id: str = "doc_id", text: str = "text",
     set's size, and shared shingles of all). Shingles are told apart by 64 bits within a text and 48
     between texts.
     """
-    sizes = staged(set_sizes(docs, id, text).groupBy("doc").agg(F.max(F.struct("size", "digest")).alias("x")).select(
-        "doc", "x.size", "x.digest"), "sizes")
+    sized = staged(set_sizes(docs, id, text), "sizes")
+    frequent = staged(sized.select(F.explode("frequent").alias("shingle")).distinct(), "frequent")
+    sizes = staged(sized.groupBy("doc").agg(F.max(F.struct("size", "digest")).alias("x")).select("doc", "x.size", "x.digest"), "sizes")
     groups = staged(sizes.where("size > 0").groupBy("size", "digest").agg(
         F.min("doc").alias("first"), F.count(F.lit(1)).alias("copies")), "sets")
     copies = staged(sizes.join(groups.where("copies > 1"), ["size", "digest"]).where(F.col("doc") != F.col("first")).select(
         "doc", "first"), "copies")
-    sets = shared_sets(docs, groups.select(F.col("first").alias("doc"), "size", "copies"), id, text, threshold)
+    sets = shared_sets(docs, groups.select(F.col("first").alias("doc"), "size", "copies"), frequent, id, text, threshold)
     roots = linked_sets(sets, threshold)
     named = sizes.join(copies, "doc", "left").withColumn("first", F.coalesce("first", "doc"))
     if roots is not None:
