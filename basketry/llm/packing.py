@@ -12,6 +12,8 @@ import struct
 from bisect import bisect_left, insort
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -51,7 +53,7 @@ class Words:
         self.characters = _byte_characters()
         try:
             self.quick = [self._quick(w) for w in self.PROBES] == self._slow(self.PROBES)
-        except Exception:  # a model without tokenize(), or with other pieces
+        except (AttributeError, TypeError):  # a model without tokenize(), or one that takes other arguments
             self.quick = False
 
     def _quick(self, word: str) -> bytes:
@@ -63,21 +65,33 @@ class Words:
         return [np.array(c.ids, "<u4").tobytes() for c in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        words = [t.encode("utf-8", "replace").split() if t else [] for t in texts]
-        new = set().union(*words).difference(self.known)
-        if len(self.known) + len(new) > KNOWN_WORDS:
-            self.known, new = {}, set().union(*words)
+        words = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        counts = pc.fill_null(pc.list_value_length(words), 0).to_numpy()
+        coded = words.flatten().dictionary_encode()
+        ids = pa.array(self._ids(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[:len(ids) + 1][np.concatenate(([0], np.cumsum(counts)))].tolist()
+        data = ids.buffers()[2].to_pybytes() if ids.buffers()[2] else b""
+        return [data[x:y] for x, y in zip(ends, ends[1:])]
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words; as many as KNOWN_WORDS are kept."""
+        found = list(map(self.known.get, words))
+        new = [i for i, ids in enumerate(found) if ids is None]
         other = []
-        for data in new:
-            word = data.decode()
-            if self.quick and len(word) < 64 and PLAIN.fullmatch(word):
-                self.known[data] = self._quick(word)
+        for i in new:
+            word = words[i]
+            if self.quick and len(word) < 64 and (not word or PLAIN.fullmatch(word)):
+                found[i] = self._quick(word)
             else:
-                other.append((data, word))
+                other.append(i)
         for start in range(0, len(other), 20_000):
             part = other[start:start + 20_000]
-            self.known.update(zip((d for d, _ in part), self._slow([w for _, w in part])))
-        return [b"".join(map(self.known.__getitem__, x)) for x in words]
+            for i, ids in zip(part, self._slow([words[i] for i in part])):
+                found[i] = ids
+        if len(self.known) + len(new) > KNOWN_WORDS:
+            self.known = {}
+        self.known.update((words[i], found[i]) for i in new)
+        return found
 
 
 def _words(path: str) -> Words:
