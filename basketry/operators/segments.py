@@ -17,6 +17,7 @@ from basketry.functions.columns import half_even, persona, segment_description,
 from basketry.functions.lookups import lookup
 from basketry.operators.cluster_metrics import davies_bouldin, silhouette_squared
 from basketry.operators.features import RFM
+from basketry.operators.kmeans import fit_all, model_of
 
 SCALED = "_scaled"
 
@@ -68,25 +69,26 @@ def segment(customers: DataFrame, features: Sequence[str] = RFM, log: bool = Tru
             key: str = "customer_id") -> Segmentation:
     """Tries every k and keeps the one with the strictly largest silhouette, the first of equal ones.
 
-    The squared Euclidean silhouette serves at every size. A fit that found one cluster only has none,
-    which counts as the lowest.
+    All starts of all k are fitted in shared passes. The squared Euclidean silhouette serves at every size. A fit that found one
+    cluster only has none, which counts as the lowest.
     """
     scaling = scaler(customers, features, log)
     scaled = scaling.transform(customers).select(key, "scaled", *scaled_names(features)).persist()
-    rows, best, best_score = [], None, None
+    rows, best, best_k, best_score = [], None, None, None
     try:
+        fitted = fit_all(scaled, scaled_names(features), key, ks, restarts, seed)
         for k in ks:
-            model = fit_kmeans(scaled, k, restarts, seed)
+            model = model_of(fitted[k][0])
             labelled = model.transform(scaled)
             quality = silhouette_squared(labelled, scaled_names(features), "cluster").first()
             index = davies_bouldin(labelled, scaled_names(features), "cluster").first()
             rows.append((k, quality.silhouette, quality.measure, index.davies_bouldin))
             score = float("-inf") if quality.silhouette is None else quality.silhouette
             if best is None or score > best_score:
-                best, best_score = model, score
+                best, best_k, best_score = model, k, score
     finally:
         scaled.unpersist()
-    k = best.getK()
+    k = best_k
     scores = customers.sparkSession.createDataFrame(
         [(*row, row[0] == k) for row in rows],
         "k int, silhouette double, measure string, davies_bouldin double, selected boolean")
