@@ -14,11 +14,13 @@ from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ROUNDS = 3  # of the seeding
-ITERATIONS = 100
+#: Rounds of the seeding, and rows that each draws by squared distance: what stands for all rows until centres rest there.
+ROUNDS, DRAWN = 3, 800
+ITERATIONS = 300
+#: A fit rests once its centres move by less than this share of the mean variance of a feature, squared moves added.
 TOLERANCE = 1e-4
 #: Rows of a batch that meet all centres at once.
-BATCH_ROWS = 8_192
+BATCH_ROWS = 2_048
 EXACT = "decimal(38,12)"
 
 
@@ -45,56 +47,51 @@ def _batches(batches, n_features: int):
             yield part.column(0).to_numpy(), np.stack([part.column(1 + d).to_numpy(zero_copy_only=False) for d in range(n_features)], 1)
 
 
-def _chosen(points: DataFrame, n: int, seeds: list[int], centres: list[np.ndarray] | None, most: list[int]) -> list[np.ndarray]:
-    """Per fit `most` rows drawn without replacement, by squared distance to its `centres` (at random without).
+def _chosen(points: DataFrame, n: int, seed: int, centres: np.ndarray | None, most: int) -> np.ndarray:
+    """`most` rows drawn without replacement, by squared distance to `centres` (at random without).
 
     The rows with the least exponential time over weight are such a draw; tasks return their own least ones.
     """
     names = [f"x{d}" for d in range(n)]
 
     def draw(batches):
-        held = [(np.zeros(0), np.zeros((0, n)))] * len(seeds)
+        held_times, held = np.zeros(0), np.zeros((0, n))
         for keys, x in _batches(batches, n):
-            for s, seed in enumerate(seeds):
-                weight = np.ones(len(x)) if centres is None else _squared(x, centres[s]).min(1)
-                with np.errstate(divide="ignore"):
-                    times = -np.log(_uniform(keys, seed)) / weight
-                times, rows = np.concatenate([held[s][0], times]), np.concatenate([held[s][1], x])
-                times[~np.isfinite(times)] = np.inf
-                # equal rows draw apart by their keys; the order of rows breaks what is left
-                best = np.argsort(times, kind="stable")[:most[s]]
-                best = best[np.isfinite(times[best])]
-                held[s] = times[best], rows[best]
-        for s, (times, rows) in enumerate(held):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(times), s, np.int32)), pa.array(times), *(pa.array(rows[:, d]) for d in range(n))],
-                                             names=["fit", "time", *names])
-
-    schema = "fit int, time double, " + ", ".join(f"{c} double" for c in names)
-    drawn = points.mapInArrow(draw, schema).groupBy("fit").agg(
-        F.sort_array(F.collect_list(F.struct("time", *names))).alias("rows"))  # as many per task as are drawn
-    cut = F.array([F.lit(m) for m in most])
-    found = {r["fit"]: r["rows"] for r in drawn.select("fit", F.slice("rows", F.lit(1), F.get(cut, F.col("fit"))).alias("rows")).collect()}
-    return [np.array([list(r)[1:] for r in found.get(s, [])]).reshape(-1, n) for s in range(len(seeds))]
+            weight = np.ones(len(x)) if centres is None else _squared(x, centres).min(1)
+            with np.errstate(divide="ignore"):
+                times = np.concatenate([held_times, -np.log(_uniform(keys, seed)) / weight])
+            best = np.argsort(times, kind="stable")[:most]
+            best = best[np.isfinite(times[best])]  # rows on a centre have no weight
+            held_times, held = times[best], np.concatenate([held, x])[best]
+        yield pa.RecordBatch.from_arrays([pa.array(held_times), *(pa.array(held[:, d]) for d in range(n))], names=["time", *names])
+
+    schema = "time double, " + ", ".join(f"{c} double" for c in names)
+    return np.array([list(r)[1:] for r in points.mapInArrow(draw, schema).orderBy("time", *names).limit(most).collect()]).reshape(-1, n)
 
 
 def _moments(points: DataFrame, n: int, centres: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
     """Per fit (rows per centre, sums per centre, cost) of the rows nearest to each; the first of equally near ones."""
     names = [f"x{d}" for d in range(n)]
 
+    sizes = np.array([len(c) for c in centres])
+    groups = [(k, np.flatnonzero(sizes == k)) for k in np.unique(sizes)]
+    stacked = [np.concatenate([centres[s] for s in fits]) for _, fits in groups]
+
     def add(batches):
-        sums = [np.zeros((len(c), n + 2)) for c in centres]
+        sums = [np.zeros((len(c), n + 2)) for c in stacked]
         for _, x in _batches(batches, n):
-            for c, total in zip(centres, sums):
-                apart = _squared(x, c)
-                near = apart.argmin(1)
-                total[:, 0] += np.bincount(near, minlength=len(c))
-                total[:, 1] += np.bincount(near, apart[np.arange(len(x)), near], len(c))
+            for (k, fits), c, total in zip(groups, stacked, sums):
+                apart = _squared(x, c).reshape(len(x), len(fits), k)
+                near = apart.argmin(2)
+                place = (near + k * np.arange(len(fits))).ravel()
+                total[:, 0] += np.bincount(place, minlength=len(c))
+                total[:, 1] += np.bincount(place, np.take_along_axis(apart, near[:, :, None], 2).ravel(), len(c))
                 for d in range(n):
-                    total[:, 2 + d] += np.bincount(near, x[:, d], len(c))
-        for s, total in enumerate(sums):
+                    total[:, 2 + d] += np.bincount(place, np.repeat(x[:, d], len(fits)), len(c))
+        for (k, fits), total in zip(groups, sums):
             some = np.flatnonzero(total[:, 0])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(some), s, np.int32)), pa.array(some.astype(np.int32)), *(pa.array(total[some, j]) for j in range(n + 2))],
+                [pa.array(fits[some // k].astype(np.int32)), pa.array((some % k).astype(np.int32)), *(pa.array(total[some, j]) for j in range(n + 2))],
                 names=["fit", "cluster", "n", "cost", *names])
 
     schema = "fit int, cluster int, n double, cost double, " + ", ".join(f"{c} double" for c in names)
@@ -109,55 +106,59 @@ def _moments(points: DataFrame, n: int, centres: list[np.ndarray]) -> list[tuple
     return [(counts, totals, float(sum(sorted(costs)))) for counts, totals, costs in out]
 
 
-def _seeded(candidates: np.ndarray, weights: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """`k` centres among weighted candidates: k-means++ and a few Lloyd steps; fewer where rows are."""
-    candidates, at = np.unique(candidates, axis=0, return_inverse=True)
-    weights = np.bincount(at.ravel(), weights, len(candidates))
-    chosen = [int(rng.choice(len(candidates), p=weights / weights.sum()))]
-    while len(chosen) < min(k, len(candidates)):
-        left = weights * _squared(candidates, candidates[chosen]).min(1)
-        if left.sum() <= 0:
-            break
-        chosen.append(int(rng.choice(len(candidates), p=left / left.sum())))
-    centres = candidates[chosen]
-    for _ in range(30):
-        near = _squared(candidates, centres).argmin(1)
+def _seeded(summary: np.ndarray, weights: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """`k` centres of distinct weighted rows: k-means++, then Lloyd's steps until they rest; fewer where rows are."""
+    chosen = [int(rng.choice(len(summary), p=weights / weights.sum()))]
+    nearest = _squared(summary, summary[chosen])[:, 0]
+    while len(chosen) < min(k, len(summary)):
+        left = weights * nearest
+        tried = rng.choice(len(summary), 2 + int(np.log(k)), p=left / left.sum())
+        apart = np.minimum(nearest[:, None], _squared(summary, summary[tried]))
+        best = int((weights @ apart).argmin())  # of a few draws the one that leaves the least cost
+        chosen.append(int(tried[best]))
+        nearest = apart[:, best]
+    centres = summary[chosen]
+    for _ in range(ITERATIONS):
+        near = _squared(summary, centres).argmin(1)
         mass = np.bincount(near, weights, len(centres))
-        moved = np.stack([np.bincount(near, weights * candidates[:, d], len(centres)) for d in range(candidates.shape[1])], 1)
+        moved = np.stack([np.bincount(near, weights * summary[:, d], len(centres)) for d in range(summary.shape[1])], 1)
         new = np.where(mass[:, None] > 0, moved / np.maximum(mass, 1e-300)[:, None], centres)
         if np.array_equal(new, centres):
             break
         centres = new
-    return centres
+    return centres[np.lexsort(centres.T[::-1])]
 
 
 def fit_all(rows: DataFrame, features: Sequence[str], key: str, ks: Sequence[int], restarts: int, seed: int,
             iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> dict[int, tuple[np.ndarray, float]]:
     """Per k the centres and cost of the cheapest of `restarts` fits, the first of equal ones.
 
-    Starts are drawn in ROUNDS rounds of 2k rows each by squared distance, weighted and reduced to k; then all
-    fits move together until each one's centres rest within `tolerance`. Rows with a null feature are left out; no rows
-    give no centres. `rows` is read once per pass, so give a written or persisted table.
+    Rows drawn by squared distance, weighted by the rows nearest to them, stand for the table: every start is a k-means++ draw
+    among them and rests there first. Then all fits move together over all rows until each one's centres rest (TOLERANCE). Rows
+    with a null feature are left out; no rows give no centres. `rows` is read once per pass, so give a written or persisted table.
     """
     n = len(features)
     points = rows.select(F.xxhash64(key).alias("key"), *[F.col(c).cast("double").alias(f"x{d}") for d, c in enumerate(features)]).na.drop()
+    spread = points.agg(*[F.var_pop(f"x{d}").alias(f"v{d}") for d in range(n)]).first()
+    rest = tolerance * float(np.mean([v or 0.0 for v in spread]))
     fits = [(k, start) for k in ks for start in range(restarts)]
-    seeds = [seed + 7919 * start + 104_729 * k for k, start in fits]
-    centres = _chosen(points, n, seeds, None, [1] * len(fits))
-    if not len(centres[0]):
+    summary = _chosen(points, n, seed, None, 1)
+    if not len(summary):
         return {k: (np.zeros((0, n)), 0.0) for k in ks}
     for turn in range(1, ROUNDS + 1):
-        drawn = _chosen(points, n, [s + 15_485_863 * turn for s in seeds], centres, [2 * k for k, _ in fits])
-        centres = [np.concatenate([c, more]) for c, more in zip(centres, drawn)]
-    weights = [m[0] for m in _moments(points, n, centres)]
-    centres = [_seeded(c, np.maximum(w, 1e-9), k, np.random.default_rng(s)) for c, w, s, (k, _) in zip(centres, weights, seeds, fits)]
-    costs, moving = [np.inf] * len(fits), list(range(len(fits)))
+        summary = np.unique(np.concatenate([summary, _chosen(points, n, seed + 7919 * turn, summary, DRAWN)]), axis=0)
+    weights = _moments(points, n, [summary])[0][0]
+    summary, weights = summary[weights > 0], weights[weights > 0]
+    centres = [_seeded(summary, weights, k, np.random.default_rng([seed, start])) for k, start in fits]
+    costs = [np.inf] * len(fits)
+    first = {(k, c.tobytes()): s for s, (c, (k, _)) in reversed(list(enumerate(zip(centres, fits))))}
+    moving = sorted(first.values())  # equal starts move once
     for turn in range(iterations + 1):
         still = []
         for s, (counts, totals, cost) in zip(moving, _moments(points, n, [centres[s] for s in moving])):
             costs[s] = cost  # of the centres of this pass
             new = np.where(counts[:, None] > 0, totals / np.maximum(counts, 1)[:, None], centres[s])
-            if turn < iterations and (_squared(new, centres[s]).diagonal() > tolerance ** 2).any():
+            if turn < iterations and ((new - centres[s]) ** 2).sum() > rest:
                 centres[s] = new
                 still.append(s)
         moving = still
