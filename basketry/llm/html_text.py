@@ -36,7 +36,14 @@ WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adse
          "consent", "gdpr", "popup", "modal", "overlay", "newsletter", "subscribe", "signup", "share", "sharing", "social",
          "comment", "comments", "disqus", "reply", "replies", "pagination", "pager", "login", "copyright", "legal",
          "disclaimer", "toolbar", "alert"}
+#: Words that name topics as well: in a class of several words they count only beside words that name parts of a page.
+TOPICS = {"legal", "social", "copyright", "promotion", "promo", "login", "alert"}
+PARTS = {"links", "link", "icons", "bar", "buttons", "button", "box", "media", "text", "info", "list", "wrapper", "container", "block", "section",
+         "area", "message", "site", "page", "main", "top", "bottom"}
 ARTICLE = {"article", "main"}
+ANCHOR = re.compile(r"<(/?)a(?=[\s/>])", re.I)
+HREF = re.compile(r"(?:^|[\s\"'])href\s*=", re.I)
+TARGET = re.compile(r"(?:^|[\s\"'])(?:name|id)\s*=", re.I)  # without an address: a place that links lead to
 WINDOW, SURGE, MARKED = 3, 86, 4
 #: Elements that are closed implicitly as often as not.
 LOOSE = ("p", "li", "dt", "dd", "tr", "td", "th", "option")
@@ -44,6 +51,12 @@ LOOSE = ("p", "li", "dt", "dd", "tr", "td", "th", "option")
 PLAIN = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 
 
+def _names_boilerplate(token: str) -> bool:
+    """Whether one class or id says so by a word of WORDS."""
+    words = {w for w in re.split(r"[^a-z]+", token) if w}
+    return bool(WORDS & words - TOPICS) or bool(WORDS & words) and words <= WORDS | PARTS
+
+
 def _named_boilerplate(name: str, rest: str) -> int:
     """2 for parts whose element, role or style says so, 1 for class words, else 0."""
     named = 0
@@ -55,7 +68,7 @@ def _named_boilerplate(name: str, rest: str) -> int:
         key, value = key.lower(), html.unescape(value.strip("\"'")).lower()
         if key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
             return 2
-        if key in ("class", "id") and WORDS & set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value))):
+        if key in ("class", "id") and any(map(_names_boilerplate, value.split())):
             named = 1
         if key == "style" and re.search(r"display\s*:\s*none", value):
             return 2
@@ -76,33 +89,34 @@ def _raw_end(page: str, at: int, name: str, parent: str | None) -> int:
     return close.end() if close else len(page)
 
 
-def _settled(found: list[tuple[str, bool, tuple, bool, int]]) -> list[tuple[str, bool, bool, int]]:
+def _settled(found: list[tuple[str, bool, tuple, int, int]]) -> list[tuple[str, bool, int, int]]:
     """Blocks with class words believed, but for parts with more than half of the text and no article beside them."""
     sizes, articles = {}, {}
     total = sum(n for _, b, _, _, n in found if not b)
-    in_article = sum(a and not b for _, b, _, a, _ in found)
+    in_article = sum(a > 0 and not b for _, b, _, a, _ in found)
     for _, b, parts, a, n in found:
         for part in parts:
             sizes[part] = sizes.get(part, 0) + (0 if b else n)
-            articles[part] = articles.get(part, 0) + (a and not b)
+            articles[part] = articles.get(part, 0) + (a > 0 and not b)
     believed = {k for k, n in sizes.items() if 2 * n <= total or articles[k] < in_article}
     return [(text, b or not believed.isdisjoint(parts), a, n) for text, b, parts, a, n in found]
 
 
-def line_blocks(page: str) -> list[tuple[str, bool, bool, int]]:
-    """(text, in boilerplate, in article, characters outside links) of every block of text, in page order."""
-    out: list[tuple[str, bool, tuple, bool, int]] = []
+def line_blocks(page: str) -> list[tuple[str, bool, int, int]]:
+    """(text, in boilerplate, number of the outermost article or 0, characters outside links) of every block of text, in page order."""
+    out: list[tuple[str, bool, tuple, int, int]] = []
     held: list[str] = []
     stack: list[tuple[str, bool, bool, int]] = []  # open elements that matter: name, boilerplate, article, part by class words
-    boiler = article = at = linked = parts = 0
-    in_link, loose = False, None
+    boiler = article = at = linked = parts = articles = 0
+    in_link, closed, loose = False, True, None  # a link without its end goes no further than its block
 
     def end_block():
-        nonlocal linked
+        nonlocal linked, in_link
+        in_link = in_link and closed
         text = " ".join(html.unescape("".join(held)).split())
         held.clear()
         if text:
-            out.append((text, boiler > 0, tuple(x[3] for x in stack if x[3]), article > 0, max(0, len(text) - linked)))
+            out.append((text, boiler > 0, tuple(x[3] for x in stack if x[3]), articles if article else 0, max(0, len(text) - linked)))
         linked = 0
 
     while at < len(page):
@@ -120,7 +134,9 @@ def line_blocks(page: str) -> list[tuple[str, bool, bool, int]]:
             continue
         name = m["name"].lower()
         if name == "a":
-            in_link = not m["close"]
+            in_link = not m["close"] and bool(HREF.search(m["rest"]) or not TARGET.search(m["rest"]))
+            after = ANCHOR.search(page, at) if in_link else None
+            closed = bool(after and after[1])
         if m["close"]:
             loose = None if name not in INLINE else loose
             if name not in INLINE or any(x[0] == name for x in stack):
@@ -157,6 +173,7 @@ def line_blocks(page: str) -> list[tuple[str, bool, bool, int]]:
             end_block()
         parts += b == 1
         stack.append((name, b == 2, a, parts if b == 1 else 0))
+        articles += a and not article
         boiler, article = boiler + (b == 2), article + a
     end_block()
     return _settled(out)
@@ -189,8 +206,8 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     inside = sum(free for _, a, free in blocks if a)
     if any(a for _, a, _ in blocks) and (1 + MARKED) * inside >= sum(free for _, _, free in blocks):
         blocks = [(t, a, free) for t, a, free in blocks if a]
-    if not any(free for _, _, free in blocks) and any(a for _, a, _ in blocks):
-        blocks = [(t, a, len(t)) for t, a, _ in blocks if a]  # an article of links alone
+    if not any(free for _, _, free in blocks):
+        blocks = [(t, a, len(t)) for t, a, _ in blocks]  # links alone
     sizes = [free for _, _, free in blocks]
     weights = [free * (MARKED if a else 1) for _, a, free in blocks]
     densest = max((sum(sizes[k:k + window]) for k in range(len(sizes))), default=0)
@@ -198,6 +215,8 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     for start, end in dense_spans(weights, window, max(1, min(surge, densest // 4))):
         while start > last and weights[start - 1]:
             start -= 1
+        if last and blocks[last - 1][1] and blocks[last - 1][1] == blocks[start][1]:
+            start = last  # a dive between two surges of one article is no end
         kept += [t for t, _, _ in blocks[start:end]]
         last = end
     return " ".join(kept)

@@ -161,7 +161,7 @@ def adaptive_verdicts(features: DataFrame, reach: float = 3.0, prior: float = 10
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` (doc_id, text, lang, source and others) that the rules keep.
 
-    Every row is judged by its own text, repeated ids too; rows without an id go. Rows are written once
+    Every row is judged by its own text, those with repeated ids or none too. Rows are written once
     beside their features and meet only the few fences, so texts are never shuffled. A column of any
     name may come along.
     """
@@ -170,7 +170,7 @@ def keep_good(docs: DataFrame, **options) -> DataFrame:
         return pd.DataFrame(list(map(features_of, texts)), columns=names)
 
     names = [part.split()[0] for part in FEATURES.split(", ")]
-    carried = docs.where(F.col("doc_id").isNotNull()).select(
+    carried = docs.select(
         "lang", "source", measured("text").alias("_features"), F.struct("*").alias("_row")).select(
         "lang", "source", "_features.*", "_row")
     return adaptive_verdicts(staged(carried, "features"), **options).where("kept").select("_row.*")

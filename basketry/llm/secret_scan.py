@@ -37,13 +37,14 @@ def base_spans(text: str) -> list[Span]:
     return found + [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
 
 
-def _near(kinds: list[list[Span]], span: Span, scopes: list[int], reach: int) -> bool:
-    """Whether a part lies within `reach` of `span`, in its scope. Spans of one kind are disjoint and in order."""
+def _near(kinds: list[list[Span]], span: Span, scopes: list[int], reach: int, apart: bool = False) -> bool:
+    """Whether a part lies within `reach` of `span`, in its scope and, if `apart`, outside it. Spans of one kind are disjoint and in order."""
     scope = bisect_left(scopes, span[1])
     for parts in kinds:
         at = bisect_left(parts, span[1] - reach, key=lambda x: x[2])
         while at < len(parts) and parts[at][1] <= span[2] + reach:
-            if bisect_left(scopes, parts[at][1]) == scope:
+            outside = not apart or parts[at][2] <= span[1] or parts[at][1] >= span[2]
+            if outside and bisect_left(scopes, parts[at][1]) == scope:
                 return True
             at += 1
     return False
@@ -58,7 +59,8 @@ def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
 
     A mixed-class string needs an identifier in reach (of an access key, client, account or user), an identifier
     that is no access key needs a secret (assigned, hexadecimal or a mixed-class string), an address needs a
-    secret or identifier that is reported and not a part of the address. Scopes are paragraphs.
+    secret or identifier that is reported and not a part of the address. Scopes are paragraphs. A mixed-class string beside an
+    address alone is not reported: names of files, commits and pages look alike, and neither part says that it is a credential.
     """
     names = [("identifier", m.start(), m.end()) for m in TEMPORARY.finditer(text)]
     if ":" in text or "=" in text:
@@ -75,12 +77,8 @@ def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
     names = [s for s in names if _near([assigned, hexes, weak], s, scopes, reach)]
     strong = [assigned, access, hexes, weak, names]
 
-    def completed(place: Span) -> bool:
-        around = [[s for s in parts if s[2] <= place[1] or s[1] >= place[2]] for parts in strong]
-        return _near(around, place, scopes, reach)
-
     places = [("endpoint", m.start(), m.end()) for m in ENDPOINT.finditer(text)]
-    return weak + names + [s for s in places if _near(strong, s, scopes, reach) and completed(s)]
+    return weak + names + [s for s in places if _near(strong, s, scopes, reach, apart=True)]
 
 
 def ordered(spans: list[Span]) -> list[Span]:
@@ -122,7 +120,7 @@ def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", reach: int = R
 
 
 def redact(docs: DataFrame, text: str = "text", reach: int = REACH) -> DataFrame:
-    """`docs` with each span of `text` replaced by MARK; texts without spans are untouched."""
+    """`docs` with each span of `text` replaced by MARK; texts without spans are untouched. Memory: one Arrow batch of texts."""
     @F.pandas_udf("string")
     def clean(values):
         def one(value):
