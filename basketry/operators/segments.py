@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from basketry import fixed_values as fixed
 from basketry.functions.columns import half_even, persona, segment_description, segment_name
 from basketry.functions.lookups import lookup
-from basketry.operators.cluster_metrics import davies_bouldin, silhouette_squared
+from basketry.operators.cluster_metrics import davies_bouldin, silhouette_exact, silhouette_squared
 from basketry.operators.features import RFM
 from basketry.operators.kmeans import fit_all, model_of
 
@@ -66,12 +66,15 @@ class Segmentation:
 
 def segment(customers: DataFrame, features: Sequence[str] = RFM, log: bool = True,
             ks: Sequence[int] = fixed.K_RANGE, restarts: int = fixed.RESTARTS, seed: int = fixed.SPLIT_SEED,
-            key: str = "customer_id") -> Segmentation:
+            key: str = "customer_id", measure: str = "squared_euclidean") -> Segmentation:
     """Tries every k and keeps the one with the strictly largest silhouette, the first of equal ones.
 
-    All starts of all k are fitted in shared passes. The squared Euclidean silhouette serves at every size. A fit that found one
+    All starts of all k are fitted in shared passes. `measure` is the distance of the silhouette: `squared_euclidean` takes one pass
+    at every size, `euclidean` all distances, whose number grows with the square of the rows. A fit that found one
     cluster only has none, which counts as the lowest.
     """
+    if measure not in ("squared_euclidean", "euclidean"):
+        raise ValueError(f"unknown measure: {measure}")
     scaling = scaler(customers, features, log)
     scaled = scaling.transform(customers).select(key, "scaled", *scaled_names(features)).persist()
     rows, best, best_k, best_score = [], None, None, None
@@ -80,7 +83,8 @@ def segment(customers: DataFrame, features: Sequence[str] = RFM, log: bool = Tru
         for k in ks:
             model = model_of(fitted[k][0])
             labelled = model.transform(scaled)
-            quality = silhouette_squared(labelled, scaled_names(features), "cluster").first()
+            quality = (silhouette_exact(labelled, scaled_names(features), "cluster", key) if measure == "euclidean"
+                       else silhouette_squared(labelled, scaled_names(features), "cluster")).first()
             index = davies_bouldin(labelled, scaled_names(features), "cluster").first()
             rows.append((k, quality.silhouette, quality.measure, index.davies_bouldin))
             score = float("-inf") if quality.silhouette is None else quality.silhouette

@@ -55,6 +55,11 @@ def kmeans_k_selection(spark, folder):
     return _segmentation(spark, folder).scores
 
 
+def kmeans_k_selection_euclidean(spark, folder):
+    """The choice by the Euclidean silhouette, from all distances."""
+    return once(spark, folder, "segmentation-euclidean", lambda: segments.segment(_customers(spark, folder), measure="euclidean")).scores
+
+
 def kmeans_segments(spark, folder):
     return _segmented(spark, folder)
 
@@ -170,6 +175,7 @@ QUERIES = {
     "silhouette_squared": silhouette_squared,
     "davies_bouldin": davies_bouldin,
     "kmeans_k_selection": kmeans_k_selection,
+    "kmeans_k_selection_euclidean": kmeans_k_selection_euclidean,
     "kmeans_segments": kmeans_segments,
     "cluster_profile": cluster_profile,
     "banded_profile": banded_profile,

@@ -22,7 +22,7 @@ def read_lines(spark: SparkSession, path: str | list[str], format: str = "csv",
     if bad_fields not in ("fail", "null"):
         raise ValueError("bad_fields is fail or null")
     if format != "csv":
-        return spark.read.schema(schema).format(format).load(path)
+        return spark.read.schema(schema).format(format).load(path).select(*schema.names)
 
     def read(field: T.StructField) -> Column:
         value = _parsed(field)
@@ -92,6 +92,33 @@ def write_table(df: DataFrame, path: str, format: str = "parquet") -> None:
     df.write.mode("overwrite").options(**_written(format)).format(format).save(path)
 
 
+RUN_KEYS = ("run_id", "run_name", "kind", "key")
+
+
+def append_runs(entries: DataFrame, path: str, run_id: str) -> None:
+    """Adds the rows (run_name, kind, key, value) of one run to the run log under `path`.
+
+    The log is partitioned by run. A run that is written again, as after a failure, replaces its own rows and no others;
+    an empty run leaves the log as it is.
+    """
+    (entries.select("run_name", "kind", "key", "value").withColumn("run_id", F.lit(run_id)).hint("rebalance", "run_id")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path))
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """The run log: rows (run_id, run_name, kind, key, value) of all runs."""
+    return spark.read.schema("run_name string, kind string, key string, value string, run_id string").parquet(path).select(*RUN_KEYS, "value")
+
+
+def append_lines(df: DataFrame, path: str, load_id: str) -> None:
+    """Adds the lines of one load to the Parquet lines under `path`, beside those of other loads.
+
+    Lines lie by load, year and month; a load that is written again replaces its own lines only. `read_lines` reads all loads.
+    """
+    (df.withColumn("load_id", F.lit(load_id)).hint("rebalance", "load_id", "year", "month").sortWithinPartitions("year", "month", "invoicedate")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("load_id", "year", "month").parquet(path))
+
+
 def _written(format: str) -> dict:
     if format != "csv":
         return {}
