@@ -33,7 +33,7 @@ def test_loads_of_lines_stand_beside_each_other(spark, tmp_path):
     def lines(day, n):
         at = datetime.datetime(2024, 1 + day, day + 1, 10)
         return spark.createDataFrame(
-            [(f"i{day}{k}", "s", "d", k + 1, at, 2.5, 7, "x", 2.5 * (k + 1), at.year, at.month, at.day, "Monday") for k in range(n)],
+            [(f"i{day}{k}", "s", "d", k + 1.0, at, 2.5, 7, "x", 2.5 * (k + 1), at.year, at.month, at.day, "Monday") for k in range(n)],
             schemas.CLEAN_LINES)
 
     parts = [lines(0, 3), lines(1, 2)]
