@@ -53,15 +53,30 @@ def _digest(name: str) -> Column:
     return F.unhex(F.sha1(_payload(name)))
 
 
+def _escaped(value: str, also: str = "") -> str:
+    """`value` with what no header field or URI may hold, and the characters of `also`, as %XX."""
+    return re.sub(rf"[\x00-\x20\x7f{also}]", lambda m: f"%{ord(m[0]):02X}", value)
+
+
+def _plain(value: str) -> str:
+    return re.sub("%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), value)
+
+
+def _named(record: str) -> str:
+    return f"<urn:page:{_escaped(record, '%<>')}>"
+
+
 def record_bytes(record: str, url: str | None, payload: bytes, refers_to: str | None) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{record}>",
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_named(record)}",
             f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}"]
     if url is not None:
-        head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f%]", lambda m: f"%{ord(m[0]):02X}", url))
+        head.append("WARC-Target-URI: " + _escaped(url))
+        if _escaped(url) != url:  # other readers get a URI, this one the address as it was
+            head.append("X-Address: " + _escaped(url, "%"))
     if refers_to is not None:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>",
+        head += [f"WARC-Refers-To: {_named(refers_to)}",
                  "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -82,10 +97,9 @@ def parsed(data: bytes) -> Iterator[dict]:
         revisit, digest = head["WARC-Type"] == "revisit", head["WARC-Payload-Digest"].removeprefix("sha1:")
         if not revisit and (len(payload) != whole or base32_sha1(payload) != digest):
             raise ValueError(f"{head['WARC-Record-ID']}: the payload is not what was written")
-        url = head.get("WARC-Target-URI")
-        yield {"record": head["WARC-Record-ID"][len("<urn:page:"):-1], "record_type": head["WARC-Type"],
-               "url": None if url is None else re.sub("%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), url),
-               "refers_to": head["WARC-Refers-To"][len("<urn:page:"):-1] if revisit else None,
+        url = _plain(head["X-Address"]) if "X-Address" in head else head.get("WARC-Target-URI")
+        yield {"record": _plain(head["WARC-Record-ID"][len("<urn:page:"):-1]), "record_type": head["WARC-Type"], "url": url,
+               "refers_to": _plain(head["WARC-Refers-To"][len("<urn:page:"):-1]) if revisit else None,
                "payload_digest": digest, "payload_bytes": whole, "payload": None if revisit else payload}
         at = start + size + 4
 

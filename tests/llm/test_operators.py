@@ -488,3 +488,14 @@ def test_generated_pages_against_their_article():
         before, after = ("".join(rng.choice(noise)() for _ in range(rng.randint(0, 4))) for _ in range(2))
         page = f"<html><head><title>{sentence('n')}</title></head><body>{before}{wrap[0]}" + "".join(f"<p>{p}</p>" for p in paragraphs) + f"{wrap[1]}{after}</body></html>"
         assert html_text.main_text(page) == " ".join(paragraphs), page
+
+
+def test_addresses_and_ids_of_any_characters_return(spark):
+    odd = ["http://a/b%20c", "http://a/b c", "", " ", "x\r\ny", "100%", None, "http://é/ü?q=%2520&r=<z>"]
+    ids = ["a\r\nb", "c%0D", "<d>", "e f", "g", "", "%", "é"]
+    pages = spark.createDataFrame([(i, u, f"page {k // 2}") for k, (i, u) in enumerate(zip(ids, odd))], "page_id string, url string, html string")
+    rows = warc.read(warc.write(pages)).collect()
+    assert {(r["record"], r["url"]) for r in rows} == set(zip(ids, odd)) and len(rows) == len(ids)
+    assert {r["refers_to"] for r in rows if r["record_type"] == "revisit"} <= set(ids)
+    assert b"WARC-Target-URI: http://a/b%20c\r\n" in warc.record_bytes("1", "http://a/b%20c", b"", None)
+    assert b"WARC-Target-URI: http://a/b%20c\r\n" in warc.record_bytes("1", "http://a/b c", b"", None)
