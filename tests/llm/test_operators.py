@@ -315,6 +315,22 @@ def test_line_dedup_against_plain_counts(make_docs):
     assert rows[100]["text"] is None
 
 
+def test_line_dedup_repeated_ids_lose_the_same_keys(make_docs):
+    a, b, c = (f"shared line number {x} of many" for x in "abc")
+    rows = [(1, f"{a}\nmine\n{b}"), (1, f"{b}\n{b}\nother\n{a}"), (1, None), (2, f"{a}\n{c}\n{b}"), (3, f"x\n{b}\n{a}"), (None, a)]
+    found = {(r["doc_id"], r["text"], r["line_dedup_n_dropped"]) for r in line_dedup.drop_shared_lines(make_docs(rows)).collect()}
+    assert found == {(1, "mine", 2), (1, "other", 3), (1, None, 0), (2, c, 2), (3, f"x\n{b}\n{a}", 0), (None, a, 0)}
+
+
+def test_line_dedup_is_linear_in_the_lines_of_a_text(make_docs):
+    text = "\n".join(f"a line that all four texts share, number {i}" for i in range(100_000))
+    begun = time.monotonic()
+    rows = line_dedup.drop_shared_lines(make_docs([(k, text + f"\n{k}") for k in range(4)])).collect()
+    assert sorted((r["doc_id"], r["line_dedup_n_dropped"], r["text"] if r["doc_id"] < 3 else "") for r in rows) == [
+        (0, 100_000, "0"), (1, 100_000, "1"), (2, 100_000, "2"), (3, 0, "")]
+    assert time.monotonic() - begun < 60
+
+
 def test_line_dedup_odd_rows(odd_docs):
     assert line_dedup.drop_shared_lines(odd_docs).count() == odd_docs.count()
     assert line_dedup.drop_shared_lines(odd_docs.where("false")).count() == 0
