@@ -6,6 +6,7 @@ leave and the columns close up. Rank files are read where the task runs and neve
 """
 
 import base64
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +74,7 @@ class ByteBpe:
         by_rank = [b""] * (max(ranks.values()) + 1)
         for t, r in ranks.items():
             by_rank[r] = t
+        self.by_rank = by_rank
         self.vocabulary = np.frombuffer(b"".join(by_rank), np.uint8)
         self.sizes = np.array([len(t) for t in by_rank], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
@@ -108,31 +110,29 @@ class ByteBpe:
         return out
 
     def _merge_long(self, ids: np.ndarray) -> bytes:
-        """One long row: all places of the least pair at once, where no new pair could come before the rest of them."""
-        while len(ids) > 1:
-            ranks = self.pairs(ids[:-1], ids[1:])
-            least = ranks.min()
-            if least == NONE:
-                break
-            at = np.flatnonzero(ranks == least)
-            gap = np.diff(at, prepend=-2) == 1  # in a run of overlapping places every other one is merged
-            start = np.maximum.accumulate(np.where(gap, 0, np.arange(len(at))))
-            at = at[(np.arange(len(at)) - start) % 2 == 0]
-            merged = ids.copy()
-            merged[at] = least
-            keep = np.ones(len(ids), bool)
-            keep[at + 1] = False
-            short = merged[keep]
-            new = np.flatnonzero(short == least)
-            raw_right = self.pairs(np.full(len(at), least), np.append(ids, -1)[at + 2])
-            around = [self.pairs(short[new[new > 0] - 1], short[new[new > 0]]),
-                      self.pairs(short[new[new < len(short) - 1]], short[new[new < len(short) - 1] + 1]), raw_right]
-            if len(at) > 1 and any((x <= least).any() for x in around):
-                merged = ids.copy()
-                merged[at[0]] = least
-                short = np.delete(merged, at[0] + 1)
-            ids = short
-        return ids.tobytes()
+        """One long row: the leftmost least pair from a heap each time, so only the pairs beside it are looked up anew."""
+        at, n, token, rank = ids.tolist(), len(ids), self.by_rank, self.ranks.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        ranks = self.pairs(ids[:-1], ids[1:]).tolist() + [NONE]
+        heap = [(r, i) for i, r in enumerate(ranks) if r != NONE]
+        heapify(heap)
+        while heap:
+            least, i = heappop(heap)
+            if ranks[i] != least:
+                continue  # a neighbour was merged since
+            j = after[i]
+            at[i], ranks[j], after[i] = least, NONE, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            at[j] = -1
+            for left in (before[i], i):
+                if left >= 0:
+                    right = after[left]
+                    ranks[left] = rank(token[at[left]] + token[at[right]], NONE) if right < n else NONE
+                    if ranks[left] != NONE:
+                        heappush(heap, (ranks[left], left))
+        merged = np.array(at, np.int32)
+        return merged[merged >= 0].tobytes()
 
     def encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
         """The ids of distinct pieces, as packed 32-bit numbers."""

@@ -451,6 +451,22 @@ def test_sketches_merge_and_are_near(spark):
 
 # byte-level BPE ----------------------------------------------------------------------------------
 
+def test_byte_bpe_long_pieces_equal_short_ones_and_the_library():
+    own = byte_bpe.bpe(vocabularies.path("byte_bpe_multi_50k.tiktoken"), vocabularies.PATTERN)
+    library = tiktoken.Encoding("own", pat_str=vocabularies.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    rng = random.Random(5)
+    pieces = ["".join(rng.choices(letters, k=n)) for letters in ("ab", "etaoinshr", "aé日")
+              for n in (1, 2, 3, 40, 300, 2_000)] + ["a" * 1_001, "ab" * 700]
+    for piece in pieces:
+        codes = own.single[np.frombuffer(piece.encode(), np.uint8)]
+        assert own._merge_long(codes) == np.array(library._encode_single_piece(piece.encode()), np.int32).tobytes()
+        if len(codes) < 700:
+            assert own._merge_long(codes) == own._merge_matrix(codes[None])[0]
+    begun = time.monotonic()
+    assert len(own.encode(["".join(rng.choices("etaoinshr", k=160_000))])[0]) > 0
+    assert time.monotonic() - begun < 5
+
+
 def test_byte_bpe_equals_the_library(odd_docs):
     path, pattern = vocabularies.path("byte_bpe_multi_50k.tiktoken"), vocabularies.PATTERN
     own = byte_bpe.bpe(path, pattern)
