@@ -5,7 +5,7 @@ lines behind it. Restrict the products (`series.only_products`) before filling g
 are of interest.
 """
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 import numpy as np
 import pandas as pd
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from basketry import fixed_values as fixed
 from basketry.functions.columns import at_least_zero, day_text, half_even
 from basketry.functions.lookups import lookup
-from basketry.operators import metrics, series
+from basketry.operators import metrics, series, trend
 from basketry.session import staged
 
 FORECAST_SCHEMA = "stockcode string, date date, quantity double, forecast double"
@@ -24,13 +24,16 @@ SEASONAL, AUTOREGRESSIVE, ENSEMBLE = "seasonal", "autoregressive", "ensemble"
 
 # --- small per-series helpers ----------------------------------------------------
 
-def _ridge(x: np.ndarray, y: np.ndarray, penalty: float) -> np.ndarray:
-    """Least squares with a penalty on all coefficients but the first (the level)."""
-    weights = np.full(x.shape[1], penalty)
-    weights[0] = 1e-9
+def _ridge(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Least squares with a penalty of `weights` on the coefficients."""
     return np.linalg.solve(x.T @ x + np.diag(weights), x.T @ y)
 
 
+def _weights(n: int, penalty: float) -> np.ndarray:
+    """`penalty` for all coefficients but the first (the level)."""
+    return np.array([1e-9] + [penalty] * (n - 1))
+
+
 def _season_terms(days: np.ndarray, first: float, span: float) -> np.ndarray:
     """Level, trend, weekly and yearly waves for days counted from a common origin."""
     waves = [(order, period) for period, top in ((7.0, fixed.WEEKLY_ORDER), (365.25, fixed.YEARLY_ORDER))
@@ -40,11 +43,31 @@ def _season_terms(days: np.ndarray, first: float, span: float) -> np.ndarray:
                             *[np.sin(a) for a in angles], *[np.cos(a) for a in angles]])
 
 
-def seasonal_model(days: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> Callable[[np.ndarray], np.ndarray]:
-    """Additive trend + week + year fitted to (days, y); returns a function of days."""
+def seasonal_fit(days: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> dict:
+    """Origin, length, breaks of the trend and coefficients of trend + week + year fitted to (days, y)."""
     first, span = float(days[0]), float(days[-1] - days[0])
-    weights = _ridge(_season_terms(days, first, span), y, penalty)
-    return lambda ahead: _season_terms(ahead, first, span) @ weights
+    terms = _season_terms(days, first, span)
+    weights = _weights(terms.shape[1], penalty)
+    free = weights.copy()
+    free[1] = trend.FREE  # else a break at the start would stand in for the penalised slope
+    places = trend.breaks(days, y, terms, free)
+    if len(places):
+        weights = free
+    full = np.column_stack([terms, trend.hinges(days, places, span)])
+    coefficients = _ridge(full, y, np.concatenate([weights, np.full(len(places), trend.FREE)]))
+    return {"first": first, "span": span, "breaks": places, "coefficients": coefficients}
+
+
+def seasonal_values(fit: Mapping, days: np.ndarray) -> np.ndarray:
+    """What a seasonal fit says for `days`; the last slope of the trend goes on."""
+    first, span = fit["first"], fit["span"]
+    return np.column_stack([_season_terms(days, first, span), trend.hinges(days, fit["breaks"], span)]) @ fit["coefficients"]
+
+
+def seasonal_model(days: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> Callable[[np.ndarray], np.ndarray]:
+    """Additive trend with breaks + week + year fitted to (days, y); returns a function of days."""
+    fit = seasonal_fit(days, y, penalty)
+    return lambda ahead: seasonal_values(fit, ahead)
 
 
 def autoregressive_model(y: np.ndarray, lags: int = fixed.LAGS, penalty: float = 0.1):
@@ -57,7 +80,7 @@ def autoregressive_model(y: np.ndarray, lags: int = fixed.LAGS, penalty: float =
     scaled = (y - low) / width
     windows = np.lib.stride_tricks.sliding_window_view(scaled, lags + 1)
     x = np.column_stack([np.ones(len(windows)), windows[:, :-1]])
-    weights = _ridge(x, windows[:, -1], penalty)
+    weights = _ridge(x, windows[:, -1], _weights(lags + 1, penalty))
 
     def one_step(rows: np.ndarray) -> np.ndarray:
         rows = (rows - low) / width
@@ -85,7 +108,7 @@ def long_enough(dense: DataFrame, min_days: int = fixed.MIN_HISTORY_DAYS) -> Dat
 
 def seasonal_forecast(dense: DataFrame, test_days: int = fixed.HOLDOUT_DAYS) -> DataFrame:
     """Rows (stockcode, date, quantity, forecast) for the last `test_days` days of every product,
-    from a trend + week + year model of the days before. Products without train days give no row."""
+    from a trend (with breaks) + week + year model of the days before. Products without train days give no row."""
 
     def forecast(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("date")
@@ -98,6 +121,21 @@ def seasonal_forecast(dense: DataFrame, test_days: int = fixed.HOLDOUT_DAYS) ->
     return _per_product(dense, forecast)
 
 
+def trend_breaks(dense: DataFrame) -> DataFrame:
+    """Rows (stockcode, date, slope_change): the days at which a product's trend bends, and by how much a day."""
+
+    def bends(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("date")
+        fit = seasonal_fit(_day_numbers(group["date"]), group["quantity"].to_numpy(float))
+        places = fit["breaks"]
+        return pd.DataFrame({"stockcode": group["stockcode"].iloc[0],
+                             "date": places.astype("int64").astype("datetime64[D]").astype(object),
+                             "slope_change": fit["coefficients"][len(fit["coefficients"]) - len(places):] / max(fit["span"], 1.0)})
+
+    return dense.select("stockcode", "date", "quantity").groupBy("stockcode").applyInPandas(
+        bends, "stockcode string, date date, slope_change double")
+
+
 def autoregressive_forecast(dense: DataFrame, test_days: int = fixed.HOLDOUT_DAYS, lags: int = fixed.LAGS,
                             mode: str = "recursive") -> DataFrame:
     """The same rows from the `lags` previous days.
@@ -139,10 +177,10 @@ def trend_weekday_forecast(dense: DataFrame, test_days: int = fixed.HOLDOUT_DAYS
         "slope": F.coalesce(F.regr_slope(y, x).over(whole), F.lit(0.0)),
         "level": F.coalesce(F.regr_intercept(y, x).over(whole), F.avg(y).over(whole)),
         "weekday": F.dayofweek("date")})
-    trend = F.col("level") + F.col("slope") * F.col("day")
+    line = F.col("level") + F.col("slope") * F.col("day")
     by_weekday = Window.partitionBy("stockcode", "weekday")
-    deviation = F.coalesce(F.avg(F.when(train, F.col("quantity") - trend)).over(by_weekday), F.lit(0.0))
-    return fitted.withColumn("forecast", trend + deviation).where(F.col("split") == "test").select(
+    deviation = F.coalesce(F.avg(F.when(train, F.col("quantity") - line)).over(by_weekday), F.lit(0.0))
+    return fitted.withColumn("forecast", line + deviation).where(F.col("split") == "test").select(
         "stockcode", "date", "quantity", "forecast")
 
 

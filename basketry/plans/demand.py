@@ -27,6 +27,11 @@ def forecast_seasonal_ridge(spark, folder):
     return forecast.seasonal_forecast(forecast.long_enough(_series(spark, folder)))
 
 
+def trend_breaks(spark, folder):
+    """Days at which the trend of a product type bends."""
+    return forecast.trend_breaks(forecast.long_enough(_series(spark, folder)))
+
+
 def forecast_autoregressive(spark, folder):
     return forecast.autoregressive_forecast(forecast.long_enough(_series(spark, folder)))
 
@@ -83,6 +88,7 @@ def demand_horizon(spark, folder):
 QUERIES = {
     "forecast_trend_weekday": forecast_trend_weekday,
     "forecast_seasonal_ridge": forecast_seasonal_ridge,
+    "trend_breaks": trend_breaks,
     "forecast_autoregressive": forecast_autoregressive,
     "forecast_one_step": forecast_one_step,
     "mape_by_product": mape_by_product,
