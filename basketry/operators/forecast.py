@@ -70,29 +70,36 @@ def seasonal_model(days: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> Cal
     return lambda ahead: seasonal_values(fit, ahead)
 
 
-def autoregressive_model(y: np.ndarray, lags: int = fixed.LAGS, penalty: float = 0.1):
-    """Next value from the `lags` values before it, on values scaled to [0, 1].
+def autoregressive_fit(y: np.ndarray, lags: int = fixed.LAGS, penalty: float = 0.1) -> dict:
+    """Scale and coefficients of the next value from the `lags` values before it, on values scaled to [0, 1]."""
+    low, width = float(y.min()), float(y.max() - y.min()) or 1.0
+    windows = np.lib.stride_tricks.sliding_window_view((y - low) / width, lags + 1)
+    x = np.column_stack([np.ones(len(windows)), windows[:, :-1]])
+    return {"low": low, "width": width, "lag_weights": _ridge(x, windows[:, -1], _weights(lags + 1, penalty))}
+
 
-    Returns (one_step, recursive): one_step(windows) predicts one value per row of actual lags,
+def autoregressive_values(fit: Mapping, last: np.ndarray, n: int) -> np.ndarray:
+    """The `n` values after `last`, each from those before it and its own predictions."""
+    low, width, weights = fit["low"], fit["width"], np.asarray(fit["lag_weights"])
+    lags = len(weights) - 1
+    known = list((np.asarray(last)[-lags:] - low) / width)
+    for _ in range(n):
+        known.append(weights[0] + float(np.dot(weights[1:], known[-lags:])))
+    return np.array(known[lags:]) * width + low
+
+
+def autoregressive_model(y: np.ndarray, lags: int = fixed.LAGS, penalty: float = 0.1):
+    """Returns (one_step, recursive): one_step(windows) predicts one value per row of actual lags,
     recursive(last, n) predicts n values from its own predictions.
     """
-    low, width = y.min(), (y.max() - y.min()) or 1.0
-    scaled = (y - low) / width
-    windows = np.lib.stride_tricks.sliding_window_view(scaled, lags + 1)
-    x = np.column_stack([np.ones(len(windows)), windows[:, :-1]])
-    weights = _ridge(x, windows[:, -1], _weights(lags + 1, penalty))
+    fit = autoregressive_fit(y, lags, penalty)
+    low, width, weights = fit["low"], fit["width"], fit["lag_weights"]
 
     def one_step(rows: np.ndarray) -> np.ndarray:
         rows = (rows - low) / width
         return (weights[0] + rows @ weights[1:]) * width + low
 
-    def recursive(last: np.ndarray, n: int) -> np.ndarray:
-        known = list((last[-lags:] - low) / width)
-        for _ in range(n):
-            known.append(weights[0] + float(np.dot(weights[1:], known[-lags:])))
-        return np.array(known[lags:]) * width + low
-
-    return one_step, recursive
+    return one_step, lambda last, n: autoregressive_values(fit, last, n)
 
 
 def _day_numbers(dates: pd.Series) -> np.ndarray:
@@ -243,45 +250,82 @@ def run_metrics(selected: DataFrame) -> DataFrame:
 
 # --- the days ahead ----------------------------------------------------------------------
 
-def predict_demand(requests: DataFrame, dense: DataFrame, selected: DataFrame, as_of: Column) -> DataFrame:
-    """Rows (product_id, days, date, forecasted_quantity, status) for `days` days after `as_of`.
+FORECASTER_SCHEMA = """stockcode string, model_type string, as_of date, first double, span double, breaks array<double>,
+    coefficients array<double>, low double, width double, lag_weights array<double>, last array<double>, last_day double"""
+
+
+def fit_forecasters(dense: DataFrame, selected: DataFrame, as_of: Column) -> DataFrame:
+    """One row per product with a chosen model: what its model needs to predict the days after `as_of`.
+
+    Fitted on the history up to `as_of`; a product without history by then gives no row, one with too
+    little for its lags a row without coefficients. `sources.models` stores the rows.
+    """
+    chosen = selected.select("stockcode", "model_type").where(F.col("model_type").isNotNull()).withColumn("as_of", as_of)
+    history = lookup(dense.select("stockcode", "date", "quantity"), staged(chosen, "chosen"), ["stockcode"], "inner").where("date <= as_of")
+    return history.groupBy("stockcode").applyInPandas(_forecaster, FORECASTER_SCHEMA)
+
+
+def _forecaster(group: pd.DataFrame) -> pd.DataFrame:
+    group = group.sort_values("date")
+    days, y = _day_numbers(group["date"]), group["quantity"].to_numpy(float)
+    row = {name.split()[0]: None for name in FORECASTER_SCHEMA.split(",")}
+    row |= {"stockcode": group["stockcode"].iloc[0], "model_type": group["model_type"].iloc[0], "as_of": group["as_of"].iloc[0],
+            "last_day": days[-1]}
+    if row["model_type"] == SEASONAL or len(y) > fixed.LAGS:
+        if row["model_type"] in (SEASONAL, ENSEMBLE):
+            row |= seasonal_fit(days, y)
+        if row["model_type"] in (AUTOREGRESSIVE, ENSEMBLE):
+            row |= autoregressive_fit(y) | {"last": y[-fixed.LAGS:]}
+    return pd.DataFrame([row])
+
+
+def _predicted(batches):
+    for batch in batches:
+        parts = []
+        for row in batch.to_dict("records"):
+            wanted = _day_numbers(pd.Series([row["as_of"]]))[0] + np.arange(1, row["days"] + 1)
+            values = []
+            if row["coefficients"] is not None:
+                values.append(seasonal_values(row, wanted))
+            if row["lag_weights"] is not None:
+                values.append(autoregressive_values(row, row["last"], int(wanted[-1] - row["last_day"]))[-len(wanted):])
+            if values:
+                parts.append(pd.DataFrame({
+                    "stockcode": row["stockcode"], "step": np.arange(1, len(wanted) + 1),
+                    "date": wanted.astype("int64").astype("datetime64[D]").astype(object), "forecasted_quantity": np.mean(values, axis=0)}))
+        if parts:
+            yield pd.concat(parts)
+
+
+def predict_stored(requests: DataFrame, forecasters: DataFrame) -> DataFrame:
+    """Rows (product_id, days, date, forecasted_quantity, status) for `days` days after the forecasters' last day.
 
     `requests` has product_id and days (30 where null); each (product_id, days) is answered by itself,
-    requests for no day by no row. The chosen model is fitted again on the history up to `as_of`.
-    Quantities are not negative and have 2 digits. A product without a chosen model gives one row with
-    status no_model, one with too little history by then a row with status no_history.
+    requests for no day by no row. No history is read. Quantities are not negative and have 2 digits. A product
+    without a stored model gives one row with status no_model, one with too little history a row with status no_history.
     """
+    return _answered(_asked(requests), forecasters, forecasters.select(F.col("stockcode").alias("product_id"), "model_type"))
+
+
+def _asked(requests: DataFrame) -> DataFrame:
     asked = requests.select("product_id", F.coalesce("days", F.lit(fixed.HORIZON_DAYS)).cast("int").alias("days"))
-    chosen = selected.select(F.col("stockcode").alias("product_id"), "model_type")
-    plan = staged(asked.where("days > 0").distinct().join(chosen, "product_id", "left").withColumn("as_of", as_of), "plan")
-    longest = plan.where(F.col("model_type").isNotNull()).groupBy(F.col("product_id").alias("stockcode")).agg(
-        F.max("days").alias("days"), F.first("model_type").alias("model_type"), F.first("as_of").alias("as_of"))
-    history = lookup(dense.select("stockcode", "date", "quantity"), longest, ["stockcode"], "inner").where("date <= as_of")
-    ahead = history.groupBy("stockcode").applyInPandas(
-        _ahead, "product_id string, step int, date date, forecasted_quantity double")
-    answered = plan.join(ahead.withColumnRenamed("product_id", "_product"),
-                         (F.col("product_id") == F.col("_product")) & (F.col("step") <= F.col("days")), "left")
+    return staged(asked.where("days > 0").distinct(), "asked")
+
+
+def _answered(asked: DataFrame, forecasters: DataFrame, chosen: DataFrame) -> DataFrame:
+    longest = asked.groupBy(F.col("product_id").alias("stockcode")).agg(F.max("days").alias("days"))
+    ahead = forecasters.join(longest, "stockcode").mapInPandas(
+        _predicted, "stockcode string, step int, date date, forecasted_quantity double")
+    plan = asked.join(chosen, "product_id", "left")
+    answered = plan.join(ahead, (F.col("product_id") == F.col("stockcode")) & (F.col("step") <= F.col("days")), "left")
     status = F.when(F.col("model_type").isNull(), "no_model").when(F.col("date").isNull(), "no_history").otherwise("ok")
     return answered.select("product_id", "days", day_text("date").alias("date"),
                            half_even(F.when(F.col("date").isNotNull(), at_least_zero(F.col("forecasted_quantity"))), 2)
                            .alias("forecasted_quantity"), status.alias("status"))
 
 
-def _ahead(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values("date")
-    code, model = group["stockcode"].iloc[0], group["model_type"].iloc[0]
-    days, y = _day_numbers(group["date"]), group["quantity"].to_numpy(float)
-    today = _day_numbers(group["as_of"].iloc[:1])[0]
-    steps = np.arange(1, int(group["days"].iloc[0]) + 1)
-    if len(y) <= (fixed.LAGS if model != SEASONAL else 0):
-        steps = steps[:0]
-    wanted = today + steps
-    parts = []
-    if model in (SEASONAL, ENSEMBLE):
-        parts.append(seasonal_model(days, y)(wanted))
-    if model in (AUTOREGRESSIVE, ENSEMBLE) and len(steps):
-        _, recursive = autoregressive_model(y)
-        parts.append(recursive(y, int(wanted[-1] - days[-1]))[-len(wanted):])
-    return pd.DataFrame({
-        "product_id": code, "step": steps, "date": wanted.astype("int64").astype("datetime64[D]").astype(object),
-        "forecasted_quantity": np.mean(parts, axis=0) if len(steps) else []})
+def predict_demand(requests: DataFrame, dense: DataFrame, selected: DataFrame, as_of: Column) -> DataFrame:
+    """The same rows for days after `as_of`, from models fitted on the history up to it, for the products asked for only."""
+    asked = _asked(requests)
+    wanted = selected.join(asked.select(F.col("product_id").alias("stockcode")), "stockcode", "left_semi")
+    return _answered(asked, fit_forecasters(dense, wanted, as_of), selected.select(F.col("stockcode").alias("product_id"), "model_type"))

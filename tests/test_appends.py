@@ -2,11 +2,13 @@
 
 import datetime
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from basketry import schemas
-from basketry.operators import segments
-from basketry.sources import retail
+from basketry.operators import forecast, segments
+from basketry.sources import models, retail
 
 RUNS = "run_name string, kind string, key string, value string"
 
@@ -53,3 +55,29 @@ def test_choice_of_k_by_either_distance(spark):
         assert {r.measure for r in scores} == {measure} and made.k == 2 and [r.k for r in scores if r.selected] == [2]
     with pytest.raises(ValueError):
         segments.segment(customers, measure="cosine")
+
+
+def test_stored_forecasters_equal_the_refit(spark, tmp_path):
+    path, start = str(tmp_path / "forecasters"), datetime.date(2023, 1, 1)
+    rng = np.random.default_rng(7)
+    rows = [(name, start + datetime.timedelta(days=i), float(v)) for name, n in (("a", 300), ("b", 250), ("c", 200), ("d", 20))
+            for i, v in enumerate(rng.poisson(20 + 0.1 * np.maximum(np.arange(n) - 150, 0)))]
+    dense = spark.createDataFrame(rows, "stockcode string, date date, quantity double")
+    selected = spark.createDataFrame([("a", "seasonal"), ("b", "autoregressive"), ("c", "ensemble"), ("d", "ensemble")],
+                                     "stockcode string, model_type string")
+    requests = spark.createDataFrame([("a", 5), ("b", None), ("c", 7), ("c", 2), ("d", 3), ("nobody", 4)], "product_id string, days int")
+    early, late = (F.lit(start + datetime.timedelta(days=d)) for d in (180, 299))
+    for as_of, run in ((early, "2023-07-01"), (late, "2023-10-28"), (late, "2023-10-28")):
+        models.append_forecasters(forecast.fit_forecasters(dense, selected, as_of), path, run)
+
+    def answers(df):
+        return sorted(map(str, df.collect()))
+
+    refit = forecast.predict_demand(requests, dense, selected, late)
+    assert models.read_forecasters(spark, path).count() == 4
+    stored = forecast.predict_stored(requests, models.read_forecasters(spark, path))
+    assert answers(stored) == answers(refit) and stored.where("status = 'ok'").count() == 5 + 30 + 7 + 2
+    assert {r.product_id: r.status for r in stored.where("status <> 'ok'").collect()} == {"d": "no_history", "nobody": "no_model"}
+    old = forecast.predict_stored(requests, models.read_forecasters(spark, path, "2023-07-01"))
+    assert answers(old) == answers(forecast.predict_demand(requests, dense, selected, early))
+    assert spark.read.parquet(path).count() == 8  # the repeated run added no row
