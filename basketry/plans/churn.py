@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions.columns import recommended_action, risk_level
-from basketry.operators import attribution, churn, metrics
+from basketry.operators import attribution, boosting, churn, metrics
 from basketry.operators.sampling import stratified_split, with_folds
 from basketry.plans.fitted import once
 from basketry.plans.lines import churn_label, churn_table, rounded
@@ -102,10 +102,23 @@ def churn_quality(spark, folder):
     return quality.withColumn("auc", auc.scalar())
 
 
+def churn_second_learner(spark, folder):
+    """The challenger's parameters by trees grown best first, with 31 leaves at most."""
+    variant = churn.VARIANTS["challenger"]
+
+    def fitted():
+        train = churn.weighted(_train(spark, folder)).withColumn("fold", F.lit(0))
+        wanted = boosting.Boosting(variant.trees, variant.depth, variant.rate, leaves=31)
+        return boosting.fit_all(train, variant.features, [wanted])[0][0]
+
+    model = once(spark, folder, "churn-second", fitted)
+    return boosting.predict(model, _test(spark, folder)).select("customer_id", "Churn", "prediction", "score")
+
+
 def churn_grid(spark, folder):
-    """The search over the number of trees, at the final model's depth and rate."""
-    grid = {**churn.GRID, "depth": (FINAL.depth,), "rate": (FINAL.rate,)}
-    return once(spark, folder, "churn-grid", lambda: churn.grid_search(_train(spark, folder), grid=grid)).table
+    """The search over all 27 combinations on 5 folds."""
+    return once(spark, folder, "churn-grid", lambda: boosting.search(
+        churn.weighted(_train(spark, folder)), churn.ALL_FEATURES, churn.GRID)).table
 
 
 def feature_importance(spark, folder):
@@ -143,6 +156,7 @@ QUERIES = {
     "risk_bands": risk_bands,
     "churn_predictions": churn_predictions,
     "churn_challenger": churn_challenger,
+    "churn_second_learner": churn_second_learner,
     "churn_behaviour": churn_behaviour,
     "churn_all_features": churn_all_features,
     "churn_quality": churn_quality,
