@@ -6,7 +6,7 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
-from pyspark.ml.clustering import GaussianMixture, GaussianMixtureModel, KMeans, KMeansModel
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from basketry import fixed_values as fixed
 from basketry.functions.columns import half_even, persona, segment_description, segment_name
 from basketry.functions.lookups import lookup
+from basketry.operators import mixture
 from basketry.operators.cluster_metrics import davies_bouldin, silhouette_exact, silhouette_squared
 from basketry.operators.features import RFM
 from basketry.operators.kmeans import fit_all, model_of
@@ -123,14 +124,15 @@ def customer_personas(segments: DataFrame, label: str = "Cluster_KMeans") -> Dat
 
 
 def fit_mixture(customers: DataFrame, k: int, features: Sequence[str] = RFM, log: bool = True,
-                seed: int = fixed.SPLIT_SEED, iterations: int = 100, tolerance: float = 1e-3) -> PipelineModel:
-    """Scaling and a Gaussian mixture of `k` components."""
+                seed: int = fixed.SPLIT_SEED, iterations: int = 100, tolerance: float = 1e-3,
+                key: str = "customer_id", restarts: int = fixed.RESTARTS) -> PipelineModel:
+    """Scaling and a Gaussian mixture of `k` components, of fewer where rows are; it starts from the best of `restarts` K-Means fits."""
     scaling = scaler(customers, features, log)
-    scaled = scaling.transform(customers).select("scaled").persist()
+    names = scaled_names(features)
+    scaled = scaling.transform(customers).select(key, *names).persist()
     try:
-        model: GaussianMixtureModel = GaussianMixture(
-            k=k, seed=seed, maxIter=iterations, tol=tolerance, featuresCol="scaled", predictionCol="mixture",
-            probabilityCol="shares").fit(scaled)
+        centres, _ = fit_all(scaled, names, key, [k], restarts, seed)[k]
+        model = mixture.model_of(mixture.fit(scaled, names, centres, iterations, tolerance, key))
     finally:
         scaled.unpersist()
     return PipelineModel([*scaling.stages, model])
