@@ -7,11 +7,15 @@ into one array, which every row reads as a scalar subquery; no join and no pairs
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basketry.session import staged
+
 BLOCK_ROWS = 2_000  # rows per block of the exact silhouette
+RIGHT_BLOCKS = 1_000  # blocks that one task of the exact silhouette meets
+TILE_ROWS = 64  # rows whose distances to a block are held at once
 
 
 def _sums(points: DataFrame, features: Sequence[str], label: str) -> DataFrame:
@@ -63,48 +67,133 @@ def silhouette_squared(points: DataFrame, features: Sequence[str], label: str) -
 
 def silhouette_exact(points: DataFrame, features: Sequence[str], label: str, key: str,
                      block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """One row: mean silhouette with Euclidean distances between all rows.
+    """One row: mean silhouette with Euclidean distances between all rows; see `silhouettes_exact`."""
+    return silhouettes_exact(points, features, [label], key, block_rows).drop("label")
+
+
+def silhouettes_exact(points: DataFrame, features: Sequence[str], labels: Sequence[str], key: str,
+                      block_rows: int = BLOCK_ROWS, right_blocks: int = RIGHT_BLOCKS) -> DataFrame:
+    """One row per column of `labels`: mean silhouette with Euclidean distances between all rows.
 
     This needs every distance, so its work grows with the square of the rows, whatever their number;
-    `silhouette_squared` is the measure in one pass. Rows are hashed into blocks; each pair of blocks is one group, which returns only the summed distance of a row to
-    every cluster. Neither a row per pair nor the whole table in one task exists at any time.
+    `silhouette_squared` is the measure in one pass. A distance is computed once for all labelings. Rows are written as blocks of
+    numbers; a task meets a few blocks with `right_blocks` others in a nested loop and returns only the summed distances of
+    its rows to every cluster, so no row is written once per block. Neither a row per pair nor the whole table in one task exists at any time.
     """
-    features = list(features)
-    blocks = max(1, -(-points.count() // block_rows))
-    every = F.array(*[F.lit(i) for i in range(blocks)])
-    slim = points.select(F.col(key).alias("key"), F.col(label).cast("long").alias("cluster"),
-                         *[F.col(c).cast("double").alias(c) for c in features],
-                         F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
-    measured = slim.withColumns({"i": F.col("block"), "j": F.explode(every), "measured": F.lit(True)})
-    against = slim.withColumns({"i": F.explode(every), "j": F.col("block"), "measured": F.lit(False)})
-    key_type = slim.schema["key"].dataType.simpleString()
-
-    def total_distances(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group[group["measured"]]
-        others = group[~group["measured"]].sort_values("cluster", kind="stable")
-        x, y = rows[features].to_numpy(), others[features].to_numpy()
-        clusters, first = np.unique(others["cluster"].to_numpy(), return_index=True)
-        if not len(x) or not len(y):
-            return pd.DataFrame({"key": [], "cluster": [], "other": [], "total": []})
-        gaps = sum((x[:, [d]] - y[:, d]) ** 2 for d in range(x.shape[1]))
-        totals = np.add.reduceat(np.sqrt(gaps), first, axis=1)
-        return pd.DataFrame({
-            "key": np.repeat(rows["key"].to_numpy(), len(clusters)),
-            "cluster": np.repeat(rows["cluster"].to_numpy(), len(clusters)),
-            "other": np.tile(clusters, len(rows)), "total": totals.ravel()})
-
-    totals = (measured.unionByName(against).groupBy("i", "j")
-              .applyInPandas(total_distances, f"key {key_type}, cluster long, other long, total double")
-              .groupBy("key", "cluster", "other").agg(F.sum("total").alias("total")))
-    sizes = slim.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).agg(
-        F.map_from_entries(F.collect_list(F.struct("cluster", "n")))).scalar()
-    own = F.col("cluster") == F.col("other")
-    per_row = totals.withColumn("n", sizes[F.col("other")]).groupBy("key").agg(
-        F.max(F.when(own, F.col("total"))).alias("own_total"), F.max(F.when(own, F.col("n"))).alias("own_n"),
-        F.min(F.when(~own, F.col("total") / F.col("n"))).alias("nearest"))
-    width = _width(F.col("own_total") / F.greatest(F.col("own_n") - 1, F.lit(1)), F.col("nearest"), F.col("own_n") == 1)
-    return per_row.agg(F.when(F.count("nearest") > 0, F.avg(width)).alias("silhouette"),
-                       F.lit("euclidean").alias("measure"), F.count(F.lit(1)).alias("n"))
+    features, labels, n_features = list(features), list(labels), len(features)
+    coded = points.select(F.col(key).alias("key"), *[F.col(c).cast("double").alias(f"x{d}") for d, c in enumerate(features)],
+                          *[F.col(c).cast("long").alias(f"c{i}") for i, c in enumerate(labels)])
+    found = coded.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"c{i}").alias("c")) for i in range(len(labels))]))
+                         .alias("at")).groupBy("at.i", "at.c").agg(F.count(F.lit(1)).alias("n")).collect()
+    if any(r.c is None for r in found):
+        raise ValueError("rows without a label have no silhouette")
+    clusters = [sorted((r.c, r.n) for r in found if r.i == i) for i in range(len(labels))]
+    rows = sum(n for _, n in clusters[0])
+    if not rows:
+        return _one_each([(name, F.lit(None).cast("double"), F.lit(0).cast("long")) for name in labels], points.agg(F.lit(1)))
+    first = np.cumsum([0, *map(len, clusters)]).tolist()
+    known = [np.array([c for c, _ in held]) for held in clusters]
+
+    def packed(batches):
+        """Blocks: coordinates feature by feature, and per labeling the place of the row's cluster among all clusters."""
+        held, n = [], 0
+
+        def block(take):
+            x, at = (np.concatenate([h[k] for h in held], 1) for k in (0, 1))
+            held[:] = [(x[:, take:], at[:, take:])]
+            return x[:, :take].tobytes(), at[:, :take].tobytes()
+
+        for batch in batches:
+            x = np.stack([batch.column(d).to_numpy(zero_copy_only=False).astype(np.float64) for d in range(n_features)])
+            at = np.stack([first[i] + np.searchsorted(c, batch.column(n_features + i).to_numpy()) for i, c in enumerate(known)])
+            held.append((x, at.astype(np.int32)))
+            n += batch.num_rows
+            done = []
+            while n >= block_rows:
+                done.append(block(block_rows))
+                n -= block_rows
+            if done:
+                yield _blocks(done)
+        if n:
+            yield _blocks([block(n)])
+
+    dealt = coded.drop("key").repartition(max(1, -(-rows // (16 * block_rows))))
+    blocks = staged(dealt.mapInArrow(packed, "x binary, at binary").withColumn("block", F.monotonically_increasing_id()), "blocks")
+    count = blocks.count()
+    tasks = min(count, max(8 * points.sparkSession.sparkContext.defaultParallelism, count // 16))
+    right_tasks = -(-count // right_blocks)
+    right = blocks.select(F.col("x").alias("y"), F.col("at").alias("to")).repartition(right_tasks)
+    pairs = blocks.repartition(tasks).crossJoin(right.hint("shuffle_replicate_nl"))
+    width = first[-1]
+    codes, sums = [f"c{i}" for i in range(len(labels))], [f"t{c}" for c in range(width)]
+
+    def total_distances(batches):
+        block, x, at, totals = None, None, None, None
+
+        def result():
+            n = x.shape[1]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), *map(pa.array, at), *(pa.array(t) for t in totals.T.copy())],
+                names=["block", "row", *codes, *sums])
+
+        for batch in batches:
+            for x_bytes, at_bytes, new, y_bytes, to_bytes in zip(*(batch.column(c) for c in ("x", "at", "block", "y", "to"))):
+                if new.as_py() != block:
+                    if block is not None:
+                        yield result()
+                    block = new.as_py()
+                    x = np.frombuffer(x_bytes.as_buffer(), np.float64).reshape(n_features, -1)
+                    at = np.frombuffer(at_bytes.as_buffer(), np.int32).reshape(len(labels), -1).copy()
+                    x, totals = x.copy(), np.zeros((x.shape[1], width))
+                y = np.frombuffer(y_bytes.as_buffer(), np.float64).reshape(n_features, -1)
+                to = np.frombuffer(to_bytes.as_buffer(), np.int32).reshape(len(labels), -1)
+                _add_distances(totals, x, y, to)
+        if block is not None:
+            yield result()
+
+    measured = pairs.mapInArrow(total_distances, "block long, row int, " + ", ".join([*(f"{c} int" for c in codes), *(f"{t} double" for t in sums)]))
+    if right_tasks > 1:  # otherwise a block met all others in one task
+        measured = measured.groupBy("block", "row", *codes).agg(*[F.sum(t).alias(t) for t in sums])
+    scores = []
+    for i, (name, held) in enumerate(zip(labels, clusters)):
+        code = F.col(f"c{i}")
+        own_n = F.element_at(F.array(*[F.lit(n) for _, n in held]), code - first[i] + 1)
+        own_total = F.element_at(F.array(*[F.col(f"t{first[i] + j}") for j in range(len(held))]), code - first[i] + 1)
+        nearest = F.array_min(F.array(*[F.when(code != first[i] + j, F.col(f"t{first[i] + j}") / n) for j, (_, n) in enumerate(held)]))
+        silhouette = _width(own_total / F.greatest(own_n - 1, F.lit(1)), nearest, own_n == 1)
+        scores.append((name, F.when(F.count(nearest) > 0, F.avg(silhouette)), F.count(F.lit(1))))
+    return _one_each(scores, measured)
+
+
+def _blocks(rows: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows)], names=["x", "at"])
+
+
+def _add_distances(totals: np.ndarray, x: np.ndarray, y: np.ndarray, to: np.ndarray) -> None:
+    """Adds to `totals` (rows of `x` by clusters) the distances to all rows of `y`, which belong to the clusters `to`."""
+    n = y.shape[1]
+    member = np.zeros((n, totals.shape[1]))
+    for place in to:
+        member[np.arange(n), place] = 1.0
+    gaps, gap = np.empty((TILE_ROWS, n)), np.empty((TILE_ROWS, n))
+    for start in range(0, x.shape[1], TILE_ROWS):
+        part = x[:, start:start + TILE_ROWS]
+        apart, one = gaps[:part.shape[1]], gap[:part.shape[1]]
+        apart.fill(0.0)
+        for mine, other in zip(part, y):
+            np.subtract(mine[:, None], other, out=one)
+            np.multiply(one, one, out=one)
+            np.add(apart, one, out=apart)
+        np.sqrt(apart, out=apart)
+        totals[start:start + TILE_ROWS] += apart @ member
+
+
+def _one_each(scores: list[tuple[str, Column, Column]], rows: DataFrame) -> DataFrame:
+    """One row (label, silhouette, measure, n) per score, all of them aggregated from `rows` in one pass."""
+    one = rows.agg(*[c.alias(f"{kind}{i}") for i, (_, *pair) in enumerate(scores) for kind, c in zip(("s", "n"), pair)])
+    return one.select(F.explode(F.array(*[
+        F.struct(F.lit(name).alias("label"), F.col(f"s{i}").alias("silhouette"), F.lit("euclidean").alias("measure"), F.col(f"n{i}").alias("n"))
+        for i, (name, *_) in enumerate(scores)])).alias("row")).select("row.*")
 
 
 def davies_bouldin(points: DataFrame, features: Sequence[str], label: str) -> DataFrame:
