@@ -9,14 +9,14 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from basketry import fixed_values as fixed
 from basketry.functions.columns import half_even, persona, segment_description, segment_name
 from basketry.functions.lookups import lookup
 from basketry.operators import mixture
-from basketry.operators.cluster_metrics import davies_bouldin, silhouette_exact, silhouette_squared
+from basketry.operators.cluster_metrics import davies_bouldin, silhouette_squared, silhouettes_exact
 from basketry.operators.features import RFM
 from basketry.operators.kmeans import fit_all, model_of
 
@@ -81,11 +81,12 @@ def segment(customers: DataFrame, features: Sequence[str] = RFM, log: bool = Tru
     rows, best, best_k, best_score = [], None, None, None
     try:
         fitted = fit_all(scaled, scaled_names(features), key, ks, restarts, seed)
+        models = {k: model_of(fitted[k][0]) for k in ks}
+        euclidean = _euclidean(scaled, models, features, key) if measure == "euclidean" else {}
         for k in ks:
-            model = model_of(fitted[k][0])
+            model = models[k]
             labelled = model.transform(scaled)
-            quality = (silhouette_exact(labelled, scaled_names(features), "cluster", key) if measure == "euclidean"
-                       else silhouette_squared(labelled, scaled_names(features), "cluster")).first()
+            quality = euclidean.get(k) or silhouette_squared(labelled, scaled_names(features), "cluster").first()
             index = davies_bouldin(labelled, scaled_names(features), "cluster").first()
             rows.append((k, quality.silhouette, quality.measure, index.davies_bouldin))
             score = float("-inf") if quality.silhouette is None else quality.silhouette
@@ -100,6 +101,15 @@ def segment(customers: DataFrame, features: Sequence[str] = RFM, log: bool = Tru
     return Segmentation(PipelineModel([*scaling.stages, best]), k, scores)
 
 
+def _euclidean(scaled: DataFrame, models: dict[int, KMeansModel], features: Sequence[str], key: str) -> dict[int, Row]:
+    """The Euclidean silhouette of every model, from one pass over all distances."""
+    labelled = scaled
+    for k, model in models.items():
+        labelled = model.transform(labelled).withColumnRenamed("cluster", f"_cluster_{k}")
+    found = silhouettes_exact(labelled, scaled_names(features), [f"_cluster_{k}" for k in models], key).collect()
+    return {int(r.label.removeprefix("_cluster_")): r for r in found}
+
+
 def assign(segmentation: Segmentation, customers: DataFrame) -> DataFrame:
     """Customers with Cluster_KMeans, carried by row and not by position."""
     labelled = segmentation.pipeline.transform(customers)

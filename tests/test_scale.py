@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from basketry.operators import cluster_metrics
+from basketry.operators import cluster_metrics, segments
 
 
 def _labelled(spark, n=130):
@@ -48,3 +48,11 @@ def test_silhouette_of_one_cluster_copies_and_no_rows(spark):
     alone = cluster_metrics.silhouette_exact(df.withColumn("c", F.lit(1)), ["a"], "c", "id").first()
     none = cluster_metrics.silhouette_exact(df.limit(0), ["a"], "c", "id").first()
     assert (alone.silhouette, alone.n, none.silhouette, none.n) == (None, 10, None, 0)
+
+
+def test_choice_of_k_takes_all_distances_once(spark, monkeypatch):
+    df, *_ = _labelled(spark)
+    calls, real = [], cluster_metrics.silhouettes_exact
+    monkeypatch.setattr(segments, "silhouettes_exact", lambda *a, **o: calls.append(a) or real(*a, **o), raising=False)
+    found = segments.segment(df, ("a", "b"), log=False, ks=(2, 3, 4), restarts=2, key="id", measure="euclidean").scores.collect()
+    assert len(calls) == 1 and [r.measure for r in found] == ["euclidean"] * 3 and sum(r.selected for r in found) == 1
