@@ -3,7 +3,8 @@
 Features are binned once. Each level of all trees is one job: tasks add the first and second derivatives of the logistic
 loss per (boosting, node, feature, bin), histograms of equal nodes meet in one shuffle, and one row per node, its best
 split, comes to the driver. Derivatives are whole multiples of 1 / SCALE, so sums do not depend on their order and a
-boosting grows the same trees alone or beside others, also after a lost task. Margins are written every few trees.
+boosting grows the same trees alone or beside others, also after a lost task. Rows are kept as chunks of arrays; a tree's
+margins are added once, by the first job after it, and written every few trees.
 """
 
 from collections.abc import Mapping, Sequence
@@ -13,21 +14,23 @@ from heapq import heappop, heappush
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry import fixed_values as fixed
 from basketry.functions.ordering import histogram, running_total, value_buckets
 from basketry.operators.sampling import with_folds
-from basketry.session import discard, fresh_path
+from basketry.session import discard, fresh_path, shared_folder, staged
 
 BINS = 32
 SCALE = float(1 << 24)
 #: Ridge penalty of leaf values, and least second derivative on either side of a split.
 PENALTY, LEAST = 1.0, 1.0
-#: Trees between two writes of the margins; tasks add what came since.
-WRITTEN = 5
-BATCH_ROWS = 2_048
+#: Trees between two writes of the margins, which cut the lineage; those between are kept in executors and can be computed again.
+WRITTEN = 10
+#: Rows times boostings of a chunk.
+BATCH_VALUES = 1 << 18
 #: Rows times boostings of a task: fewer only until every core has one.
 FEW, MANY = 100_000, 1 << 24
 NODE_SCHEMA = "tree int, node int, feature string, threshold double, value double"
@@ -123,19 +126,38 @@ def edges(rows: DataFrame, features: Sequence[str], bins: int = BINS) -> list[np
     return [np.unique([-np.inf, *(q or [])]) for q in found]
 
 
-def _binned(rows: DataFrame, features: Sequence[str], cuts: list[np.ndarray], boostings: int) -> DataFrame:
-    """Columns bins, margins (binary), label, weight, fold; rows without a label, weight or fold are left out."""
+def _binned(rows: DataFrame, features: Sequence[str], cuts: list[np.ndarray]) -> DataFrame:
+    """Columns bins, label, weight, fold; rows without a label, weight or fold are left out."""
 
     def binned(batches):
         for batch in batches:
             x = np.stack([np.searchsorted(c, batch.column(d).to_numpy(zero_copy_only=False)) for d, c in enumerate(cuts)], 1)
-            zero = bytes(8 * boostings)
-            packed = [pa.array([r.tobytes() for r in x.astype(np.uint8)], pa.binary()), pa.array([zero] * batch.num_rows, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*packed, *batch.columns[len(cuts):]], names=["bins", "margins", "label", "weight", "fold"])
+            packed = pa.array([r.tobytes() for r in x.astype(np.uint8)], pa.binary())
+            yield pa.RecordBatch.from_arrays([packed, *batch.columns[len(cuts):]], names=["bins", "label", "weight", "fold"])
 
     ready = rows.select(*[_number(c).alias(f"x{d}") for d, c in enumerate(features)], F.col("label").cast("double"),
                         F.col("weight").cast("double"), F.col("fold").cast("int")).na.drop(subset=["label", "weight", "fold"])
-    return ready.mapInArrow(binned, "bins binary, margins binary, label double, weight double, fold int")
+    return ready.mapInArrow(binned, "bins binary, label double, weight double, fold int")
+
+
+def _chunks(table: DataFrame, boostings: int) -> RDD:
+    """The rows as chunks of arrays (bins, margins of zero, label, weight, fold), in the partitions of `table`."""
+    most = min(max(BATCH_VALUES // boostings, 1_024), 1 << 16)
+
+    def packed(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, most):
+                part = batch.slice(start, most)
+                bins, *rest = (part.column(c) for c in ("bins", "label", "weight", "fold"))
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.binary()) for b in (
+                    b"".join(bins.to_pylist()), *(c.to_numpy().tobytes() for c in rest))], names=["bins", "label", "weight", "fold"])
+
+    def unpacked(row):
+        label = np.frombuffer(row.label, np.float64)
+        return (np.frombuffer(row.bins, np.uint8).reshape(len(label), -1), np.zeros((len(label), boostings)), label,
+                np.frombuffer(row.weight, np.float64), np.frombuffer(row.fold, np.int32))
+
+    return table.mapInArrow(packed, "bins binary, label binary, weight binary, fold binary").rdd.map(unpacked)
 
 
 def _descend(x: np.ndarray, feature: np.ndarray, cut: np.ndarray, levels: int) -> np.ndarray:
@@ -150,58 +172,52 @@ def _descend(x: np.ndarray, feature: np.ndarray, cut: np.ndarray, levels: int) -
     return at
 
 
-def _slices(batches, trees, n_features: int, boostings: int):
-    """Per slice (bins, margins with `trees` added, label, weight, fold)."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, BATCH_ROWS):
-            part = batch.slice(start, BATCH_ROWS)
-            columns = {name: part.column(name) for name in ("bins", "margins", "label", "weight", "fold")}
-            x, margins = (np.frombuffer(b"".join(columns[c].to_pylist()), t).reshape(part.num_rows, -1)
-                          for c, t in (("bins", np.uint8), ("margins", np.float64)))
-            margins, each = margins.copy(), np.arange(boostings)
-            for feature, cut, value, levels in trees:
-                margins += value[each, _descend(x, feature, cut, levels)]
-            yield x, margins, *(columns[c].to_numpy() for c in ("label", "weight", "fold"))
+def _with_margins(chunks: RDD, tree: tuple, levels: int) -> RDD:
+    feature, cut, value = tree
 
+    def added(chunk):
+        x, margins, *rest = chunk
+        return (x, margins + value[np.arange(len(value)), _descend(x, feature, cut, levels)], *rest)
 
-def _with_margins(table: DataFrame, trees: list, n_features: int, boostings: int) -> DataFrame:
-    def added(batches):
-        for x, margins, *rest in _slices(batches, trees, n_features, boostings):
-            packed = [pa.array([r.tobytes() for r in values], pa.binary()) for values in (x, margins)]
-            yield pa.RecordBatch.from_arrays([*packed, *(pa.array(c) for c in rest)], names=["bins", "margins", "label", "weight", "fold"])
+    return chunks.map(added)
 
-    return table.mapInArrow(added, table.schema)
 
-
-def _splits(table: DataFrame, trees: list, grown: tuple, level: int, open_: np.ndarray, folds: np.ndarray, n_features: int, bins: int, alone: bool):
-    """Best split per (boosting, node) of a level: rows fit, node, feature (-1: none), cut, gain and derivatives on both sides."""
+def _splits(chunks: RDD, grown: tuple, level: int, open_: np.ndarray, folds: np.ndarray, n_features: int, bins: int, alone: bool) -> list[tuple]:
+    """Best split per (boosting, node) of a level: (fit, node, feature (-1: none), cut, gain, derivatives on both sides and of all)."""
     boostings, base, nodes = len(folds), 2**level - 1, 2**level
     feature, cut = grown
+    reducers = 1 if alone else max(1, min(chunks.getNumPartitions(), boostings * nodes // 32))
 
-    def add(batches):
+    def add(held):
         total = np.zeros((n_features, 2, boostings * nodes * bins), np.int64)
-        for x, margins, label, weight, fold in _slices(batches, trees, n_features, boostings):
+        for x, margins, label, weight, fold in held:
             at = _descend(x, feature, cut, level) - base
             row, fit = np.nonzero((at >= 0) & open_[np.arange(boostings), np.maximum(at, 0)] & (fold[:, None] != folds))
             chance = 1 / (1 + np.exp(-margins[row, fit]))
             slopes = [np.rint(SCALE * weight[row] * (chance - label[row])), np.rint(SCALE * weight[row] * chance * (1 - chance))]
             place = (fit * nodes + at[row, fit]) * bins
             for d in range(n_features):
+                here = place + x[row, d]
                 for k, slope in enumerate(slopes):
-                    total[d, k] += np.bincount(place + x[row, d], slope, total.shape[2]).astype(np.int64)
+                    total[d, k] += np.bincount(here, slope, total.shape[2]).astype(np.int64)
         total = total.reshape(n_features, 2, boostings, nodes, bins)
         fits, at = np.nonzero(total[0, 1].any(axis=-1))
-        sums = pa.array([total[:, :, f, n].tobytes() for f, n in zip(fits, at)], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(fits.astype(np.int32)), pa.array(at.astype(np.int32)), sums], names=["fit", "node", "sums"])
+        for r in range(reducers):
+            mine = (fits * nodes + at) % reducers == r
+            if mine.any():
+                yield r, (fits[mine], at[mine], total[:, :, fits[mine], at[mine]].transpose(2, 0, 1, 3).copy())
 
-    def choose(batches):
+    def choose(parts):
         held = {}
-        for batch in batches:
-            for fit, node, sums in zip(*(c.to_pylist() for c in batch.columns)):
-                held[fit, node] = held.get((fit, node), 0) + np.frombuffer(sums, np.int64)
+        for _, (fits, at, sums) in parts:
+            for fit, node, one in zip(fits.tolist(), at.tolist(), sums):
+                if (fit, node) in held:
+                    held[fit, node] += one
+                else:
+                    held[fit, node] = one.copy()
         if not held:
             return
-        sums = np.stack(list(held.values())).reshape(-1, n_features, 2, bins) / SCALE
+        sums = np.stack(list(held.values())) / SCALE
         whole = sums[:, :1].sum(-1)
         left = sums.cumsum(-1)[..., :-1]
         right = whole[..., None] - left
@@ -210,17 +226,13 @@ def _splits(table: DataFrame, trees: list, grown: tuple, level: int, open_: np.n
         best = gain.reshape(len(gain), -1).argmax(1)
         each, d, c = np.arange(len(gain)), best // (bins - 1), best % (bins - 1)
         gained = gain[each, d, c]
-        sides = [side[each, d, k, c] for side in (left, right) for k in (0, 1)]
+        sides = [side[each, d, k, c].tolist() for side in (left, right) for k in (0, 1)]
         fits, at = zip(*held)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(fits, pa.int32()), pa.array(at, pa.int32()), pa.array(np.where(gained > 1e-9, d, -1).astype(np.int32)), pa.array(c.astype(np.int32)),
-             pa.array(gained), *map(pa.array, sides), pa.array(whole[:, 0, 0]), pa.array(whole[:, 0, 1])],
-            names=["fit", "node", "feature", "cut", "gain", "gl", "hl", "gr", "hr", "g", "h"])
+        yield from zip(fits, at, np.where(gained > 1e-9, d, -1).tolist(), c.tolist(), gained.tolist(), *sides,
+                       whole[:, 0, 0].tolist(), whole[:, 0, 1].tolist())
 
-    sums = table.mapInArrow(add, "fit int, node int, sums binary")
-    return ((sums if alone else sums.repartition("fit", "node"))  # one task holds whole sums already
-            .mapInArrow(choose, "fit int, node int, feature int, cut int, " + ", ".join(f"{c} double" for c in ("gain", "gl", "hl", "gr", "hr", "g", "h")))
-            .collect())
+    sums = chunks.mapPartitions(add)
+    return (sums if alone else sums.partitionBy(reducers, int)).mapPartitions(choose).collect()  # one task holds whole sums already
 
 
 def _best_first(feature: np.ndarray, gain: np.ndarray, leaves: int) -> None:
@@ -253,17 +265,17 @@ def fit_all(rows: DataFrame, features: Sequence[str], boostings: Sequence[Boosti
     size, folds = 2 ** (depth + 1) - 1, np.array([b.fold for b in boostings])
     cuts = edges(rows, features, bins)
 
-    def written(df: DataFrame) -> tuple[DataFrame, str]:
-        path = fresh_path(spark, "margins")
-        df.write.parquet(path)
-        table = spark.read.schema(df.schema).parquet(path)
-        return table, path
-
-    table, path = written(_binned(rows, features, cuts, count))
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    path = fresh_path(spark, "binned")
+    binned = _binned(rows, features, cuts)
+    binned.write.parquet(path)
+    table = spark.read.schema(binned.schema).parquet(path)
     work = table.count() * count
     parts = max(1, work // MANY, min(work // FEW, spark.sparkContext.defaultParallelism))
-    dealt = table.repartition(parts).persist()
-    grown, since, kept, held = [], [], [], []
+    state = _chunks(table.repartition(parts), count).persist(StorageLevel.MEMORY_AND_DISK)
+    older, checkpoints = [], []
+    grown, held = [], []
     for t in range(most):
         feature, cut = np.full((count, size), -1, np.int64), np.zeros((count, size), np.int64)
         value, gain = np.zeros((count, size)), np.zeros((count, size))
@@ -272,33 +284,38 @@ def fit_all(rows: DataFrame, features: Sequence[str], boostings: Sequence[Boosti
             if not open_.any():
                 break
             base, following = 2**level - 1, np.zeros((count, 2 ** (level + 1)), bool)
-            for r in _splits(dealt, since, (feature, cut), level, open_, folds, n, bins, parts == 1):
-                rate, at = boostings[r.fit].rate, base + r.node
-                value[r.fit, at] = -rate * r.g / (r.h + PENALTY)
-                if r.feature < 0:
+            for f, node, d, c, gained, gl, hl, gr, hr, g, h in _splits(state, (feature, cut), level, open_, folds, n, bins, parts == 1):
+                rate, at = boostings[f].rate, base + node
+                value[f, at] = -rate * g / (h + PENALTY)
+                if d < 0:
                     continue
-                feature[r.fit, at], cut[r.fit, at], gain[r.fit, at] = r.feature, r.cut, r.gain
-                value[r.fit, 2 * at + 1], value[r.fit, 2 * at + 2] = -rate * r.gl / (r.hl + PENALTY), -rate * r.gr / (r.hr + PENALTY)
-                following[r.fit, 2 * r.node: 2 * r.node + 2] = level + 1 < boostings[r.fit].depth
+                feature[f, at], cut[f, at], gain[f, at] = d, c, gained
+                value[f, 2 * at + 1], value[f, 2 * at + 2] = -rate * gl / (hl + PENALTY), -rate * gr / (hr + PENALTY)
+                following[f, 2 * node: 2 * node + 2] = level + 1 < boostings[f].depth
             open_ = following
+            while older:  # the first job of a tree has put its margins in place
+                older.pop().unpersist()
         for f, b in enumerate(boostings):
             if b.leaves:
                 _best_first(feature[f], gain[f], b.leaves)
         grown.append((feature, cut, value))
-        since.append((feature, cut, value, depth))
-        if len(since) == WRITTEN or t + 1 in report or t + 1 == most:
-            newer, place = written(_with_margins(dealt, since, n, count))
-            dealt.unpersist()
-            if path not in kept:
-                discard(spark, path)
-            path, since = place, []
-            dealt = newer.coalesce(parts).persist()
+        if t + 1 == most and t + 1 not in report:
+            break
+        older.append(state)
+        state = _with_margins(state, (feature, cut, value), depth).persist(StorageLevel.MEMORY_AND_DISK)
+        if (t + 1) % WRITTEN == 0 or t + 1 in report:
+            state.checkpoint()
+            state.count()
+            checkpoints.append(state.getCheckpointFile())
             if t + 1 in report:
-                kept.append(path)
-                held.append(_held(newer, folds, n).withColumn("trees", F.lit(t + 1)))
-    dealt.unpersist()
-    if path not in kept:
-        discard(spark, path)
+                held.append(_held(state, folds, spark).withColumn("trees", F.lit(t + 1)))
+            for place in checkpoints[:-1]:
+                discard(spark, place)
+            del checkpoints[:-1]
+    for rdd in (state, *older):
+        rdd.unpersist()
+    for place in (path, *checkpoints):
+        discard(spark, place)
     limits = np.full((n, bins), np.inf)
     for d, c in enumerate(cuts):
         limits[d, : len(c)] = c
@@ -312,14 +329,21 @@ def fit_all(rows: DataFrame, features: Sequence[str], boostings: Sequence[Boosti
     return ensembles, scored
 
 
-def _held(table: DataFrame, folds: np.ndarray, n_features: int) -> DataFrame:
+def _held(chunks: RDD, folds: np.ndarray, spark: SparkSession) -> DataFrame:
+    """Rows (fit, margin, label) of the boostings that left a row's fold out, written."""
+    def packed(chunk):
+        _, margins, label, _, fold = chunk
+        row, fit = np.nonzero(fold[:, None] == folds)
+        return fit.astype(np.int32).tobytes(), margins[row, fit].tobytes(), label[row].tobytes()
+
     def out(batches):
-        for _, margins, label, _, fold in _slices(batches, [], n_features, len(folds)):
-            row, fit = np.nonzero(fold[:, None] == folds)
-            yield pa.RecordBatch.from_arrays([pa.array(fit.astype(np.int32)), pa.array(margins[row, fit]), pa.array(label[row])],
-                                             names=["fit", "margin", "label"])
+        for batch in batches:
+            for columns in zip(*batch.columns):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(c.as_buffer(), kind)) for c, kind in zip(
+                    columns, (np.int32, np.float64, np.float64))], names=["fit", "margin", "label"])
 
-    return table.mapInArrow(out, "fit int, margin double, label double")
+    whole = spark.createDataFrame(chunks.map(packed), "fit binary, margin binary, label binary", verifySchema=False)
+    return staged(whole.mapInArrow(out, "fit int, margin double, label double"), "held")
 
 
 def areas(scored: DataFrame, by: Sequence[str], score: str = "margin") -> DataFrame:

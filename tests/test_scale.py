@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from basketry.operators import cluster_metrics, segments
+from basketry.operators import boosting, cluster_metrics, segments
 
 
 def _labelled(spark, n=130):
@@ -56,3 +56,18 @@ def test_choice_of_k_takes_all_distances_once(spark, monkeypatch):
     monkeypatch.setattr(segments, "silhouettes_exact", lambda *a, **o: calls.append(a) or real(*a, **o), raising=False)
     found = segments.segment(df, ("a", "b"), log=False, ks=(2, 3, 4), restarts=2, key="id", measure="euclidean").scores.collect()
     assert len(calls) == 1 and [r.measure for r in found] == ["euclidean"] * 3 and sum(r.selected for r in found) == 1
+
+
+def test_boosting_adds_a_tree_to_the_margins_once(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(float(a), float(b), float(a + b * b > 0.8), 1.0, i % 3) for i, (a, b) in enumerate(rng.normal(size=(300, 2)))],
+                               "a double, b double, label double, weight double, fold int").repartition(2)
+    added, real = [], boosting._with_margins
+    monkeypatch.setattr(boosting, "_with_margins", lambda chunks, tree, levels: added.append(tree) or real(chunks, tree, levels))
+    monkeypatch.setattr(boosting, "FEW", 200)  # several tasks
+    (model, other), scored = boosting.fit_all(df, ["a", "b"], [boosting.Boosting(6, 3, 0.3), boosting.Boosting(6, 2, 0.3, fold=1)], report=(3, 6))
+    assert len(added) == 6  # one addition per tree
+    assert scored.groupBy("trees", "fit").count().orderBy("trees").collect() == [(3, 1, 100), (6, 1, 100)]
+    margins = sorted(r.margin for r in scored.where("trees = 6").collect())
+    rows = df.where("fold = 1").toPandas()
+    assert margins == pytest.approx(sorted(other.margins(rows[["a", "b"]].to_numpy())))
