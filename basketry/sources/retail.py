@@ -28,7 +28,8 @@ def read_lines(spark: SparkSession, path: str | list[str], format: str = "csv",
         value = _parsed(field)
         if bad_fields == "fail" and not isinstance(field.dataType, T.StringType):
             message = F.concat(F.lit(f"column {field.name} cannot hold "), F.col(field.name))
-            value = F.when(_bad(field), F.raise_error(message).cast(field.dataType)).otherwise(value)
+            text = F.col(field.name)  # looked at only where no value was found
+            value = F.coalesce(value, F.when(F.trim(text) != "", F.raise_error(message).cast(field.dataType)))
         return value.alias(field.name)
 
     return _csv_text(spark, path, schema).select(*[read(f) for f in schema.fields])
@@ -56,7 +57,7 @@ def _parsed(field: T.StructField) -> Column:
     if isinstance(field.dataType, T.IntegralType):
         number = F.trim(text).try_cast("double")
         whole = F.when(number == F.floor(number), number.try_cast("long"))
-        return F.coalesce(F.trim(text).try_cast("long"), whole).try_cast(field.dataType)
+        return F.coalesce(F.trim(text).try_cast(field.dataType), whole.try_cast(field.dataType))
     return F.trim(text).try_cast(field.dataType)
 
 

@@ -3,8 +3,10 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from basketry.operators import boosting, cluster_metrics, segments
+from basketry.sources import retail
 
 
 def _labelled(spark, n=130):
@@ -71,3 +73,19 @@ def test_boosting_adds_a_tree_to_the_margins_once(spark, monkeypatch):
     margins = sorted(r.margin for r in scored.where("trees = 6").collect())
     rows = df.where("fold = 1").toPandas()
     assert margins == pytest.approx(sorted(other.margins(rows[["a", "b"]].to_numpy())))
+
+
+def test_csv_fields_are_parsed_once(spark, tmp_path):
+    place = tmp_path / "lines.csv"
+    place.write_text("quantity,price\n7.0, 2.5\n,\n-3,1e3\n")
+    schema = T.StructType([T.StructField("quantity", T.IntegerType()), T.StructField("price", T.DoubleType())])
+    read = retail.read_lines(spark, str(place), schema=schema)
+    plan = read._jdf.queryExecution().analyzed().toString()
+    assert plan.count("trim(price") == 2  # once for the value, once to tell empty fields where there is none
+    assert [tuple(r) for r in read.collect()] == [(7, 2.5), (None, None), (-3, 1000.0)]
+    for bad in ("2.5,1", "3000000000,1", "x,1", "1,x"):
+        place.write_text(f"quantity,price\n{bad}\n")
+        with pytest.raises(Exception, match="cannot hold"):
+            retail.read_lines(spark, str(place), schema=schema).collect()
+        assert sum(retail.count_bad_fields(spark, str(place), schema).first()) == 1
+        assert None in tuple(retail.read_lines(spark, str(place), schema=schema, bad_fields="null").first())
