@@ -15,9 +15,10 @@ Two large cells whose boxes do not decide are split into smaller boxes until the
 """
 
 from collections.abc import Sequence
-from functools import cached_property
+from functools import cached_property, reduce
 from itertools import product
 from math import ceil, sqrt
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,11 +27,13 @@ from basketry import fixed_values as fixed
 from basketry.functions.lookups import lookup
 from basketry.functions.ordering import numbered, value_buckets
 from basketry.operators.components import merged
+from basketry.operators.neighbours import counts_by_columns
 from basketry.session import staged
 
 PAIR_BUDGET = 1_000  # two boxes with at most this many pairs of rows are compared directly
 ROW_BUDGET = 64  # a box on the rim with at most this many spots is compared spot by spot
 SALT_ROWS = 50_000  # rows of one cell per task when a cell has to be looked at row by row
+COLUMN_SPOTS, COLUMN_WORK = 8, 10**10  # columns serve with so many spots each, or so few pairs of spots and columns
 FINER = 2  # how much finer the boxes of the next level are, per feature
 NOISE = -1
 
@@ -108,17 +111,34 @@ def _reached(asking: DataFrame, rows: DataFrame, boxes: DataFrame, adjacent: Dat
     return by_box.unionByName(by_row)
 
 
-def neighbour_counts(points: DataFrame, features: Sequence[str], eps: float = fixed.EPS,
-                     key: str = "customer_id", pair_budget: int = ROW_BUDGET) -> DataFrame:
+def neighbour_counts(points: DataFrame, features: Sequence[str], eps: float = fixed.EPS, key: str = "customer_id",
+                     pair_budget: int = ROW_BUDGET, columns: bool | None = None) -> DataFrame:
     """Rows (key, neighbours): all rows within `eps`, the row itself included.
 
-    Rows at one spot are counted once. A spot takes boxes within its reach as a whole and drops those out
-    of it; the few on the rim are split finer, level by level, until they hold at most `pair_budget`
-    spots, which are compared one by one. Work follows the boxes on the rim, not the pairs of rows.
+    Rows at one spot are counted once. Where the features but one take few values together (COLUMN_SPOTS, COLUMN_WORK), spots
+    search columns (`neighbours.counts_by_columns`), else boxes; `columns` decides otherwise. Both are exact.
     """
     space = Space(features, eps)
     placed = points.select(F.col(key).alias("key"), *[F.col(c).cast("double").alias(c) for c in space.features])
     spots = staged(placed.groupBy(*space.features).agg(F.count(F.lit(1)).alias("rows")).withColumn("cell", space.cell()), "spots")
+    finite = reduce(and_, [F.abs(F.col(c)) < F.lit(float("inf")) for c in space.features])
+    known = spots.where(finite)
+    values = known.agg(*[F.approx_count_distinct(c).alias(c) for c in space.features]).first()
+    long = max(space.features, key=lambda c: values[c])
+    if columns is None:
+        n, held = known.count(), known.select(*[c for c in space.features if c != long], F.lit(1)).distinct().count()
+        columns = n * held <= COLUMN_WORK or n >= COLUMN_SPOTS * held
+    counts = counts_by_columns(known, space.features, eps, long) if columns else _counts_by_boxes(spots, space, pair_budget)
+    return lookup(placed.select("key", space.at().alias("x")), counts, ["x"]).select(F.col("key").alias(key), "neighbours")
+
+
+def _counts_by_boxes(spots: DataFrame, space: Space, pair_budget: int) -> DataFrame:
+    """Rows (x, neighbours) for every spot x.
+
+    A spot takes boxes within its reach as a whole and drops those out
+    of it; the few on the rim are split finer, level by level, until they hold at most `pair_budget`
+    spots, which are compared one by one. Work follows the boxes on the rim, not the pairs of rows.
+    """
     box = [*space.box()[:2], F.sum("rows").alias("n"), F.count(F.lit(1)).alias("spots")]
     adjacent = _adjacent(spots.select("cell").distinct(), space)
     asking = spots.select(space.at().alias("x"), "cell").join(adjacent, "cell").select("x", F.array("other").alias("path"))
@@ -142,8 +162,7 @@ def neighbour_counts(points: DataFrame, features: Sequence[str], eps: float = fi
         depth += 1
         children = spots.select(_path(space, depth).alias("child")).distinct().withColumn("path", F.slice("child", 1, depth - 1))
         asking = left.select("x", "path").join(children, "path").select("x", F.col("child").alias("path"))
-    counts = found.groupBy("x").agg(F.sum("n").alias("neighbours"))
-    return lookup(placed.select("key", space.at().alias("x")), counts, ["x"]).select(F.col("key").alias(key), "neighbours")
+    return found.groupBy("x").agg(F.sum("n").alias("neighbours"))
 
 
 def core_points(points: DataFrame, features: Sequence[str], eps: float = fixed.EPS,
