@@ -19,8 +19,8 @@ ROUNDS, DRAWN = 3, 800
 ITERATIONS = 300
 #: A fit rests once its centres move by less than this share of the mean variance of a feature, squared moves added.
 TOLERANCE = 1e-4
-#: Rows of a batch that meet all centres at once.
-BATCH_ROWS = 2_048
+#: Rows of a block, which meet all centres at once; centres of a fit, a power of two, up to which scores hold their numbers; products at a time.
+BATCH_ROWS, FEW, PRODUCTS = 2_048, 64, 1 << 18
 EXACT = "decimal(38,12)"
 
 
@@ -40,11 +40,61 @@ def _squared(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return total
 
 
+def blocks(rows: DataFrame, features: Sequence[str], key: str) -> DataFrame:
+    """The rows without a null feature as blocks of numbers (keys, x), dealt evenly: what every pass reads. Persist it before the passes."""
+    n = len(features)
+    points = rows.select(F.xxhash64(key).alias("key"), *[F.col(c).cast("double").alias(f"x{d}") for d, c in enumerate(features)]).na.drop()
+
+    def pack(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, BATCH_ROWS):
+                part = batch.slice(start, BATCH_ROWS)
+                x = np.stack([part.column(1 + d).to_numpy(zero_copy_only=False) for d in range(n)], 1)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())],
+                                                 names=["keys", "x"])
+
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    return points.repartition(tasks, "key", *[f"x{d}" for d in range(n)]).mapInArrow(pack, "keys binary, x binary")
+
+
 def _batches(batches, n_features: int):
     for batch in batches:
-        for start in range(0, batch.num_rows, BATCH_ROWS):
-            part = batch.slice(start, BATCH_ROWS)
-            yield part.column(0).to_numpy(), np.stack([part.column(1 + d).to_numpy(zero_copy_only=False) for d in range(n_features)], 1)
+        for keys, x in zip(*batch.columns):
+            yield np.frombuffer(keys.as_buffer(), np.int64), np.frombuffer(x.as_buffer(), np.float64).reshape(-1, n_features)
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray, k: int) -> np.ndarray:
+    """(fits x rows) the nearest of every `k` centres to a row, by products of numbers taken from the middle of the centres.
+
+    The number of a centre stands in the last bits of its score, some 1e-14 of it, so that the least score names it.
+    """
+    middle = centres.mean(0)
+    c = centres - middle
+    weights = np.concatenate([-c, 0.5 * (c * c).sum(1, keepdims=True)], 1).reshape(-1, k, x.shape[1] + 1)
+    held = np.concatenate([x - middle, np.ones((len(x), 1))], 1)
+    if k > FEW:
+        step = max(1, PRODUCTS // k)
+        return np.stack([np.concatenate([(held[at:at + step] @ w.T).argmin(1) for at in range(0, len(x), step)]) for w in weights])
+    weights, held = weights.transpose(1, 0, 2).copy(), held.T.copy()
+    best = None
+    for j, w in enumerate(weights):
+        score = w @ held
+        bits = score.view(np.int64)
+        bits &= -FEW
+        bits |= j
+        best = score if best is None else np.minimum(best, score, out=best)
+    return best.view(np.int64) & (FEW - 1)
+
+
+def _apart(x: np.ndarray, centres: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Squared distances of the rows to the centres `at` (fits x rows), without cancellation."""
+    total = np.zeros(at.shape)
+    for d in range(x.shape[1]):
+        gap = centres[:, d][at]
+        gap -= x[:, d]
+        gap *= gap
+        total += gap
+    return total
 
 
 def _chosen(points: DataFrame, n: int, seed: int, centres: np.ndarray | None, most: int) -> np.ndarray:
@@ -57,7 +107,7 @@ def _chosen(points: DataFrame, n: int, seed: int, centres: np.ndarray | None, mo
     def draw(batches):
         held_times, held = np.zeros(0), np.zeros((0, n))
         for keys, x in _batches(batches, n):
-            weight = np.ones(len(x)) if centres is None else _squared(x, centres).min(1)
+            weight = np.ones(len(x)) if centres is None else _apart(x, centres, _nearest(x, centres, len(centres)))[0]
             with np.errstate(divide="ignore"):
                 times = np.concatenate([held_times, -np.log(_uniform(keys, seed)) / weight])
             best = np.argsort(times, kind="stable")[:most]
@@ -69,25 +119,30 @@ def _chosen(points: DataFrame, n: int, seed: int, centres: np.ndarray | None, mo
     return np.array([list(r)[1:] for r in points.mapInArrow(draw, schema).orderBy("time", *names).limit(most).collect()]).reshape(-1, n)
 
 
+def _added(sums: list[np.ndarray], x: np.ndarray, stacked: list[np.ndarray], sizes: Sequence[int]) -> None:
+    """Adds rows, costs and sums per centre to `sums`, one array per number `sizes` of clusters, of the rows nearest to each."""
+    for k, c, total in zip(sizes, stacked, sums):
+        near = _nearest(x, c, k)
+        near += k * np.arange(len(near))[:, None]
+        place = near.ravel()
+        total[:, 0] += np.bincount(place, minlength=len(c))
+        total[:, 1] += np.bincount(place, _apart(x, c, near).ravel(), len(c))
+        for d in range(x.shape[1]):
+            total[:, 2 + d] += np.bincount(place, np.tile(x[:, d], len(near)), len(c))
+
+
 def _moments(points: DataFrame, n: int, centres: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
     """Per fit (rows per centre, sums per centre, cost) of the rows nearest to each; the first of equally near ones."""
     names = [f"x{d}" for d in range(n)]
 
     sizes = np.array([len(c) for c in centres])
-    groups = [(k, np.flatnonzero(sizes == k)) for k in np.unique(sizes)]
+    groups = [(k, np.flatnonzero(sizes == k)) for k in np.unique(sizes).tolist()]
     stacked = [np.concatenate([centres[s] for s in fits]) for _, fits in groups]
 
     def add(batches):
         sums = [np.zeros((len(c), n + 2)) for c in stacked]
         for _, x in _batches(batches, n):
-            for (k, fits), c, total in zip(groups, stacked, sums):
-                apart = _squared(x, c).reshape(len(x), len(fits), k)
-                near = apart.argmin(2)
-                place = (near + k * np.arange(len(fits))).ravel()
-                total[:, 0] += np.bincount(place, minlength=len(c))
-                total[:, 1] += np.bincount(place, np.take_along_axis(apart, near[:, :, None], 2).ravel(), len(c))
-                for d in range(n):
-                    total[:, 2 + d] += np.bincount(place, np.repeat(x[:, d], len(fits)), len(c))
+            _added(sums, x, stacked, [k for k, _ in groups])
         for (k, fits), total in zip(groups, sums):
             some = np.flatnonzero(total[:, 0])
             yield pa.RecordBatch.from_arrays(
@@ -135,11 +190,19 @@ def fit_all(rows: DataFrame, features: Sequence[str], key: str, ks: Sequence[int
 
     Rows drawn by squared distance, weighted by the rows nearest to them, stand for the table: every start is a k-means++ draw
     among them and rests there first. Then all fits move together over all rows until each one's centres rest (TOLERANCE). Rows
-    with a null feature are left out; no rows give no centres. `rows` is read once per pass, so give a written or persisted table.
+    with a null feature are left out; no rows give no centres. Rows are packed into blocks of numbers once, which all passes read.
     """
-    n = len(features)
-    points = rows.select(F.xxhash64(key).alias("key"), *[F.col(c).cast("double").alias(f"x{d}") for d, c in enumerate(features)]).na.drop()
-    spread = points.agg(*[F.var_pop(f"x{d}").alias(f"v{d}") for d in range(n)]).first()
+    known = rows.select(*[F.col(c).cast("double").alias(f"x{d}") for d, c in enumerate(features)]).na.drop()
+    spread = known.agg(*[F.var_pop(c) for c in known.columns]).first()
+    points = blocks(rows, features, key).persist()
+    try:
+        return _fitted(points, len(features), spread, ks, restarts, seed, iterations, tolerance)
+    finally:
+        points.unpersist()
+
+
+def _fitted(points: DataFrame, n: int, spread: Sequence[float], ks: Sequence[int], restarts: int, seed: int,
+            iterations: int, tolerance: float) -> dict[int, tuple[np.ndarray, float]]:
     rest = tolerance * float(np.mean([v or 0.0 for v in spread]))
     fits = [(k, start) for k in ks for start in range(restarts)]
     summary = _chosen(points, n, seed, None, 1)

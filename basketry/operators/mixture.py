@@ -90,14 +90,19 @@ def fit(rows: DataFrame, features: Sequence[str], centres: np.ndarray, iteration
         key: str = "customer_id") -> Mixture:
     """The mixture that starts from rows dealt to the nearest of `centres`, until the mean log-likelihood gains less than `tolerance`.
 
-    Rows with a null feature take no part; no rows are an error. `rows` is read once a round, so give a
-    written or persisted table.
+    Rows with a null feature take no part; no rows are an error. Rows are packed into blocks of numbers once,
+    which all rounds read.
     """
-    n = len(features)
-    points = rows.select(F.xxhash64(key).alias("key"), *[F.col(c).cast("double").alias(f"x{d}") for d, c in enumerate(features)]).na.drop()
     if not len(centres):
         raise ValueError("a mixture needs rows")
+    points = kmeans.blocks(rows, features, key).persist()
+    try:
+        return _fitted(points, len(features), centres, iterations, tolerance)
+    finally:
+        points.unpersist()
 
+
+def _fitted(points: DataFrame, n: int, centres: np.ndarray, iterations: int, tolerance: float) -> Mixture:
     def nearest(x):
         near = kmeans._squared(x, centres).argmin(1)
         return np.eye(len(centres))[near], np.zeros(len(x))
