@@ -7,6 +7,7 @@ import time
 import zlib
 from collections import Counter
 from math import log10
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as vocabularies
@@ -430,6 +431,27 @@ def test_quality_verdicts(make_docs, odd_docs, spark):
     assert quality_rules.adaptive_verdicts(features.where("false")).count() == 0
 
 
+def test_quality_keeps_no_copy_of_the_rows_on_disk(make_docs, spark, monkeypatch):
+    rng = random.Random(2)
+    docs = staged(make_docs([(k, " ".join(str(rng.random()) for _ in range(120))) for k in range(1000)]), "docs")
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+
+    def held():
+        return sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+
+    plans, real = [], quality_rules.staged
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(quality_rules, "staged", seen)
+    before, kept = held(), quality_rules.keep_good(docs)
+    assert kept.count() == 1000 and held() - before < sum(len(r["text"]) for r in docs.collect()) / 10
+    plans.append(kept._jdf.queryExecution().executedPlan().toString())
+    assert [p.count("ArrowEvalPython") for p in plans] == [1, 0, 1]  # features counted once per pass
+
+
 def test_every_group_has_its_own_fence(spark):
     def rows(lang, source, n, chars):
         return [(k, lang, source, 100, 100 * (chars + k % 3), 0, 0, 1, 0) for k in range(n)]
