@@ -36,20 +36,25 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, work: Callable[[lis
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            start, size = 0, 0
-            lengths = _sizes(batch)
-            for i, n in enumerate(lengths):
-                size += n
-                if size >= weight or i == len(lengths) - 1:
-                    part = batch.slice(start, i + 1 - start)
-                    out = work(part.columns if raw else [c.to_pylist() for c in part.columns])
-                    yield pa.RecordBatch.from_arrays(
-                        [v if isinstance(v, pa.Array) else pa.array(v, f.type) for v, f in zip(out, arrow)], schema=arrow)
-                    start, size = i + 1, 0
+            for part in slices(batch, weight):
+                out = work(part.columns if raw else [c.to_pylist() for c in part.columns])
+                yield pa.RecordBatch.from_arrays(
+                    [v if isinstance(v, pa.Array) else pa.array(v, f.type) for v, f in zip(out, arrow)], schema=arrow)
 
     return narrow.mapInArrow(run, schema)
 
 
+def slices(batch: pa.RecordBatch, weight: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """`batch` in parts that end once the texts, byte strings and lists in them have `weight` characters or items."""
+    start, size = 0, 0
+    lengths = _sizes(batch)
+    for i, n in enumerate(lengths):
+        size += n
+        if size >= weight or i == len(lengths) - 1:
+            yield batch.slice(start, i + 1 - start)
+            start, size = i + 1, 0
+
+
 def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string

@@ -21,7 +21,8 @@ from pyspark.sql import Window
 from basketry.llm.common import map_rows, per_worker
 from basketry.session import staged
 
-KNOWN_WORDS = 1_000_000
+#: Words kept between slices: at most twice as many, besides those of one slice. Idle workers keep them through other stages.
+KNOWN_WORDS = 150_000
 #: Words of these characters, in which no special token can start, meet a vocabulary's normaliser and
 #: splitter as follows: lower case, then pieces; each byte of a piece stands for one character.
 PLAIN = re.compile("(?:[!-;=-~\u00c0-\u00ff]|<(?![|]))+")
@@ -49,7 +50,7 @@ class Words:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
         self.characters = _byte_characters()
         try:
             self.quick = [self._quick(w) for w in self.PROBES] == self._slow(self.PROBES)
@@ -74,10 +75,15 @@ class Words:
         return [data[x:y] for x, y in zip(ends, ends[1:])]
 
     def _ids(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct words; as many as KNOWN_WORDS are kept."""
+        """Ids of distinct words. Once KNOWN_WORDS are known they become the older ones, of which those met again stay."""
         found = list(map(self.known.get, words))
-        new = [i for i, ids in enumerate(found) if ids is None]
-        other = []
+        new, other = [], []
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            found[i] = self.older.pop(words[i], None)
+            if found[i] is None:
+                new.append(i)
+            else:
+                self.known[words[i]] = found[i]
         for i in new:
             word = words[i]
             if self.quick and len(word) < 64 and (not word or PLAIN.fullmatch(word)):
@@ -88,9 +94,9 @@ class Words:
             part = other[start:start + 20_000]
             for i, ids in zip(part, self._slow([words[i] for i in part])):
                 found[i] = ids
-        if len(self.known) + len(new) > KNOWN_WORDS:
-            self.known = {}
         self.known.update((words[i], found[i]) for i in new)
+        if len(self.known) > KNOWN_WORDS:
+            self.older, self.known = self.known, {}
         return found
 
 

@@ -9,12 +9,12 @@ are read from the sketches per (language, source) and joined to the documents.
 from collections import Counter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from basketry.llm.common import SPACES, map_rows
+from basketry.llm.common import SPACES, map_rows, slices
 from basketry.session import staged
 
 SYMBOLS = "#*$%&|<>"
@@ -60,6 +60,15 @@ def features_of(text: str | None) -> tuple[int, int, int, int, int, int]:
             sum(lines.values()) - len(lines), sum(lines.values()), repeated_words(words))
 
 
+def measured_texts(texts: pa.Array, weight: int = 4_000_000) -> pa.StructArray:
+    """FEATURES of every text of a batch. Only a slice of `weight` characters is held as Python strings at a time."""
+    names, columns = [part.split()[0] for part in FEATURES.split(", ")], []
+    for part in slices(pa.RecordBatch.from_arrays([texts], ["text"]), weight):
+        columns.append(np.array(list(map(features_of, part.column(0).to_pylist())), np.int64))
+    counted = np.concatenate(columns) if columns else np.zeros((0, len(names)), np.int64)
+    return pa.StructArray.from_arrays([pa.array(c) for c in counted.T], names)
+
+
 def quality_features(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang",
                      source: str = "source") -> DataFrame:
     """Per document the features of whole texts; a null text has none of anything."""
@@ -165,11 +174,10 @@ def keep_good(docs: DataFrame, **options) -> DataFrame:
     fences, so texts are never shuffled, and are not written: features are counted for the fences and
     again for the verdicts, as a copy of all rows would take as much disk as `docs`. A column of any name may come along.
     """
-    @F.pandas_udf(FEATURES)
-    def measured(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(list(map(features_of, texts)), columns=names)
+    @F.arrow_udf(FEATURES)
+    def measured(texts: pa.Array) -> pa.Array:
+        return measured_texts(texts)
 
-    names = [part.split()[0] for part in FEATURES.split(", ")]
     once = measured.asNondeterministic()  # else filters on features are pushed below them, with a second count of all
     carried = docs.select(
         "lang", "source", once("text").alias("_features"), F.struct("*").alias("_row")).select(

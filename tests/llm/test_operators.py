@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 from math import log10
@@ -11,6 +12,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers as vocabularies
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -106,6 +108,20 @@ def test_any_complementary_parts_are_linked(make_docs):
 
 # packing -----------------------------------------------------------------------------------------
 
+def test_words_met_again_stay_known_and_others_go(monkeypatch):
+    monkeypatch.setattr(packing, "KNOWN_WORDS", 100)
+    path, often = vocabularies.path("word_bpe_49k.json"), [f"often{k}" for k in range(20)]
+    words, slow, new = packing.Words(path), Tokenizer.from_file(path), []
+    real = words._quick
+    words._quick = lambda word: new.append(word) or real(word)
+    for k in range(40):
+        texts = [" ".join([*often, *(f"once{k}x{j}" for j in range(30))])]
+        assert [list(np.frombuffer(x, "<u4")) for x in words.encode(texts)] == [
+            x.ids for x in slow.encode_batch(texts, add_special_tokens=False)]
+        assert len(words.known) + len(words.older) <= 2 * 100 + 50
+    assert Counter(new).most_common(1)[0][1] == 1  # none is looked up in the vocabulary twice
+
+
 def test_plan_uses_every_piece_once_and_few_sequences():
     rng = random.Random(5)
     for counts in ({}, {2048: 3}, {1: 5000}, {700: 10, 500: 3, 1: 4}, {1024: 5, 1: 1}, Counter(min(2048, int(rng.expovariate(1 / 400)) + 1) for _ in range(20_000))):
@@ -452,6 +468,24 @@ def test_quality_keeps_no_copy_of_the_rows_on_disk(make_docs, spark, monkeypatch
     assert [p.count("ArrowEvalPython") for p in plans] == [1, 0, 1]  # features counted once per pass
 
 
+def test_quality_holds_a_slice_of_a_batch_as_strings():
+    texts = [" ".join(str(k * j % 977) for j in range(20_000)) for k in range(1, 41)] + [None, ""]
+    batch, plain = pa.array(texts), [quality_rules.features_of(x) for x in texts]
+    assert list(zip(*(c.to_pylist() for c in quality_rules.measured_texts(batch).flatten()))) == plain
+    assert len(quality_rules.measured_texts(batch.slice(0, 0))) == 0
+
+    def peak(weight):
+        tracemalloc.start()
+        quality_rules.measured_texts(batch, weight)
+        try:
+            return tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    size = sum(len(x or "") for x in texts)
+    assert peak(size // 40) < peak(2 * size) - size / 2
+
+
 def test_every_group_has_its_own_fence(spark):
     def rows(lang, source, n, chars):
         return [(k, lang, source, 100, 100 * (chars + k % 3), 0, 0, 1, 0) for k in range(n)]
