@@ -5,6 +5,10 @@ loss per (boosting, node, feature, bin), histograms of equal nodes meet in one s
 split, comes to the driver. Derivatives are whole multiples of 1 / SCALE, so sums do not depend on their order and a
 boosting grows the same trees alone or beside others, also after a lost task. Rows are kept as chunks of arrays; a tree's
 margins are added once, by the first job after it, and written every few trees.
+
+Where a task can hold all binned rows and there are boostings for all cores, one job grows every boosting in a task of its own
+instead: rows stay sorted by node, and of two children only the smaller one is summed, the other is the rest of their parent. As
+sums are whole numbers, both ways give the same trees.
 """
 
 from collections.abc import Mapping, Sequence
@@ -33,6 +37,8 @@ WRITTEN = 10
 BATCH_VALUES = 1 << 18
 #: Rows times boostings of a task: fewer only until every core has one.
 FEW, MANY = 100_000, 1 << 24
+#: Bytes of rows that a task may hold to grow a boosting alone, and its rows that are summed at once.
+WHOLE, SLICE = 400 << 20, 1 << 16
 NODE_SCHEMA = "tree int, node int, feature string, threshold double, value double"
 
 
@@ -140,10 +146,11 @@ def _binned(rows: DataFrame, features: Sequence[str], cuts: list[np.ndarray]) ->
     return ready.mapInArrow(binned, "bins binary, label double, weight double, fold int")
 
 
-def _chunks(table: DataFrame, boostings: int) -> RDD:
-    """The rows as chunks of arrays (bins, margins of zero, label, weight, fold), in the partitions of `table`."""
-    most = min(max(BATCH_VALUES // boostings, 1_024), 1 << 16)
+PACKED = "bins binary, label binary, weight binary, fold binary"
+
 
+def _packed(table: DataFrame, most: int) -> DataFrame:
+    """One row per chunk of at most `most` rows, in the partitions of `table`."""
     def packed(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, most):
@@ -152,12 +159,17 @@ def _chunks(table: DataFrame, boostings: int) -> RDD:
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.binary()) for b in (
                     b"".join(bins.to_pylist()), *(c.to_numpy().tobytes() for c in rest))], names=["bins", "label", "weight", "fold"])
 
+    return table.mapInArrow(packed, PACKED)
+
+
+def _chunks(table: DataFrame, boostings: int) -> RDD:
+    """The rows as chunks of arrays (bins, margins of zero, label, weight, fold), in the partitions of `table`."""
     def unpacked(row):
         label = np.frombuffer(row.label, np.float64)
         return (np.frombuffer(row.bins, np.uint8).reshape(len(label), -1), np.zeros((len(label), boostings)), label,
                 np.frombuffer(row.weight, np.float64), np.frombuffer(row.fold, np.int32))
 
-    return table.mapInArrow(packed, "bins binary, label binary, weight binary, fold binary").rdd.map(unpacked)
+    return _packed(table, min(max(BATCH_VALUES // boostings, 1_024), 1 << 16)).rdd.map(unpacked)
 
 
 def _descend(x: np.ndarray, feature: np.ndarray, cut: np.ndarray, levels: int) -> np.ndarray:
@@ -182,6 +194,22 @@ def _with_margins(chunks: RDD, tree: tuple, levels: int) -> RDD:
     return chunks.map(added)
 
 
+def _best(sums: np.ndarray) -> list[list]:
+    """Best split of each of some nodes, from their sums (nodes x features x 2 x bins): lists of feature (-1: none), cut, gain,
+    derivatives on both sides and of all."""
+    bins, sums = sums.shape[-1], sums / SCALE
+    whole = sums[:, :1].sum(-1)
+    left = sums.cumsum(-1)[..., :-1]
+    right = whole[..., None] - left
+    gain = sum(side[:, :, 0] ** 2 / (side[:, :, 1] + PENALTY) for side in (left, right)) - (whole[..., 0] ** 2 / (whole[..., 1] + PENALTY))[..., None]
+    gain[(left[:, :, 1] < LEAST) | (right[:, :, 1] < LEAST)] = -np.inf
+    best = gain.reshape(len(gain), -1).argmax(1)
+    each, d, c = np.arange(len(gain)), best // (bins - 1), best % (bins - 1)
+    gained = gain[each, d, c]
+    sides = [side[each, d, k, c].tolist() for side in (left, right) for k in (0, 1)]
+    return [np.where(gained > 1e-9, d, -1).tolist(), c.tolist(), gained.tolist(), *sides, whole[:, 0, 0].tolist(), whole[:, 0, 1].tolist()]
+
+
 def _splits(chunks: RDD, grown: tuple, level: int, open_: np.ndarray, folds: np.ndarray, n_features: int, bins: int, alone: bool) -> list[tuple]:
     """Best split per (boosting, node) of a level: (fit, node, feature (-1: none), cut, gain, derivatives on both sides and of all)."""
     boostings, base, nodes = len(folds), 2**level - 1, 2**level
@@ -217,19 +245,8 @@ def _splits(chunks: RDD, grown: tuple, level: int, open_: np.ndarray, folds: np.
                     held[fit, node] = one.copy()
         if not held:
             return
-        sums = np.stack(list(held.values())) / SCALE
-        whole = sums[:, :1].sum(-1)
-        left = sums.cumsum(-1)[..., :-1]
-        right = whole[..., None] - left
-        gain = sum(side[:, :, 0] ** 2 / (side[:, :, 1] + PENALTY) for side in (left, right)) - (whole[..., 0] ** 2 / (whole[..., 1] + PENALTY))[..., None]
-        gain[(left[:, :, 1] < LEAST) | (right[:, :, 1] < LEAST)] = -np.inf
-        best = gain.reshape(len(gain), -1).argmax(1)
-        each, d, c = np.arange(len(gain)), best // (bins - 1), best % (bins - 1)
-        gained = gain[each, d, c]
-        sides = [side[each, d, k, c].tolist() for side in (left, right) for k in (0, 1)]
         fits, at = zip(*held)
-        yield from zip(fits, at, np.where(gained > 1e-9, d, -1).tolist(), c.tolist(), gained.tolist(), *sides,
-                       whole[:, 0, 0].tolist(), whole[:, 0, 1].tolist())
+        yield from zip(fits, at, *_best(np.stack(list(held.values()))))
 
     sums = chunks.mapPartitions(add)
     return (sums if alone else sums.partitionBy(reducers, int)).mapPartitions(choose).collect()  # one task holds whole sums already
@@ -252,6 +269,149 @@ def _best_first(feature: np.ndarray, gain: np.ndarray, leaves: int) -> None:
     feature[[n for n in range(len(feature)) if n not in kept]] = -1
 
 
+class _Rows:
+    """All binned rows as arrays, sorted by fold: bins feature by feature, and the places of two features at a time in a table of both."""
+
+    def __init__(self, chunks: Sequence[tuple[bytes, ...]], n_features: int, bins: int):
+        label, weight, fold = (np.concatenate([np.frombuffer(chunk[k], kind) for chunk in chunks] or [np.empty(0, kind)])
+                               for k, kind in ((1, np.float64), (2, np.float64), (3, np.int32)))
+        x = np.concatenate([np.frombuffer(chunk[0], np.uint8).reshape(-1, n_features).T for chunk in chunks]
+                           or [np.empty((n_features, 0), np.uint8)], 1)
+        order = np.argsort(fold, kind="stable")
+        self.label, self.weight, self.fold, self.bins = label[order], weight[order], fold[order], bins
+        self.x = x[:, order]
+        self.both = [self.x[d].astype(np.uint16) * np.uint16(bins) + (self.x[d + 1] if d + 1 < n_features else np.uint16(0))
+                     for d in range(0, n_features, 2)]
+
+    @staticmethod
+    def held_bytes(n_features: int) -> int:
+        """Bytes per row of all arrays, with margins, derivatives and the places of rows sorted by node."""
+        return n_features + 2 * -(-n_features // 2) + 2 * 8 + 4 + 3 * 8 + 2 * 8
+
+    def sums(self, places: Sequence, slopes: Sequence[np.ndarray]) -> np.ndarray:
+        """Sums of derivatives (features x 2 x bins) of the rows at `places`, given as slices or arrays of at most SLICE rows."""
+        total = np.zeros((2 * len(self.both), 2, self.bins), np.int64)
+        for place in places:
+            mine = [slope[place] for slope in slopes]
+            for p, both in enumerate(self.both):
+                here = both[place].astype(np.intp)
+                for k, slope in enumerate(mine):
+                    table = np.bincount(here, slope, self.bins**2).astype(np.int64).reshape(self.bins, self.bins)
+                    total[2 * p, k] += table.sum(1)
+                    total[2 * p + 1, k] += table.sum(0)
+        return total[:len(self.x)]
+
+    def parted(self, at: np.ndarray, feature: int, cut: int) -> tuple[np.ndarray, np.ndarray]:
+        right = self.x[feature].take(at) > cut
+        return at[~right], at[right]
+
+    def grow(self, b: Boosting, size: int, report: Sequence[int]):
+        """The trees of one boosting as arrays (tree x node), and (trees, margins, labels) of the rows it leaves out per number of trees."""
+        feature, cut = np.full((b.trees, size), -1, np.int16), np.zeros((b.trees, size), np.uint8)
+        value, held = np.zeros((b.trees, size)), []
+        first, end = np.searchsorted(self.fold, [b.fold, b.fold + 1]).tolist()
+        slices = [slice(start, min(start + SLICE, stop)) for begin, stop in ((0, first), (end, len(self.fold))) for start in range(begin, stop, SLICE)]
+        everyone, out = np.concatenate([np.r_[s] for s in slices] or [np.empty(0, np.intp)]), np.arange(first, end)
+        margins, slopes = np.zeros(len(self.fold)), np.empty((2, len(self.fold)))
+        for t in range(b.trees):
+            for s in slices:
+                chance = 1 / (1 + np.exp(-margins[s]))
+                slopes[0, s] = np.rint(SCALE * self.weight[s] * (chance - self.label[s]))
+                slopes[1, s] = np.rint(SCALE * self.weight[s] * chance * (1 - chance))
+            for node, at in self.tree(b, everyone, self.sums(slices, slopes), slopes, feature[t], cut[t], value[t]):
+                margins[at] += value[t, node]
+            stack = [(0, out)]
+            while stack:
+                node, at = stack.pop()
+                if feature[t, node] < 0:
+                    margins[at] += value[t, node]
+                elif len(at):
+                    left, right = self.parted(at, feature[t, node], cut[t, node])
+                    stack += [(2 * node + 1, left), (2 * node + 2, right)]
+            if t + 1 in report:
+                held.append((t + 1, margins[first:end].copy(), self.label[first:end]))
+        held += [(r, margins[first:end], self.label[first:end]) for r in report if r > b.trees]
+        return (feature, cut, value), held
+
+    def tree(self, b: Boosting, everyone: np.ndarray, sums: np.ndarray, slopes: np.ndarray, feature, cut, value) -> list[tuple]:
+        """Fills the nodes of one tree, level by level; its leaves with the places of their rows."""
+        level, leaves, gain = {0: (everyone, sums)} if b.depth and sums[0, 1].any() else {}, [], np.zeros(len(value))
+        while level:
+            following = {}
+            found = zip(level.items(), *_best(np.stack([sums for _, sums in level.values()])))
+            for (n, (at, sums)), d, c, gained, gl, hl, gr, hr, g, h in found:
+                value[n] = -b.rate * g / (h + PENALTY)
+                if d < 0:
+                    leaves.append((n, at))
+                    continue
+                feature[n], cut[n], gain[n] = d, c, gained
+                value[2 * n + 1], value[2 * n + 2] = -b.rate * gl / (hl + PENALTY), -b.rate * gr / (hr + PENALTY)
+                sides = self.parted(at, d, c)
+                if n + 1 >= 2 ** (b.depth - 1):  # the children are on the last level
+                    leaves += [(2 * n + 1, sides[0]), (2 * n + 2, sides[1])]
+                    continue
+                fewer = int(len(sides[1]) < len(sides[0]))
+                few = self.sums([sides[fewer][k:k + SLICE] for k in range(0, len(sides[fewer]), SLICE)], slopes)
+                for side in (0, 1):
+                    following[2 * n + 1 + side] = sides[side], few if side == fewer else sums - few
+            level = following
+        if b.leaves:
+            _best_first(feature, gain, b.leaves)
+            leaves = [(_top(feature, n), at) for n, at in leaves]
+        return leaves
+
+
+def _top(feature: np.ndarray, node: int) -> int:
+    """The node of a pruned tree that holds the rows of `node`."""
+    top = node
+    while node:
+        node = (node - 1) // 2
+        if feature[node] < 0:
+            top = node
+    return top
+
+
+GROWN = "trees int, fit int, margin double, label double, feature binary, cut binary, value binary"
+
+
+def _each_alone(table: DataFrame, boostings: Sequence[Boosting], n_features: int, bins: int, size: int, report: Sequence[int]) -> DataFrame:
+    """Every boosting grown in a task of its own, written: a row with the nodes of all its trees, and one per row it leaves out and number of trees."""
+    spark = table.sparkSession
+    kinds = pa.schema([("trees", pa.int32()), ("fit", pa.int32()), ("margin", pa.float64()), ("label", pa.float64()),
+                       ("feature", pa.binary()), ("cut", pa.binary()), ("value", pa.binary())])
+    ordered = sorted(range(len(boostings)), key=lambda f: -boostings[f].depth * boostings[f].trees)  # the longest begin first
+
+    def grown(batches):
+        chunks, places = [], []
+        for batch in batches:
+            places += batch.column(0).to_pylist()
+            chunks += [row for row in zip(*(c.to_pylist() for c in batch.columns[1:])) if row[0] is not None]
+        if not places:
+            return
+        fit = ordered[places[0]]
+        held_rows = _Rows(chunks, n_features, bins)
+        chunks.clear()
+        trees, held = held_rows.grow(boostings[fit], size, report)
+        yield pa.RecordBatch.from_pydict({"trees": [boostings[fit].trees], "fit": [fit], "margin": [None], "label": [None],
+                                          **{name: [array.tobytes()] for name, array in zip(("feature", "cut", "value"), trees)}}, kinds)
+        for number, margins, labels in held:
+            for k in range(0, len(margins), SLICE):
+                n = len(margins[k:k + SLICE])
+                nothing = pa.nulls(n, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number, np.int32)), pa.array(np.full(n, fit, np.int32)),
+                                                  pa.array(margins[k:k + SLICE]), pa.array(labels[k:k + SLICE]), nothing, nothing, nothing], schema=kinds)
+
+    path = fresh_path(spark, "packed")
+    _packed(table, SLICE).write.parquet(path)
+    chunks = spark.read.schema(PACKED).parquet(path).coalesce(1)
+    none = spark.range(0, 1, 1, 1).select(*[F.lit(None).cast("binary").alias(c) for c in chunks.columns])  # a task without rows still has a boosting
+    held = chunks.unionByName(none).coalesce(1)
+    pairs = spark.range(0, len(boostings), 1, len(boostings)).crossJoin(held.hint("shuffle_replicate_nl"))
+    done = staged(pairs.mapInArrow(grown, GROWN), "grown")
+    discard(spark, path)
+    return done
+
+
 def fit_all(rows: DataFrame, features: Sequence[str], boostings: Sequence[Boosting], bins: int = BINS,
             report: Sequence[int] = ()) -> tuple[list[Ensemble], DataFrame | None]:
     """Ensembles of all boostings over columns `label` (0 or 1), `weight`, `fold` and the features.
@@ -271,8 +431,16 @@ def fit_all(rows: DataFrame, features: Sequence[str], boostings: Sequence[Boosti
     binned = _binned(rows, features, cuts)
     binned.write.parquet(path)
     table = spark.read.schema(binned.schema).parquet(path)
-    work = table.count() * count
-    parts = max(1, work // MANY, min(work // FEW, spark.sparkContext.defaultParallelism))
+    n_rows, cores = table.count(), spark.sparkContext.defaultParallelism
+    work = n_rows * count
+    if n_rows * _Rows.held_bytes(n) <= WHOLE and min(count, cores) >= min(work // FEW, cores):
+        done = _each_alone(table, boostings, n, bins, size, [r for r in report if r <= most])
+        discard(spark, path)
+        arrays = {r.fit: [np.frombuffer(b, kind).reshape(-1, size) for b, kind in zip(r[1:], (np.int16, np.uint8, np.float64))]
+                  for r in done.where(F.col("feature").isNotNull()).select("fit", "feature", "cut", "value").collect()}
+        scored = done.where(F.col("margin").isNotNull()).select("fit", "margin", "label", "trees") if report else None
+        return [_ensemble(features, cuts, bins, *arrays[f]) for f in range(count)], scored
+    parts = max(1, work // MANY, min(work // FEW, cores))
     state = _chunks(table.repartition(parts), count).persist(StorageLevel.MEMORY_AND_DISK)
     older, checkpoints = [], []
     grown, held = [], []
@@ -316,19 +484,22 @@ def fit_all(rows: DataFrame, features: Sequence[str], boostings: Sequence[Boosti
         rdd.unpersist()
     for place in (path, *checkpoints):
         discard(spark, place)
-    limits = np.full((n, bins), np.inf)
-    for d, c in enumerate(cuts):
-        limits[d, : len(c)] = c
-    ensembles = []
-    for f, b in enumerate(boostings):
-        feature, cut, value = (np.stack([tree[k][f] for tree in grown[: b.trees]]) for k in range(3))
-        ensembles.append(Ensemble(tuple(features), feature, limits[np.maximum(feature, 0), cut], value))
+    ensembles = [_ensemble(features, cuts, bins, *(np.stack([tree[k][f] for tree in grown[: b.trees]]) for k in range(3)))
+                 for f, b in enumerate(boostings)]
     scored = held[0] if held else None
     for more in held[1:]:
         scored = scored.unionByName(more)
     return ensembles, scored
 
 
+def _ensemble(features: Sequence[str], cuts: list[np.ndarray], bins: int, feature: np.ndarray, cut: np.ndarray, value: np.ndarray) -> Ensemble:
+    limits = np.full((len(cuts), bins), np.inf)
+    for d, c in enumerate(cuts):
+        limits[d, : len(c)] = c
+    feature = feature.astype(np.int64)
+    return Ensemble(tuple(features), feature, limits[np.maximum(feature, 0), cut], value)
+
+
 def _held(chunks: RDD, folds: np.ndarray, spark: SparkSession) -> DataFrame:
     """Rows (fit, margin, label) of the boostings that left a row's fold out, written."""
     def packed(chunk):

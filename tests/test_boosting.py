@@ -87,6 +87,28 @@ def test_together_as_alone_and_folds_left_out(rows, monkeypatch):
     assert sorted(r.margin for r in held.where("trees = 5").collect()) == pytest.approx(sorted(together[1].margins(x)))
 
 
+def test_a_boosting_in_one_task_grows_the_trees_of_jobs_per_level(spark, rows, monkeypatch):
+    several = [Boosting(6, 3, 0.3), Boosting(4, 2, 0.1, fold=1), Boosting(6, 4, 0.2, fold=0, leaves=5), Boosting(6, 1, 0.5, fold=7)]
+
+    def fitted(group):
+        spark.sparkContext.setJobGroup(group, group)
+        found = boosting.fit_all(rows, NAMES, several, report=(2, 6))
+        spark.sparkContext._jsc.clearJobGroup()
+        return *found, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    monkeypatch.setattr(boosting, "SLICE", 70, raising=False)  # several slices of a node
+    one, scored, jobs = fitted("boostings-alone")
+    assert jobs < 15  # whatever the number of trees and levels
+    monkeypatch.setattr(boosting, "WHOLE", 0, raising=False)
+    levels, by_level, more = fitted("boostings-by-level")
+    assert more > jobs
+    for a, b in zip(one, levels):
+        assert all(np.array_equal(getattr(a, part), getattr(b, part)) for part in ("feature", "threshold", "value"))
+    columns = ("trees", "fit", "margin", "label")
+    held = sorted(tuple(r) for r in scored.select(*columns).collect())
+    assert held == sorted(tuple(r) for r in by_level.select(*columns).collect()) and len(held) == 2 * 400
+
+
 def test_best_first_keeps_the_greatest_gains():
     feature, gain = np.array([0, 1, 2, 0, -1, 1, 2] + [-1] * 8), np.array([9., 1, 5, 8, 0, 3, 2] + [0.] * 8)
     boosting._best_first(feature, gain, 4)
