@@ -10,12 +10,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from basketry.operators.distance_sums import Block, Sums, boxes
 from basketry.session import staged
 
-BLOCK_ROWS = 2_000  # rows per block of the exact silhouette
-RIGHT_BLOCKS = 1_000  # blocks that one task of the exact silhouette meets
-TILE_ROWS = 64  # rows whose distances to a block are held at once
+BLOCK_ROWS = 2_000, 1 << 16  # rows per block of the exact silhouette: more than the first only while every core has some blocks
+RIGHT_ROWS = 8_000_000  # rows that one task of the exact silhouette meets
+VALUE_ROWS = 32  # rows per cubed number of values of a feature that orders the blocks before the others: its planes lie as far apart as boxes in them are wide
 
 
 def _sums(points: DataFrame, features: Sequence[str], label: str) -> DataFrame:
@@ -66,19 +68,20 @@ def silhouette_squared(points: DataFrame, features: Sequence[str], label: str) -
 
 
 def silhouette_exact(points: DataFrame, features: Sequence[str], label: str, key: str,
-                     block_rows: int = BLOCK_ROWS) -> DataFrame:
+                     block_rows: int | None = None) -> DataFrame:
     """One row: mean silhouette with Euclidean distances between all rows; see `silhouettes_exact`."""
     return silhouettes_exact(points, features, [label], key, block_rows).drop("label")
 
 
 def silhouettes_exact(points: DataFrame, features: Sequence[str], labels: Sequence[str], key: str,
-                      block_rows: int = BLOCK_ROWS, right_blocks: int = RIGHT_BLOCKS) -> DataFrame:
+                      block_rows: int | None = None, right_blocks: int | None = None) -> DataFrame:
     """One row per column of `labels`: mean silhouette with Euclidean distances between all rows.
 
-    This needs every distance, so its work grows with the square of the rows, whatever their number;
-    `silhouette_squared` is the measure in one pass. A distance is computed once for all labelings. Rows are written as blocks of
-    numbers; a task meets a few blocks with `right_blocks` others in a nested loop and returns only the summed distances of
-    its rows to every cluster, so no row is written once per block. Neither a row per pair nor the whole table in one task exists at any time.
+    `silhouette_squared` is the measure in one pass. Rows are written as blocks of numbers that lie close together; a task meets a
+    few blocks with `right_blocks` others in a nested loop and returns only the summed distances of its rows to every cluster, so no
+    row is written once per block. Near rows meet one by one, far boxes of rows through grids that hold each
+    distance to 1e-10 of it (`distance_sums`), so the work grows with the square of the rows only where features are many or boxes never lie apart.
+    A distance is computed once for all labelings. Neither a row per pair nor the whole table in one task exists at any time.
     """
     features, labels, n_features = list(features), list(labels), len(features)
     coded = points.select(F.col(key).alias("key"), *[F.col(c).cast("double").alias(f"x{d}") for d, c in enumerate(features)],
@@ -94,60 +97,72 @@ def silhouettes_exact(points: DataFrame, features: Sequence[str], labels: Sequen
     first = np.cumsum([0, *map(len, clusters)]).tolist()
     known = [np.array([c for c, _ in held]) for held in clusters]
 
+    width, cores = first[-1], points.sparkSession.sparkContext.defaultParallelism
+    block_rows = block_rows or min(max(BLOCK_ROWS[0], -(-rows // (4 * cores))), BLOCK_ROWS[1])
+    right_blocks = right_blocks or max(1, RIGHT_ROWS // block_rows)
+    small = np.uint8 if width <= 256 else np.int32
+    held = [F.nanvl(F.col(f"x{d}"), F.lit(None).cast("double")) for d in range(n_features)]
+    low, high, values = coded.agg(*[F.array(*[f(c) for c in held]) for f in (F.min, F.max, F.approx_count_distinct)]).first()
+    leading = [f"x{d}" for d in range(n_features) if values[d] > 1 and values[d] ** 3 * VALUE_ROWS <= rows]
+
+    def curved(batches):
+        for batch in batches:
+            x = np.stack([batch.column(d + 1).to_numpy(zero_copy_only=False).astype(np.float64) for d in range(n_features)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_curve(x, low, high))], names=[*batch.schema.names, "z"])
+
     def packed(batches):
-        """Blocks: coordinates feature by feature, and per labeling the place of the row's cluster among all clusters."""
+        """Blocks: coordinates feature by feature, per labeling the place of the row's cluster among all clusters, and the boxes that order the rows."""
         held, n = [], 0
 
         def block(take):
             x, at = (np.concatenate([h[k] for h in held], 1) for k in (0, 1))
             held[:] = [(x[:, take:], at[:, take:])]
-            return x[:, :take].tobytes(), at[:, :take].tobytes()
+            order, table = boxes(x[:, :take])
+            return x[:, order].tobytes(), at[:, order].tobytes(), table.tobytes()
 
         for batch in batches:
             x = np.stack([batch.column(d).to_numpy(zero_copy_only=False).astype(np.float64) for d in range(n_features)])
             at = np.stack([first[i] + np.searchsorted(c, batch.column(n_features + i).to_numpy()) for i, c in enumerate(known)])
-            held.append((x, at.astype(np.int32)))
+            held.append((x, at.astype(small)))
             n += batch.num_rows
-            done = []
             while n >= block_rows:
-                done.append(block(block_rows))
+                yield _blocks([block(block_rows)])
                 n -= block_rows
-            if done:
-                yield _blocks(done)
         if n:
             yield _blocks([block(n)])
 
-    dealt = coded.drop("key").repartition(max(1, -(-rows // (16 * block_rows))))
-    blocks = staged(dealt.mapInArrow(packed, "x binary, at binary").withColumn("block", F.monotonically_increasing_id()), "blocks")
+    # copies of a place are dealt by their keys, so that no task gets all of them
+    ordered = (coded.mapInArrow(curved, T.StructType([*coded.schema.fields, T.StructField("z", T.LongType())]))
+               .repartitionByRange(max(1, -(-rows // (4 * block_rows))), *leading, "z", F.xxhash64("key"))
+               .sortWithinPartitions(*leading, "z").drop("key", "z"))
+    blocks = staged(ordered.mapInArrow(packed, "x binary, at binary, boxes binary").withColumn("block", F.monotonically_increasing_id()), "blocks")
     count = blocks.count()
-    tasks = min(count, max(8 * points.sparkSession.sparkContext.defaultParallelism, count // 16))
+    tasks = min(count, max(8 * cores, count // 16))
     right_tasks = -(-count // right_blocks)
-    right = blocks.select(F.col("x").alias("y"), F.col("at").alias("to")).repartition(right_tasks)
+    right = blocks.select(F.col("x").alias("y"), F.col("at").alias("to"), F.col("boxes").alias("others")).repartition(right_tasks)
     pairs = blocks.repartition(tasks).crossJoin(right.hint("shuffle_replicate_nl"))
-    width = first[-1]
     codes, sums = [f"c{i}" for i in range(len(labels))], [f"t{c}" for c in range(width)]
 
     def total_distances(batches):
-        block, x, at, totals = None, None, None, None
+        block, mine = None, None
+
+        def read(x, at, table):
+            numbers = [np.frombuffer(c.as_buffer(), kind) for c, kind in ((x, np.float64), (at, small), (table, np.float64))]
+            return Block(*(a.reshape(r, -1) for a, r in zip(numbers[:2], (n_features, len(labels)))), numbers[2].reshape(-1, 3 + 2 * n_features), width)
 
         def result():
-            n = x.shape[1]
+            at, totals = mine.block.at.astype(np.int32), mine.result()
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), *map(pa.array, at), *(pa.array(t) for t in totals.T.copy())],
+                [pa.array(np.full(len(totals), block)), pa.array(np.arange(len(totals), dtype=np.int32)), *map(pa.array, at), *(pa.array(t) for t in totals.T.copy())],
                 names=["block", "row", *codes, *sums])
 
         for batch in batches:
-            for x_bytes, at_bytes, new, y_bytes, to_bytes in zip(*(batch.column(c) for c in ("x", "at", "block", "y", "to"))):
+            for *left, new, y, to, others in zip(*(batch.column(c) for c in ("x", "at", "boxes", "block", "y", "to", "others"))):
                 if new.as_py() != block:
                     if block is not None:
                         yield result()
-                    block = new.as_py()
-                    x = np.frombuffer(x_bytes.as_buffer(), np.float64).reshape(n_features, -1)
-                    at = np.frombuffer(at_bytes.as_buffer(), np.int32).reshape(len(labels), -1).copy()
-                    x, totals = x.copy(), np.zeros((x.shape[1], width))
-                y = np.frombuffer(y_bytes.as_buffer(), np.float64).reshape(n_features, -1)
-                to = np.frombuffer(to_bytes.as_buffer(), np.int32).reshape(len(labels), -1)
-                _add_distances(totals, x, y, to)
+                    block, mine = new.as_py(), Sums(read(*left))
+                mine.add(read(y, to, others))
         if block is not None:
             yield result()
 
@@ -166,26 +181,20 @@ def silhouettes_exact(points: DataFrame, features: Sequence[str], labels: Sequen
 
 
 def _blocks(rows: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows)], names=["x", "at"])
-
-
-def _add_distances(totals: np.ndarray, x: np.ndarray, y: np.ndarray, to: np.ndarray) -> None:
-    """Adds to `totals` (rows of `x` by clusters) the distances to all rows of `y`, which belong to the clusters `to`."""
-    n = y.shape[1]
-    member = np.zeros((n, totals.shape[1]))
-    for place in to:
-        member[np.arange(n), place] = 1.0
-    gaps, gap = np.empty((TILE_ROWS, n)), np.empty((TILE_ROWS, n))
-    for start in range(0, x.shape[1], TILE_ROWS):
-        part = x[:, start:start + TILE_ROWS]
-        apart, one = gaps[:part.shape[1]], gap[:part.shape[1]]
-        apart.fill(0.0)
-        for mine, other in zip(part, y):
-            np.subtract(mine[:, None], other, out=one)
-            np.multiply(one, one, out=one)
-            np.add(apart, one, out=apart)
-        np.sqrt(apart, out=apart)
-        totals[start:start + TILE_ROWS] += apart @ member
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows)], names=["x", "at", "boxes"])
+
+
+def _curve(x: np.ndarray, low: Sequence[float | None], high: Sequence[float | None]) -> np.ndarray:
+    """Places of rows (features x rows) along a curve whose stretches are compact: the bits of all features in turn."""
+    used = min(len(x), 60)
+    bits, place = min(20, 60 // used), np.zeros(x.shape[1], np.int64)
+    for d, (values, a, b) in enumerate(zip(x[:used], low, high)):
+        with np.errstate(all="ignore"):
+            share = np.nan_to_num((values - (a or 0.0)) / (((b or 0.0) - (a or 0.0)) or 1.0), nan=0.0).clip(0, 1)
+        step = (share * (2**bits - 1)).astype(np.int64)
+        for bit in range(bits):
+            place |= ((step >> bit) & 1) << (bit * used + d)
+    return place
 
 
 def _one_each(scores: list[tuple[str, Column, Column]], rows: DataFrame) -> DataFrame:
