@@ -37,7 +37,7 @@ def _segmented(spark, folder) -> DataFrame:
 
 
 def silhouette(spark, folder):
-    """The Euclidean form, from all distances at any size."""
+    """The Euclidean form, from the distances to all rows at any size; those between far boxes come from grids, see `silhouettes_exact`."""
     score = cluster_metrics.silhouette_exact(_fixed_labels(spark, folder), RFM, "label", "customer_id")
     return rounded(score, 6, "silhouette")
 
@@ -56,7 +56,7 @@ def kmeans_k_selection(spark, folder):
 
 
 def kmeans_k_selection_euclidean(spark, folder):
-    """The choice by the Euclidean silhouette, from all distances."""
+    """The choice by the Euclidean silhouette, from the distances to all rows; those between far boxes come from grids, see `silhouettes_exact`."""
     return once(spark, folder, "segmentation-euclidean", lambda: segments.segment(_customers(spark, folder), measure="euclidean")).scores
 
 
